@@ -1,0 +1,10 @@
+"""Digest columns that the thin queries derive from the operators' real outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def sha_of_text(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
