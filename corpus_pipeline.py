@@ -1,18 +1,52 @@
-"""Documents to packed training sequences."""
+"""Documents to packed training sequences: quality, near copies, repeated passages, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wavedeck.llm import packing, quality_rank, simhash_trie, suffix_dedup
 from wavedeck.llm.scratch import stored
 
-STAGES: list = []
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranking learned from labels.quality doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_rank.learn(docs, labels, F.lit(True))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    return quality_rank.score(docs, model, keep=others).where(F.col("score") >= model.cut).select(docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash_trie.without_near_duplicates(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 bytes or more that a document with a smaller id has."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = suffix_dedup.dedup_passages(docs, keep=others, as_text=True).withColumnRenamed("kept", "text")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in packed sequences."""
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality_classifier), ("simhash near-dedup", simhash_dedup), ("suffix-array dedup", passage_dedup), ("best-fit packing", best_fit_packing)]
+
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -21,12 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there, so a lost
     executor costs no more than the tasks that read the files."""
     path = f"{shared_dir(df.sparkSession)}/wavedeck/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -224,3 +224,33 @@ def near_duplicates(docs: DataFrame, n: int = 4, budget: int = 4, id_col: str =
     table = named.join(firsts, "component").select("fp", "component_id")
     out = marked.join(table, "fp", "left")
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs(id, component, text) with its sorted distinct shingle hashes instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(_hashes(t.as_py() or "", n), dtype=np.uint64).view(np.int64)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "component", "shingles"])
+
+    return docs.select("id", "component", "text").mapInArrow(run, "id long, component long, shingles array<long>")
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies: of each group the document with the smallest id stays, and every other whose
+    n-word shingles are below `similarity` (Jaccard) to that one's. Rows without an id stay; rows that share an id
+    stay or go together. The fingerprints' groups are candidates only: what goes was compared exactly."""
+    groups = stored(near_duplicates(docs, n, budget, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("component_id").alias("component")).distinct(), "near")
+    several = groups.where("id <> component").select("component").distinct()
+    members = groups.join(several, "component", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(members, "id")
+    texts = stored(texts.withColumn("sha", F.sha2("text", 256)), "members")
+    copies = texts.groupBy("component", "sha").agg(F.min("id").alias("id"))
+    firsts = texts.join(copies, ["component", "sha", "id"], "left_semi").dropDuplicates(["component", "sha", "id"])
+    sets = stored(_shingle_sets(firsts, n), "shingles")
+    heads = sets.where("id = component").groupBy("component").agg(F.first("shingles").alias("head"))
+    both, either = F.size(F.array_intersect("shingles", "head")), F.size(F.array_union("shingles", "head"))
+    alike = sets.join(heads, "component").where((either == 0) | (both / either >= similarity)).select("component", "id")
+    gone = texts.select("component", "sha", "id").where("id <> component").join(copies.join(alike, ["component", "id"]).select("component", "sha"), ["component", "sha"], "left_semi").select("id").distinct()
+    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
