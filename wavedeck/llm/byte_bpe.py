@@ -3,10 +3,10 @@
 Encoding. The merges are compiled into a transducer that reads bytes from left to right. After every
 byte it knows the only last token that an encoding of the text read so far can end with: the token t,
 a suffix of that text, whose pair with the last token before it survives merging. A position is live
-while some token of the vocabulary could still begin there and reach past what was read. Once the paths
-to all live positions begin with the same token, that token is certain and is emitted, so a token waits
-for a lookahead that no token of the vocabulary outgrows. A state is what is still open: the last emitted
-token and the open bytes. States and transitions are made when first met, and kept.
+while some token of the vocabulary could still begin there and reach past what was read. A state is the
+set of live positions, each with its node in the vocabulary's trie and the tokens that lead to it. What all of them
+begin with is certain and is emitted, so a token waits for a lookahead that no token of the vocabulary
+outgrows. States and transitions are made when first met, and kept.
 
 Decoding. Token bytes pass an incremental UTF-8 state machine that keeps at most three bytes of an
 unfinished character between tokens. Invalid sequences become U+FFFD.
@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 
 from .scratch import bytes_of
 
-#: Open states, distinct pieces and pairs that a worker keeps before it starts anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 60_000, 300_000, 1_000_000
+#: Open states and pairs that a worker keeps before it starts anew; distinct pieces that it has met lately,
+#: and as many from before.
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 400_000, 600_000, 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -57,85 +58,122 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self.open_prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.packed = {i: int(i).to_bytes(4, "little") for i in self.token}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.child: dict[int, int] = {}  # node << 8 | byte to node
+        self.ends_token, self.inner = [-1], [True]
+        for text, token in ranks.items():
+            node = 0
+            for byte in text:
+                self.inner[node] = True
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.ends_token)
+                    self.ends_token.append(-1)
+                    self.inner.append(False)
+                node = to
+            self.ends_token[node] = token
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, tuple | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.ids = {(-1, b""): 0}
-        self.states: list[tuple[int, bytes, tuple]] = [(-1, b"", ())]
-        self.steps: list[dict[int, tuple[int, bytes]]] = [{}]
-        self.ends: list[bytes | None] = [None]
+        start = (-1, ((0, ()),))
+        self.ids = {start: 0}
+        self.states: list[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]] = [start]
+        self.ends: list[bytes] = [b""]
+        self.moves: dict[int, int] = {}  # state << 8 | byte to state << 1 | whether it emits
+        self.says: dict[int, bytes] = {}  # what such a move emits
+
+    def _sides(self, token: int) -> tuple | None:
+        """What stands at a token's left and right end while it is being merged, from single bytes on: lists of
+        (bytes, rank at which it is merged into the next). None where the token isn't its own encoding."""
+        if token in self.edges:
+            return self.edges[token]
+        text = self.token[token]
+        parts, left, right = [text[i : i + 1] for i in range(len(text))], [], []
+        highest = -1
+        while len(parts) > 1:
+            rank, at = min(((r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None), default=(None, 0))
+            if rank is None:
+                break
+            if at == 0:
+                left.append((parts[0], rank))
+            if at == len(parts) - 2:
+                right.append((parts[-1], rank))
+            highest = max(highest, rank)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        proper = len(parts) == 1 and (len(text) == 1 or highest == token)  # merged last of all: ranks grow with tokens
+        made = (left + [(text, None)], right + [(text, None)]) if proper else None
+        self.edges[token] = made
+        return made
 
     def _fits(self, before: int, token: int) -> bool:
-        found = self.pairs.get((before, token))
+        """Whether the two tokens' bytes are encoded as these two tokens."""
+        key = before << 32 | token
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            whole = (self.token[before] if before >= 0 else b"") + self.token[token]
-            found = merged(self.ranks, whole) == ([before, token] if before >= 0 else [token])
-            self.pairs[before, token] = found
+            found = self.pairs[key] = self._compare(before, token)
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        before, text, last = self.states[state]
-        text += bytes((byte,))
-        n = len(text)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.ranks.get(text[n - size :])
-            if token is None:
+    def _compare(self, before: int, token: int) -> bool:
+        if before < 0:
+            return merged(self.ranks, self.token[token]) == [token]
+        a, b = self._sides(before), self._sides(token)
+        if a is None or b is None:
+            return merged(self.ranks, self.token[before] + self.token[token]) == [before, token]
+        # both sides merge by rising rank; a merge over the border comes first if its rank is the lowest, or as low
+        # as that of the one to its right
+        i = j = 0
+        while True:
+            (x, dies), (y, goes) = a[1][i], b[0][j]
+            over = self.ranks.get(x + y)
+            if over is not None and (dies is None or over < dies) and (goes is None or over <= goes):
+                return False
+            if dies is None and goes is None:
+                return True
+            if goes is None or dies is not None and dies <= goes:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, move: int) -> int:
+        before, live = self.states[move >> 8]
+        byte, child, ends, inner = move & 255, self.child, self.ends_token, self.inner
+        new, path = [], None
+        for node, tokens in live:
+            to = child.get(node << 8 | byte)
+            if to is None:
                 continue
-            previous = before if size == n else last[n - size - 1]
-            if previous is not None and self._fits(previous, token):
-                break
-        else:
+            token = ends[to]
+            if token >= 0 and path is None and self._fits(tokens[-1] if tokens else before, token):
+                path = (*tokens, token)
+            if inner[to]:
+                new.append((to, tokens))
+        if path is None:
             raise ValueError(f"no token ends with byte {byte}")
-        # last[j - 1]: the last token of the encoding up to j, for live j and what their paths pass
-        last = [*last, token]
-        out = b""
-        while True:
-            live = [j for j in range(n) if text[j:] in self.open_prefixes]
-            firsts = set()
-            for j in (*live, n):
-                first = 0
-                while j:
-                    first = j
-                    j -= len(self.token[last[j - 1]])
-                firsts.add(first)
-            if len(firsts) != 1 or 0 in firsts:
-                break
-            (cut,) = firsts
-            before = last[cut - 1]
-            out += self.packed[before]
-            text, last, n = text[cut:], last[cut:], n - cut
-            if not n:
-                break
-        kept = [False] * (n + 1)
-        for j in (*(j for j in range(n) if text[j:] in self.open_prefixes), n):
-            while j and not kept[j]:
-                kept[j] = True
-                j -= len(self.token[last[j - 1]])
-        last = tuple(t if kept[j + 1] else None for j, t in enumerate(last))
-        key = (before, text)
+        sure = len(path)
+        for _, tokens in new:  # what all live positions' tokens begin with
+            n = min(sure, len(tokens))
+            sure = 0
+            while sure < n and tokens[sure] == path[sure]:
+                sure += 1
+        if sure:
+            before = path[sure - 1]
+            self.says[move] = self.packed[before] if sure == 1 else b"".join([self.packed[t] for t in path[:sure]])
+            new, path = [(n, t[sure:]) for n, t in new], path[sure:]
+        if path and all([t for _, t in new]):
+            before = -2  # nothing begins there any more
+        new.append((0, path))
+        key = (before, tuple(new))
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
-            self.states.append((before, text, last))
-            self.steps.append({})
-            self.ends.append(None)
-        self.steps[state][byte] = to, out
-        return to, out
-
-    def _end(self, state: int) -> bytes:
-        _, text, last = self.states[state]
-        out, j = [], len(text)
-        while j:
-            out.append(self.packed[last[j - 1]])
-            j -= len(self.token[last[j - 1]])
-        self.ends[state] = found = b"".join(reversed(out))
-        return found
+            self.states.append(key)
+            self.ends.append(b"".join([self.packed[t] for t in path]))
+        self.moves[move] = to = to << 1 | (sure > 0)
+        return to
 
     def encode(self, piece: bytes) -> bytes:
         whole = self.ranks.get(piece)
@@ -143,18 +181,38 @@ class Transducer:
             return self.packed[whole]
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, steps = 0, [], self.steps
+        state, out, moves, says = 0, [], self.moves, self.says
         for byte in piece:
-            hit = steps[state].get(byte)
-            if hit is None:
-                hit = self._step(state, byte)
-            state = hit[0]
-            if hit[1]:
-                out.append(hit[1])
-        out.append(self.ends[state] or self._end(state))
+            move = state << 8 | byte
+            to = moves.get(move)
+            if to is None:
+                to = self._step(move)
+            if to & 1:
+                out.append(says[move])
+            state = to >> 1
+        out.append(self.ends[state])
         return b"".join(out)
 
 
+class Pieces(dict):
+    """The ids of each distinct piece, made when first asked for."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.transducer.encode(piece.encode())
+        if len(piece) <= 64:
+            if len(self) >= MAX_PIECES:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Pieces(dict):
     """The ids of each distinct piece, made when first asked for."""
 
