@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,37 +30,89 @@ from .scratch import bytes_of, stored
 
 #: Tokens of a packing group: 256 sequences of 4096, so under 0.4 % of room is lost to its last one.
 GROUP_TOKENS = 1 << 20
-#: Distinct chunks whose ids a worker keeps.
-MAX_CHUNKS = 300_000
+#: Distinct chunks whose ids a worker keeps: so many that were met lately, and at most as many from before.
+MAX_CHUNKS = 400_000
+_TAIL = ".,!?;:"
+#: Letters whose lower case and normal form are they themselves.
+_LATIN = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])))
+#: Byte-level BPE writes bytes that don't print as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_PRINTABLE = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 _MADE: dict[str, "Chunks"] = {}
 
 
-class Chunks(dict):
+class Chunks:
     """Ids (little-endian unsigned 32-bit) of the chunks between blanks and line ends. The tokenizer drops
-    white space and no token, merge or normal form crosses a blank, so a text's ids are its chunks' ids."""
+    white space and no token, merge or normal form crosses a blank, so a text's ids are its chunks' ids.
+    Between an ASCII letter or digit and the marks in _TAIL it splits as well, and it ignores ASCII case,
+    so a chunk's variants are put together from one word's ids."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
-        self[""] = b""
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode words that neither table has. Lower-case Latin letters alone are one piece that the normaliser
+        and the splitter leave as it is, so the merges are asked at once, with the bytes in their printable form."""
+        rest, new, merges = [], self.new, self.tokenizer.model.tokenize
+        for chunk in chunks:
+            if chunk.isalpha() and chunk.islower() and _LATIN.issuperset(chunk):
+                ids = [x.id for x in merges(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_PRINTABLE))]
+                new[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(chunk)
+        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            ids = e.ids
+            new[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _known(self, chunks: Iterable[str]) -> list[str]:
+        """Put those that only `old` has into `new`; the ones that neither has."""
+        new, old, rest = self.new, self.old, []
+        for chunk in chunks:
+            if (found := old.get(chunk)) is not None:
+                new[chunk] = found
+            else:
+                rest.append(chunk)
+        return rest
 
     def add(self, chunks: list[str]) -> None:
-        if len(self) + len(chunks) > MAX_CHUNKS:
-            self.clear()
-            self[""] = b""
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            self[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        """Put the ids of chunks, which `new` lacks, there."""
+        words, variants, new = set(), [], self.new
+        for chunk in self._known(chunks):
+            if chunk.isascii() and (word := chunk.rstrip(_TAIL))[-1:].isalnum() and not (chunk is word and chunk.islower()):
+                low, tail = word.lower(), chunk[len(word) :]
+                if low != chunk:
+                    variants.append((chunk, low, tail))
+                    words.add(low)
+                    words.add(tail)
+                    continue
+            words.add(chunk)
+        words -= new.keys()
+        self._learn(self._known(words))
+        for chunk, word, tail in variants:
+            new[chunk] = new[word] + new[tail] if tail else new[word]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({c for chunks in split for c in chunks if c not in self})
-        if missing:
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        every = coded.dictionary.to_pylist()
+        if len(self.new) > MAX_CHUNKS:
+            self.new, self.old = {}, self.new
+        new = self.new
+        new[""] = b""
+        if missing := [c for c in every if c not in new]:
             self.add(missing)
-            try:
-                return [b"".join([self[c] for c in chunks]) for chunks in split]
-            except KeyError:  # the table was cleared to make room
-                self.add(list({c for chunks in split for c in chunks if c not in self}))
-        return [b"".join([self[c] for c in chunks]) for chunks in split]
+        made = [new[c] for c in every]
+        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
+        flat = np.frombuffer(b"".join(made), dtype="<u4")
+        of = coded.indices.to_numpy()
+        ends = np.cumsum(sizes[of])
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - sizes[of]), sizes[of]) + np.arange(ends[-1] if len(ends) else 0)
+        taken = flat[at]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [taken[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def _made(data: bytes) -> Chunks:
@@ -85,7 +139,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int,
                 ids.append(batch.column(0)[k])
                 texts.append(batch.column(1)[k].as_py() or "")
                 size += len(texts[-1])
-                if size < 1_000_000 and k + 1 < todo:
+                if size < 4_000_000 and k + 1 < todo:
                     continue
                 rows: list[list] = [[], [], [], [], []]
                 for i, packed in enumerate(chunks.ids(texts)):
