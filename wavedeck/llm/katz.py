@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import ask, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
 from .scratch import stored
 
 #: Largest count that is discounted, and what is added to unigram counts.
@@ -59,20 +60,34 @@ def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
+class _Places(dict):
+    """Words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+def _by_pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by history, then word."""
+    wide = int(word.max(initial=0)) + 1
+    if (int(history.max(initial=0)) + 2) * wide < 1 << 63:
+        return np.argsort((history + 1) * wide + word)  # one key sorts faster than two
+    return np.lexsort((word, history))
+
+
 class Block:
     """A block's tokens as places in its own vocabulary (the end is the empty word), and its distinct bigrams."""
 
     def __init__(self, rows: pa.Table):
         learned = np.array(rows.column(2))
-        places: dict[bytes, int] = {b"": 0}
+        places = _Places({b"": 0})
         tokens, sizes = [], []
         for t in rows.column(1):
             words = (t.as_py() or "").encode().lower().split()
-            for w in words:
-                if w not in places:
-                    places[w] = len(places)
-            tokens.append(np.array([places[w] for w in words] + [0], dtype=np.int64))
-            sizes.append(len(words) + 1)
+            words.append(b"")
+            tokens.append(np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words)))
+            sizes.append(len(words))
         self.words = list(places)
         self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
         self.sizes = np.array(sizes, dtype=np.int64)
@@ -87,7 +102,7 @@ class Block:
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = BEGIN
         m = len(self.words)
-        key, self.of = np.unique((before + 1) * m + self.tokens, return_inverse=True)
+        self.of, key = pd.factorize((before + 1) * m + self.tokens)
         self.first, self.second = key // m - 1, key % m
         self.learned_pairs = np.bincount(self.of[self.learned[self.doc]], minlength=len(key))
 
@@ -147,7 +162,7 @@ class Known:
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(bucket, its bigrams sorted by history and word, hot histories to ask for besides)."""
-        order = np.lexsort((self.word, self.history))
+        order = _by_pair(self.history, self.word)
         more: dict[int, np.ndarray] = {b: self.extra[0][at] for b, at in _groups(self.extra[1])}
         for bucket, at in _groups(self.bucket[order]):
             yield bucket, order[at], more.pop(bucket, np.zeros(0, np.int64))
@@ -167,7 +182,7 @@ def _count_bigrams(asked: pa.Table) -> pa.Table:
     pairs = [(undelta(p[0]), p[1]) for p in parts]
     history, word = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
     n, alone = np.concatenate([p[2] for p in parts]).astype(np.int64), np.concatenate([p[3] for p in parts])
-    order = np.lexsort((word, history))
+    order = _by_pair(history, word)
     h, w = history[order], word[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])[: len(h)]
     first = np.flatnonzero(new)
@@ -189,7 +204,7 @@ def _count_bigrams(asked: pa.Table) -> pa.Table:
     for block, (own, _), part in zip(asked.column("block").to_pylist(), pairs, parts):
         mine = of[begin : begin + len(own)]
         begin += len(own)
-        wanted = np.unique(np.concatenate([own, part[4]]))
+        wanted = distinct(np.concatenate([own, part[4]]))
         k = np.minimum(np.searchsorted(heads, wanted), max(len(heads) - 1, 0))
         k = np.where(heads[k] == wanted, k, len(heads)) if len(heads) else np.zeros(len(wanted), np.int64)
         counts = np.where(seen[mine], total[np.maximum(position[mine], 0)], 0) if len(total) else np.zeros(len(mine), np.int64)
@@ -252,12 +267,12 @@ def _scores(known: Known, answers: pa.Table, model: Model) -> tuple[np.ndarray,
     block = known.block
     told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
     count = np.zeros(len(known.history), dtype=np.int64)
-    heads = np.unique(known.history)
+    heads = distinct(known.history)
     sums = np.zeros((3 + K, len(heads)), dtype=np.int64)
     for bucket, at, hot in known.parts():
         counts, *numbers = unpack(told[bucket])
         count[at] = counts
-        wanted = np.searchsorted(heads, np.unique(np.concatenate([known.history[at], hot])))
+        wanted = np.searchsorted(heads, distinct(np.concatenate([known.history[at], hot])))
         for i, v in enumerate(numbers):  # once a bucket: parts of a history add up
             sums[i, wanted] += v
     kept, weight = model.history(sums)
