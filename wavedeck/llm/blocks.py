@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import shared_dir
 
 #: Bytes of text in a block and behind a bucket, about.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 
 
 def make_blocks(rows: DataFrame, text: int, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -94,6 +94,12 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The sorted distinct keys, by a sort."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
 def delta(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
