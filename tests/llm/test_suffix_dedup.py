@@ -53,9 +53,9 @@ def test_index_is_the_sorted_suffixes():
         for k, s in enumerate(strings):
             rows[k, len(rows[k]) - len(s) :] = np.frombuffer(s, np.uint8)
         index = ColumnIndex(rows, sizes)
-        suffixes = [strings[o][a:] for o, a in zip(index.of, index.at)]
+        suffixes = [strings[o][a:] for o, a in zip(index.own >> 8, index.own & 255)]
         assert suffixes == sorted(suffixes)
-        assert [int(x) for x in index.bwt] == [strings[o][a - 1] + 1 if a else 0 for o, a in zip(index.of, index.at)]
+        assert [int(x) for x in index.bwt] == [strings[o][a - 1] + 1 if a else 0 for o, a in zip(index.own >> 8, index.own & 255)]
         for a, b, n in zip(suffixes, suffixes[1:], index.lcp[1:]):
             assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or n == len(a) == len(b)
         low = np.array([rng.randint(0, 50) for _ in strings])
@@ -63,7 +63,7 @@ def test_index_is_the_sorted_suffixes():
         for s, x in zip(strings, low.tolist()):
             for i in range(len(s) - 5):
                 lows[s[i : i + 6]] = min(lows.get(s[i : i + 6], 99), x)
-        assert passage_lows(strings, low, 6).tolist() == [lows[s[i : i + 6]] for s in strings for i in range(len(s) - 5)]
+        assert passage_lows(strings, low, 6, None).tolist() == [lows[s[i : i + 6]] for s in strings for i in range(len(s) - 5)]
 
 
 def test_rows(spark, odd, empty, odd_docs):

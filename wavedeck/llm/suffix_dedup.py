@@ -9,7 +9,7 @@ bucket: its passages go one by one to the bucket of their own hash.
 
 In a bucket the stretches are a collection of short documents. Its Burrows-Wheeler transform and common
 prefixes are built column-wise (Bauer, Cox, Rosone, 2013; Cox and others, 2016): every round inserts one
-symbol of each document, from the right, at the place that the symbols before it give, by one sequential
+symbol (two bytes, on a grid that the anchor lays, where `least` is even) of each document, from the right, at the place that the symbols before it give, by one sequential
 pass that reads the old streams and writes the new ones. Where the common prefix is `least` or more, passages are equal, and the
 smallest id of each run of equal ones goes back to the blocks.
 
@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASKS, ask, batch_of, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import ASKS, ask, batch_of, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
 from .scratch import stored
 
 #: Bytes of a passage that is removed, and of its anchor.
-LEAST, ANCHOR = 50, 26
-#: From so many occurrences on, an anchor's passages go to buckets of their own hash.
+LEAST, ANCHOR = 50, 20
+#: From so many occurrences of a context on, its passages go to buckets of their own hash.
 HOT = 1000
 #: Stretches of an index: a bucket's stretches are cut by their anchors' hash into about such parts.
 PART = 4096
+#: Places that are hashed at once.
+CHUNK = 1 << 17
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,118 +92,167 @@ class Block:
 
     def __init__(self, rows: pa.Table, id_at: int, text_at: int, least: int, k: int):
         ids = rows.column(id_at).combine_chunks()
-        self.known = ~np.array(ids.is_null())
+        known = ~np.array(ids.is_null())
         self.ids = np.array(ids.fill_null(0)).astype(np.int64)
-        texts = [(t.as_py() or "").encode() for t in rows.column(text_at)]
-        self.texts = texts
-        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.texts = [(t.as_py() or "").encode() for t in rows.column(text_at)]
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.least = least
-        self.run_start = self.run_len = self.run_doc = np.zeros(0, np.int64)
-        self.run_hash = np.zeros(0, np.uint64)
-        if len(self.data) < least:
-            return
-        h = window_hashes(self.data, k)
-        low = _lowest(h, least - k + 1)  # of the passage that starts at each place
-        doc = np.repeat(np.arange(len(texts)), self.sizes)[: len(low)]
-        inside = (self.starts + self.sizes)[doc] - np.arange(len(low)) >= least
-        inside &= self.known[doc]
-        new = np.ones(len(low), dtype=bool)
-        new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
-        first = np.flatnonzero(new & inside)
-        # a run ends before the next run or the first passage that leaves its document
-        ends = np.flatnonzero(np.concatenate([(new | ~inside)[1:], [True]])) + 1
-        self.run_start, self.run_doc = first, doc[first]
-        self.run_len = ends[np.searchsorted(ends, first, side="right")] - first
-        self.run_hash = h[low[first]]
+        self.raw = b"".join(self.texts)
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.least, self.wide = least, (least - k) // 2
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        found: list[tuple[np.ndarray, ...]] = [(*none[:1] * 4, *none[1:] * 3)]
+        # chunk by chunk, so that the arrays stay in the cache; a run that a chunk's end cuts is two runs
+        for at in range(0, len(self.data) - least + 1, CHUNK):
+            part = self.data[at : at + CHUNK + least - 1]
+            h = window_hashes(part, k)
+            low = _lowest(h, least - k + 1)  # of the passage that starts at each place
+            first, last = np.searchsorted(self.starts, [at, at + len(low) - 1], side="right") - 1
+            ends = (self.starts + self.sizes)[first : last + 1] - at
+            begins = np.maximum(self.starts[first : last + 1] - at, 0)
+            inside = np.zeros(len(low), dtype=bool)
+            new = np.ones(len(low) + 1, dtype=bool)
+            new[1:-1] = low[1:] != low[:-1]
+            for x, y, on in zip(begins.tolist(), ends.tolist(), known[first : last + 1].tolist()):
+                if on and y - least >= x:
+                    inside[x : y - least + 1] = True
+                    new[x] = True
+                    new[min(y - least + 1, len(low))] = True
+            edges = np.flatnonzero(new)
+            start = edges[:-1]
+            size = np.diff(edges)
+            on = inside[start]
+            start, size = start[on], size[on]
+            anchor = low[start]
+            # passages up to `before` have the context to the anchor's left, the others that to its right
+            border = anchor - self.wide - start + 1
+            before = np.clip(border, 0, size)
+            context = window_hashes(part, k + self.wide)
+            top = len(context) - 1
+            left, right = context[np.clip(anchor - self.wide, 0, top)], ~context[np.minimum(anchor, top)]
+            found.append((start + at, size, before, border & 1, h[anchor], left, right))
+        self.run_start, self.run_len, self.run_before, self.grid, self.run_hash, self.left, self.right = (np.concatenate(x) for x in zip(*found))
+        # grid: whether the run begins an odd number of bytes from its anchor's left context
+        self.has_left, self.has_right = self.run_before > 0, self.run_before < self.run_len
+
+    def docs(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, side="right") - 1
+
+
+def _place(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and, in the low half, a 32-bit key in it. Hashes are mixed anew as anchors have low ones. Two
+    contexts of one key are taken for one here: their passages are compared in full later."""
+    m = _mix(h * _MUL)
+    return ((m >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)) << np.uint64(32) | (m & np.uint64(0xFFFFFFFF))
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, its slice) of sorted bucket numbers."""
+    ends = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
+    if len(bucket):
+        for a, b in zip([0, *ends], [*ends, len(bucket)]):
+            yield int(bucket[a]), slice(a, b)
 
 
 def _questions(block: Block, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Per bucket: the sorted distinct anchors, their occurrences, and whether two documents here have them."""
-    if not len(block.run_hash):
-        return
-    order = np.lexsort((block.ids[block.run_doc], block.run_hash))
-    h, ids = block.run_hash[order], block.ids[block.run_doc][order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    n = np.diff(np.append(first, len(h)))
-    several = ids[first] != ids[first + n - 1]
-    low, h = ids[first], h[first]
-    for bucket, at in _split(h, buckets):
-        yield bucket, pack(delta(h[at]), n[at].astype(np.uint32), several[at].astype(np.uint8), low[at])
-
-
-def _split(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) by hash; places keep their order."""
-    bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-    for a, b in zip([0, *ends[:-1]], ends):
-        yield int(bucket[order[a]]), order[a:b]
+    """Per bucket: the sorted distinct contexts, their occurrences, and whether two documents here have them."""
+    places = _place(np.concatenate([block.left[block.has_left], block.right[block.has_right]]), buckets)
+    doc = block.ids[block.docs(block.run_start)]
+    ids = np.concatenate([doc[block.has_left], doc[block.has_right]])
+    order = np.argsort(places, kind="stable")
+    places, ids = places[order], ids[order]
+    first = np.flatnonzero(np.diff(places, prepend=~places[:1]))
+    n = np.diff(np.append(first, len(places)))
+    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
+    places = places[first]
+    for bucket, at in _parts(places >> np.uint64(32)):
+        yield bucket, pack(delta(places[at].astype(np.uint32)), n[at].astype(np.uint32), several[at].astype(np.uint8))
 
 
 def _shared(asked: pa.Table) -> pa.Table:
-    """Per asking block: 0 where one document alone has the anchor, 1 where more have it, 2 where it is hot as well."""
+    """Per asking block: 0 where one block's one document alone has the context, 1 where more have it, 2 where it is hot as well."""
     asked = asked.sort_by("block")
     parts = [unpack(d) for d in asked.column("data").to_pylist()]
     keys = [undelta(p[0]) for p in parts]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     h, n = every[order], np.concatenate([p[1] for p in parts])[order].astype(np.int64)
-    several, low = np.concatenate([p[2] for p in parts])[order], np.concatenate([p[3] for p in parts])[order]
+    several = np.concatenate([p[2] for p in parts])[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    more = np.maximum.reduceat(several, first).astype(bool) | (np.minimum.reduceat(low, first) != np.maximum.reduceat(low, first))
+    asks = np.diff(np.append(first, len(h)))
+    more = np.maximum.reduceat(several, first).astype(bool) | (asks > 1)
     said = np.where(more, np.where(np.add.reduceat(n, first) >= HOT, 2, 1), 0).astype(np.uint8)
     back = np.zeros(len(every), dtype=np.uint8)
-    back[order] = np.repeat(said, np.diff(np.append(first, len(h))))
+    back[order] = np.repeat(said, asks)
     out = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
     return pa.Table.from_batches([batch_of([(b, k, pack(o)) for b, k, o in zip(asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), out)])])
 
 
+def _at(data: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """window_hashes at some places only."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out = out * _MUL + data[start + j] + np.uint64(1)
+        return _mix(out)
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Stretches:
-    """What a block sends in its second question, made anew whenever it is needed."""
+    """What a block sends in its second question."""
 
     def __init__(self, block: Block, answers: pa.Table, buckets: int):
-        self.block = block
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
-        h = np.unique(block.run_hash)
-        said = np.zeros(len(h), dtype=np.uint8)
-        for bucket, at in _split(h, buckets):
-            said[at] = unpack(told[bucket])[0]
-        kind = said[np.searchsorted(h, block.run_hash)]
-        warm, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-        start, size, key = block.run_start[warm], block.run_len[warm] + block.least - 1, block.run_hash[warm]
-        if len(hot):  # one by one, by their own hash
-            n = block.run_len[hot]
-            one = np.repeat(block.run_start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = _at(block.data, one, block.least)
-            start, size, key = np.concatenate([start, one]), np.concatenate([size, np.full(len(one), block.least)]), np.concatenate([key, own])
-        self.start, self.size = start, size
-        self.doc = np.searchsorted(block.starts, start, side="right") - 1
-        # texts without bytes share their start with the next: take the one that holds the place
-        # distinct by content, which is in practice its hash, size and key, and is compared in full
-        content = [block.data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())]
-        distinct: dict[bytes, int] = {}
-        self.of = np.array([distinct.setdefault(c, len(distinct)) for c in content], dtype=np.int64)
-        self.texts = list(distinct)
+        said = [unpack(told[b])[0] for b in sorted(told)]  # buckets in order: as the sorted places
+        on = block.has_left, block.has_right
+        places = [_place(h[o], buckets) for h, o in zip((block.left, block.right), on)]
+        known = distinct(np.concatenate(places))
+        kinds = []
+        for p, o in zip(places, on):
+            kind = np.zeros(len(o), dtype=np.uint8)
+            if len(p):
+                kind[o] = np.concatenate(said)[np.searchsorted(known, p)]
+            kinds.append(kind)
+        left, right = kinds
+        # warm: from the left passages' start, or where the right ones begin, to where the warm ones end
+        begin = np.where(left == 1, 0, block.run_before)
+        end = np.where(right == 1, block.run_len, block.run_before)
+        warm = np.flatnonzero(end > begin)
+        start, size, key = (block.run_start + begin)[warm], (end - begin)[warm] + block.least - 1, block.run_hash[warm]
+        phase = (block.grid ^ begin)[warm] & 1
+        first = np.concatenate([block.run_start[left == 2], (block.run_start + block.run_before)[right == 2]])
+        n = np.concatenate([block.run_before[left == 2], (block.run_len - block.run_before)[right == 2]])
+        if len(first):  # hot ones, one by one, by their own hash
+            one = np.repeat(first, n) + _steps(n)
+            start, size, key = np.concatenate([start, one]), np.concatenate([size, np.full(len(one), block.least)]), np.concatenate([key, _at(block.data, one, block.least)])
+            phase = np.concatenate([phase, np.zeros(len(one), phase.dtype)])
+        texts: dict[bytes, int] = {}
+        raw = block.raw
+        of = [texts.setdefault(raw[a : a + n], len(texts)) for a, n in zip(start.tolist(), size.tolist())]
+        self.start, self.of, self.texts = start, np.array(of, dtype=np.int64), list(texts)
         m = len(self.texts)
         self.low = np.full(m, np.iinfo(np.int64).max)
-        np.minimum.at(self.low, self.of, block.ids[self.doc])
+        np.minimum.at(self.low, self.of, block.ids[block.docs(start)])
         self.key = np.zeros(m, dtype=np.uint64)
         self.key[self.of] = key
+        self.phase = np.zeros(m, dtype=np.uint8)
+        self.phase[self.of] = phase
+        self.size = np.array([len(t) for t in self.texts], dtype=np.uint8)
+        self.bucket = (_place(self.key, buckets) >> np.uint64(32)).astype(np.uint32)
 
-    def questions(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        for bucket, at in _split(self.key, buckets):
-            yield bucket, pack(np.array([len(self.texts[i]) for i in at], dtype=np.uint8), self.low[at], self.key[at], b"".join([self.texts[i] for i in at]))
-
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        order = np.argsort(self.bucket, kind="stable")
+        for bucket, part in _parts(self.bucket[order]):
+            at = order[part]
+            yield bucket, pack(self.size[at], self.phase[at], self.low[at], self.key[at], b"".join([self.texts[i] for i in at.tolist()]))
 
-def _at(data: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
-    """window_hashes at some places only."""
-    out = np.zeros(len(start), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            out = out * _MUL + data[start + j] + np.uint64(1)
-        return _mix(out)
+    def note(self) -> bytes:
+        """What the block needs itself to understand the answers."""
+        return pack(self.start, self.of.astype(np.uint32), self.size, self.bucket)
 
 
 class ColumnIndex:
@@ -211,31 +262,36 @@ class ColumnIndex:
     start), lcp (common prefix with the suffix before it), of and at (its string and place). Ends come first and differ."""
 
     def __init__(self, strings: np.ndarray, sizes: np.ndarray):
-        """strings: one padded row each, aligned to the right; bytes below 255 (UTF-8 has none above)."""
+        """strings: one padded row of symbols each, aligned to the right; unsigned numbers below the type's largest
+        (UTF-8 has no byte 255)."""
         m, wide = strings.shape
-        symbols = strings.astype(np.uint8) + np.uint8(1)
+        symbols = strings + strings.dtype.type(1)
+        kind = symbols.dtype
         here = np.arange(m)
-        self.bwt = np.where(sizes > 0, symbols[:, -1], 0).astype(np.uint8)
+        self.bwt = np.where(sizes > 0, symbols[:, -1], 0).astype(kind)
         self.lcp = np.zeros(m, dtype=np.uint8)
-        self.of, self.at = np.arange(m, dtype=np.int32), sizes.astype(np.int16)
+        self.own = (np.arange(m) << 8 | sizes).astype(np.int32)
         place, self.m = here.copy(), m  # place: of each unfinished string's longest suffix so far
         for column in range(1, wide + 1):
             here = here[sizes[here] >= column]
             if not len(here):
                 break
-            before = np.where(sizes[here] > column, symbols[here, wide - column - 1], 0).astype(np.uint8) if column < wide else np.zeros(len(here), np.uint8)
+            before = np.where(sizes > column, symbols[:, wide - column - 1], 0).astype(kind) if column < wide else np.zeros(m, kind)
             place = self._insert(here, place, before, sizes, column)
 
     def _insert(self, here: np.ndarray, place: np.ndarray, before: np.ndarray, sizes: np.ndarray, column: int) -> np.ndarray:
         bwt, n = self.bwt, len(self.bwt)
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.arange(n)
-        started = int((bwt == 0).sum())
-        own = rank[place[here]]
+        # the ranks of the newest symbols: they are marked, and found again in sorted order
+        newest = np.zeros(n, dtype=bool)
+        newest[place[here]] = True
+        string = np.empty(n, dtype=np.int32)
+        string[place[here]] = here
+        own = np.flatnonzero(newest[order])
+        here = string[order[own]].astype(np.int64)
+        before = before[here]
+        started = int(np.count_nonzero(bwt == 0))
         to = self.m + own - started  # where the symbols before a suffix put the suffix that starts with its own
-        by_place = np.argsort(to, kind="stable")
-        here, own, to, before = here[by_place], own[by_place], to[by_place], before[by_place]
         now = order[own]
         symbol = bwt[now]
         # neighbours that start with the same symbol: its occurrences before and after
@@ -257,7 +313,7 @@ class ColumnIndex:
             return out
 
         self.bwt, self.lcp = merged(bwt, before), merged(self.lcp, with_low)
-        self.of, self.at = merged(self.of, here), merged(self.at, sizes[here] - column)
+        self.own = merged(self.own, (here << 8 | sizes[here] - column).astype(np.int32))
         after = to + 1  # an old suffix behind a new one now has that one before it
         fix = after < size
         fix[fix] = old[after[fix]]
@@ -282,48 +338,67 @@ def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def passage_lows(strings: list[bytes], low: np.ndarray, least: int) -> np.ndarray:
-    """For every passage of distinct strings, on end: the smallest `low` of the strings that have it."""
+def passage_lows(strings: list[bytes], low: np.ndarray, least: int, phase: np.ndarray | None = None) -> np.ndarray:
+    """For every passage of distinct strings, on end: the smallest `low` of the strings that have it.
+
+    Given phases and an even `least`, symbols are two bytes: passages that start at places of the string's phase,
+    odd or even, are indexed on their grid, the others on the other one. Equal passages must lie alike on the grids.
+    """
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
-    wide = int(sizes.max())
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    rows = np.zeros((len(strings), wide), dtype=np.uint8)
-    rows[np.arange(wide)[None, :] >= (wide - sizes)[:, None]] = flat
-    index = ColumnIndex(rows, sizes)
-    first = np.flatnonzero(index.lcp < least)
-    group_low = np.minimum.reduceat(low[index.of], first)
-    run = np.repeat(group_low, np.diff(np.append(first, len(index.lcp))))
+    begin = np.cumsum(sizes) - sizes
     passages = sizes - least + 1
     offset = np.cumsum(passages) - passages
-    is_passage = sizes[index.of] - index.at >= least
     out = np.empty(int(passages.sum()), dtype=np.int64)
-    out[offset[index.of[is_passage]] + index.at[is_passage]] = run[is_passage]
+    width = 1 if phase is None or least % 2 else 2
+    for grid in range(width):
+        skip = (phase ^ grid).astype(np.int64) if width == 2 else np.zeros(len(sizes), np.int64)
+        n = np.maximum(passages - skip + width - 1, 0) // width  # passages on this grid
+        at = np.flatnonzero(n)
+        if not len(at):
+            continue
+        symbols = n[at] + least // width - 1
+        wide = int(symbols.max())
+        rows = np.zeros((len(at), wide * width), dtype=np.uint8)
+        used = symbols * width
+        rows[np.arange(wide * width)[None, :] >= (wide * width - used)[:, None]] = flat[np.repeat((begin + skip)[at], used) + _steps(used)]
+        index = ColumnIndex(rows if width == 1 else rows.view(np.uint16), symbols)
+        first = np.flatnonzero(index.lcp < least // width)
+        of, place = index.own >> 8, index.own & 255
+        run = np.repeat(np.minimum.reduceat(low[at][of], first), np.diff(np.append(first, len(of))))
+        mine = symbols[of] - place >= least // width
+        out[(offset + skip)[at][of[mine]] + place[mine] * width] = run[mine]
     return out
 
 
 def _lows(asked: pa.Table, least: int) -> pa.Table:
-    """Per asking block: the smallest document of each passage of its stretches, on end."""
+    """Per asking block: the smallest document of each passage of its stretches, on end. A block's note to itself,
+    under a negative number, goes back as it came."""
+    if asked.column("bucket")[0].as_py() < 0:
+        return asked.select(["block", "bucket", "data"])
     asked = asked.sort_by("block")
     texts: dict[bytes, int] = {}
     low: list[int] = []
     key: list[int] = []
+    phase: list[int] = []
     sent = []
     for data in asked.column("data").to_pylist():
-        sizes, lows, keys, flat = unpack(data)
+        sizes, phases, lows, keys, flat = unpack(data)
         flat, ends = flat.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
         rows = []
-        for a, b, first, k in zip([0, *ends[:-1]], ends, lows.tolist(), keys.tolist()):
+        for a, b, first, k, p in zip([0, *ends[:-1]], ends, lows.tolist(), keys.tolist(), phases.tolist()):
             t = flat[a:b]
             i = texts.get(t)
             if i is None:
                 i = texts[t] = len(low)
                 low.append(first)
                 key.append(k)
+                phase.append(p)
             elif first < low[i]:
                 low[i] = first
             rows.append(i)
         sent.append(np.array(rows, dtype=np.int64))
-    strings, lows, keys = list(texts), np.array(low, dtype=np.int64), np.array(key, dtype=np.uint64)
+    strings, lows, keys, grid = list(texts), np.array(low, dtype=np.int64), np.array(key, dtype=np.uint64), np.array(phase, dtype=np.int64)
     passages = np.array([len(s) for s in strings], dtype=np.int64) - least + 1
     offset = np.cumsum(passages) - passages
     found = np.empty(int(passages.sum()), dtype=np.int64)
@@ -332,40 +407,40 @@ def _lows(asked: pa.Table, least: int) -> pa.Table:
     for p in range(parts):
         at = np.flatnonzero(part == p)
         if len(at):
-            n = passages[at]
-            to = np.repeat(offset[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found[to] = passage_lows([strings[i] for i in at], lows[at], least)
+            to = np.repeat(offset[at], passages[at]) + _steps(passages[at])
+            found[to] = passage_lows([strings[i] for i in at], lows[at], least, grid[at])
     out = []
     for block, bucket, rows in zip(asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), sent):
-        n = passages[rows]
-        to = np.repeat(offset[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append((block, bucket, pack(found[to])))
+        out.append((block, bucket, pack(found[np.repeat(offset[rows], passages[rows]) + _steps(passages[rows])])))
     return pa.Table.from_batches([batch_of(out)])
 
 
-def removed(stretches: Stretches, answers: pa.Table, buckets: int) -> np.ndarray:
-    """Which bytes of a block's texts go."""
-    block, least = stretches.block, stretches.block.least
+def removed(sizes: np.ndarray, ids: np.ndarray, answers: pa.Table, least: int) -> np.ndarray:
+    """Which bytes of a block's texts, on end, go: sizes and ids of its texts, and the answers with its note."""
     told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
-    passages = np.array([len(t) for t in stretches.texts], dtype=np.int64) - least + 1
+    start, of, size, bucket = unpack(told[min(told)])
+    passages = size.astype(np.int64) - least + 1
     offset = np.cumsum(passages) - passages
     lows = np.empty(int(passages.sum()), dtype=np.int64)
-    for bucket, at in _split(stretches.key, buckets):
-        n = passages[at]
-        lows[np.repeat(offset[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = unpack(told[bucket])[0]
-    n = passages[stretches.of]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    earlier = lows[np.repeat(offset[stretches.of], n) + step] < np.repeat(block.ids[stretches.doc], n)
-    start = (np.repeat(stretches.start, n) + step)[earlier]
-    edge = np.zeros(len(block.data) + 1, dtype=np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + least, -1)
+    order = np.argsort(bucket, kind="stable")
+    for b, part in _parts(bucket[order]):
+        at = order[part]
+        lows[np.repeat(offset[at], passages[at]) + _steps(passages[at])] = unpack(told[b])[0]
+    n = passages[of]
+    step = _steps(n)
+    doc = np.searchsorted(np.cumsum(sizes) - sizes, start, side="right") - 1
+    earlier = lows[np.repeat(offset[of], n) + step] < np.repeat(ids[doc], n)
+    at = (np.repeat(start, n) + step)[earlier]
+    total = int(sizes.sum())
+    edge = np.bincount(at, minlength=total + 1) - np.bincount(at + least, minlength=total + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per row of docs: id_col, the columns in keep, n_bytes, spans (the maximal removed runs, in bytes), kept
     (binary: the remaining bytes, on end; as_text: their characters, without what is left of characters cut in two)."""
+    if not anchor <= least or 2 * least - anchor > 255:
+        raise ValueError("an anchor is at most as long as a passage, and stretches are at most 255 bytes long")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [id_col, *keep]
     rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate([id_col, text_col, *keep])))
@@ -379,20 +454,20 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     shared = stored(shared, "anchors")
 
     def second(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([batch_of([(block, b, q) for b, q in Stretches(made(table), answers, buckets).questions(buckets)])])
+        stretches = Stretches(made(table), answers, buckets)
+        return pa.Table.from_batches([batch_of([*((block, b, q) for b, q in stretches.questions()), (block, -1 - block, stretches.note())])])
 
     asked = with_answers(blocks, shared, second, ASKS)
     lows = stored(asked.groupBy("bucket").applyInArrow(lambda t: _lows(t, least), ASKS), "passages")
-    both = shared.withColumn("round", F.lit(1)).unionByName(lows.withColumn("round", F.lit(2)))
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        of = made(table)
-        turn = np.array(answers.column("round"))
-        stretches = Stretches(of, answers.filter(pa.array(turn == 1)), buckets)
-        gone = removed(stretches, answers.filter(pa.array(turn == 2)), buckets)
+        ids = table.column(0).combine_chunks()
+        texts = [(t.as_py() or "").encode() for t in table.column(1)]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        gone = removed(sizes, np.array(ids.fill_null(0)).astype(np.int64), answers, least)
         spans, kept = [], []
-        for a, n, text in zip(of.starts.tolist(), of.sizes.tolist(), of.texts):
-            cut = gone[a : a + n]
+        for end, text in zip(np.cumsum(sizes).tolist(), texts):
+            cut = gone[end - len(text) : end]
             if not cut.any():
                 spans.append([])
                 kept.append(text)
@@ -402,6 +477,6 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
             kept.append(np.frombuffer(text, dtype=np.uint8)[~cut].tobytes())
         columns = [table.column(0), *(table.column(2 + i) for i in range(len(keep)))]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.Table.from_arrays([*columns, pa.array(of.sizes), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], [*names, "n_bytes", "spans", "kept"])
+        return pa.Table.from_arrays([*columns, pa.array(sizes), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], [*names, "n_bytes", "spans", "kept"])
 
-    return with_answers(blocks, both, last, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", n_bytes long, spans array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}")
+    return with_answers(blocks, lows, last, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", n_bytes long, spans array<struct<start: long, stop: long>>, kept {'string' if as_text else 'binary'}")
