@@ -105,7 +105,8 @@ def tag_int(c: Column, mark: str) -> Column:
 
 def number(c: Column) -> Column:
     """A plain decimal number; null for what only Spark would accept, and for what isn't finite."""
-    return F.when(c.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), c).try_cast("double")
+    n = F.when(c.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), c).try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def tag_float(c: Column, mark: str) -> Column:

@@ -55,7 +55,7 @@ def merge(records: DataFrame, keys: Sequence[str], seq: str, fields: Sequence[st
         picked.append(F.col(c))
     for c in maps:
         # a group has one row per source record of one call and year: a handful
-        entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("s"), F.map_entries(c).alias("e")))), lambda x: x["e"]))
+        entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("s"), F.map_entries(c).alias("e"))))), lambda x: x["e"]))
         aggregates.append(entries.alias(c))
         keys_of = F.array_distinct(F.transform(F.col(c), lambda e: e["key"]))
         last = F.transform(keys_of, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(F.col(c), lambda e: e["key"] == k), -1)["value"].alias("value")))

@@ -15,7 +15,7 @@ from . import files
 from .records import FolderWriter
 
 RANGE = 8 << 20
-_LINE = re.compile(rb"([^ ]+) +([0-9]+) *")
+_LINE = re.compile(rb"([^ \t\r\n]+) +([0-9]+) *")
 _HEADER = re.compile(r"[ -~]{1,100}")
 
 
