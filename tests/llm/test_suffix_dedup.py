@@ -84,3 +84,13 @@ def test_many_copies(spark, monkeypatch):
     rows = [(i, shared if i % 3 else "".join(rng.choice("xyz ") for _ in range(60)) + shared[: 40 + i % 60]) for i in range(150)]
     got = {r.doc_id: [[s.start, s.stop] for s in r.spans] for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: spans for (i, _), (spans, _) in zip(rows, brute(rows))}
+
+
+def test_characters_that_a_cut_splits(spark):
+    shared = "nothing but ordinary words that two documents have alike"
+    rows = [(1, "\u00e9" + shared + "\u00e9!"), (2, "\u0169" + shared + "\u0169?")]  # equal second bytes, unlike first ones
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {i: kept for (i, _), (_, kept) in zip(rows, brute(rows))}
+    assert expected[2].decode(errors="replace") != expected[2].decode(errors="ignore")
+    assert {r.doc_id: bytes(r.kept) for r in dedup_passages(df).collect()} == expected
+    assert {r.doc_id: r.kept for r in dedup_passages(df, as_text=True).collect()} == {i: k.decode(errors="ignore") for i, k in expected.items()}

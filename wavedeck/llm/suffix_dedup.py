@@ -94,10 +94,11 @@ class Block:
         ids = rows.column(id_at).combine_chunks()
         known = ~np.array(ids.is_null())
         self.ids = np.array(ids.fill_null(0)).astype(np.int64)
-        self.texts = [(t.as_py() or "").encode() for t in rows.column(text_at)]
-        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        texts = [(t.as_py() or "").encode() for t in rows.column(text_at)]
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.raw = b"".join(self.texts)
+        self.raw = b"".join(texts)
+        del texts
         self.data = np.frombuffer(self.raw, dtype=np.uint8)
         self.least, self.wide = least, (least - k) // 2
         none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -426,14 +427,17 @@ def removed(sizes: np.ndarray, ids: np.ndarray, answers: pa.Table, least: int) -
     for b, part in _parts(bucket[order]):
         at = order[part]
         lows[np.repeat(offset[at], passages[at]) + _steps(passages[at])] = unpack(told[b])[0]
-    n = passages[of]
-    step = _steps(n)
     doc = np.searchsorted(np.cumsum(sizes) - sizes, start, side="right") - 1
-    earlier = lows[np.repeat(offset[of], n) + step] < np.repeat(ids[doc], n)
-    at = (np.repeat(start, n) + step)[earlier]
-    total = int(sizes.sum())
-    edge = np.bincount(at, minlength=total + 1) - np.bincount(at + least, minlength=total + 1)
-    return np.cumsum(edge[:-1]) > 0
+    begins = np.zeros(int(sizes.sum()) + 1, dtype=bool)  # where a passage that goes begins
+    for a in range(0, len(start), 50_000):
+        part = slice(a, a + 50_000)
+        n = passages[of[part]]
+        step = _steps(n)
+        earlier = lows[np.repeat(offset[of[part]], n) + step] < np.repeat(ids[doc[part]], n)
+        begins[(np.repeat(start[part], n) + step)[earlier]] = True
+    upto = np.cumsum(begins, dtype=np.int32)[:-1]
+    upto[least:] -= upto[:-least].copy()
+    return upto > 0
 
 
 def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -475,6 +479,8 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
             edges = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             spans.append([{"start": x, "stop": y} for x, y in edges.tolist()])
             kept.append(np.frombuffer(text, dtype=np.uint8)[~cut].tobytes())
+        if as_text:
+            kept = [k.decode(errors="ignore") for k in kept]
         columns = [table.column(0), *(table.column(2 + i) for i in range(len(keep)))]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.Table.from_arrays([*columns, pa.array(sizes), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], [*names, "n_bytes", "spans", "kept"])
