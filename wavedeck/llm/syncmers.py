@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 #: Words of an anchor and of its inner substrings.
 K, S = 7, 2
 #: Rows of a bucket of neighbouring ids, and the most buckets.
@@ -34,7 +36,7 @@ def let(value: Column, body) -> Column:
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<struct<pos: int, anchor: int>>: places (words from 0) and hashes of a text's closed syncmers."""
-    return _anchors(text, k, s, lambda i, h: F.struct((i - 1).alias("pos"), h.alias("anchor")))
+    return _anchors(text, k, s, lambda i, h: F.struct(i.alias("pos"), h.alias("anchor")))
 
 
 def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
@@ -50,13 +52,13 @@ def _anchors(text: Column, k: int, s: int, out) -> Column:
         inner = F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s))))
 
         def chosen(g: Column) -> Column:
-            def closed(i: Column) -> Column:
-                return F.least(F.get(g, i - 1), F.get(g, i + (wide - 1))) <= F.least(*(F.get(g, i + (j - 1)) for j in range(1, wide)), F.lit((1 << 63) - 1))
+            def chosen_at(first: Column, i: Column) -> Column:
+                closed = F.least(first, F.get(g, i + wide)) <= F.least(*(F.get(g, i + j) for j in range(1, wide)), F.lit((1 << 63) - 1))
+                return F.when(closed, out(i, F.hash(*(F.get(h, i + j) for j in range(k)))))
 
-            places = F.filter(F.sequence(F.lit(1), n - (k - 1)), closed)
-            return F.transform(places, lambda i: out(i, F.hash(F.slice(h, i, k))))
+            return F.filter(F.transform(F.slice(g, F.lit(1), n - (k - 1)), chosen_at), lambda x: x.isNotNull())
 
-        whole = F.array(out(F.lit(1), F.hash(h)))
+        whole = F.array(out(F.lit(0), F.hash(h)))
         short = F.slice(whole, 1, F.when(n > 0, 1).otherwise(0))
         return F.when(n >= k, let(inner, chosen)).otherwise(short)
 
@@ -104,7 +106,7 @@ def with_next(docs: DataFrame, columns: dict[str, Column], id_col: str = "doc_id
     every = W.orderBy("bucket")
     wraps = F.max("first").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     table = F.broadcast(firsts.select(F.coalesce(F.lag("first").over(every), wraps).alias("id"), F.col("bucket").alias("guards")))
-    heads = known.join(table, "id").withColumn("h", F.xxhash64("text"))
+    heads = stored(known.join(table, "id").withColumn("h", F.xxhash64("text")), "heads")
     best = heads.groupBy("guards").agg(F.max("h").alias("h"))
     guards = heads.join(best, ["guards", "h"]).dropDuplicates(["guards"]).select("id", "text", F.col("guards").alias("bucket"), F.lit(1).alias("guard"))
     alone = rows.where("id is null").select("id", "text", F.lit(-1).alias("bucket"), F.lit(0).alias("guard"))
