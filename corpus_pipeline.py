@@ -14,12 +14,20 @@ from wavedeck.llm import packing, quality_rank, simhash_trie, suffix_dedup
 from wavedeck.llm.scratch import stored
 
 
+def _aside(docs: DataFrame, *own: str) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with all columns but `own` under names that clash with nothing, those names, and the names they had."""
+    others = [c for c in docs.columns if c not in own]
+    names = [f"_column_{i}" for i in range(len(others))]
+    return docs.select(*own, *(F.col(f"`{c}`").alias(n) for c, n in zip(others, names))), names, others
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking learned from labels.quality doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_rank.learn(docs, labels, F.lit(True))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_rank.score(docs, model, keep=others).where(F.col("score") >= model.cut).select(docs.columns)
+    renamed, names, others = _aside(docs, "doc_id", "text")
+    kept = quality_rank.score(renamed, model, keep=("text", *names)).where(F.col("score") >= model.cut)
+    return kept.select("doc_id", "text", *(F.col(n).alias(c) for n, c in zip(names, others))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +37,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes or more that a document with a smaller id has."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix_dedup.dedup_passages(docs, keep=others, as_text=True).withColumnRenamed("kept", "text")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    renamed, names, others = _aside(docs, "doc_id", "text")
+    found = suffix_dedup.dedup_passages(renamed, keep=tuple(names), as_text=True)
+    kept = found.select("doc_id", F.col("kept").alias("text"), *((F.length("kept").cast("long") if c == "n_chars" else F.col(n)).alias(c) for n, c in zip(names, others)))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,18 @@ def test_stages_keep_the_columns(spark, sf_dir, documents):
         assert docs.columns == documents.columns and docs.dtypes == documents.dtypes
 
 
+
+
+def test_odd_rows_and_columns(spark, sf_dir, odd_docs):
+    """Nulls in any column, empty and repeated rows, and columns named as the stages' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, `a.b` int, spans int, id long"
+    rows = [(*d[:5], 1.0, "k", 1, None, 7) for d in odd_docs]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for part in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = part
+            part = stage(spark, part, sf_dir)
+            assert part.dtypes == before.dtypes and part.count() <= before.count()
+            assert all(r.kept == "k" and r.id == 7 and r.score == 1.0 for r in part.collect())
+        packed = corpus_pipeline.STAGES[-1][1](spark, part, sf_dir)
+        assert packed.select("doc_id").distinct().count() == part.select("doc_id").distinct().count()
