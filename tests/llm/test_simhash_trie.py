@@ -105,7 +105,20 @@ def expected_without(rows, n=5, budget=6):
         a, b = set(shingles(texts[a], n)), set(shingles(texts[b], n))
         return len(a & b) / len(a | b) >= 0.8 if a | b else True
 
-    return {i for i in texts if components[i] == i or not alike(i, components[i])}
+    kept = set()
+    for c in set(components.values()):
+        left, seen = [], set()
+        for i in sorted(i for i in texts if components[i] == c):
+            if (texts[i] or "") not in seen:
+                left.append(i)
+            seen.add(texts[i] or "")
+        for _ in range(3):
+            if left:
+                head, *rest = left
+                kept.add(head)
+                left = [i for i in rest if not alike(i, head)]
+        kept.update(left)
+    return kept
 
 
 def test_near_copies_go(documents, odd, empty, odd_docs):
@@ -120,3 +133,23 @@ def test_near_copies_go(documents, odd, empty, odd_docs):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in left) == sorted(-1 if d[0] is None else d[0] for d in odd_docs if d[0] is None or d[0] in keep)
     assert without_near_duplicates(empty).count() == 0
     assert near_duplicates(documents.withColumn("fp", F.lit(1))).columns == ["doc_id", "fp", "component_id"]
+
+
+def test_every_cluster_of_a_group_is_thinned(spark, monkeypatch):
+    """Two clusters and lone documents that the fingerprints put into one group."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    make = lambda: [words[i] for i in rng.integers(0, 400, 120)]
+    rows, n = [], 0
+    for size in (4, 3, 2, 1, 1):
+        base = make()
+        for k in range(size):
+            text = list(base)
+            text[k * 7] = "changed"
+            rows.append((n, " ".join(text)))
+            n += 1
+    rows += [(n, rows[-1][1]), (n + 1, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    as_one = df.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
+    monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
+    assert {r.doc_id for r in without_near_duplicates(df).collect()} == {0, 4, 7, 9, 10}

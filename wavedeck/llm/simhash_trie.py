@@ -237,20 +237,34 @@ def _shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("id", "component", "text").mapInArrow(run, "id long, component long, shingles array<long>")
 
 
-def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: of each group the document with the smallest id stays, and every other whose
-    n-word shingles are below `similarity` (Jaccard) to that one's. Rows without an id stay; rows that share an id
-    stay or go together. The fingerprints' groups are candidates only: what goes was compared exactly."""
+def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, similarity: float = 0.8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies. Groups of near fingerprints are candidates; within one, the document with the
+    smallest id stays and all whose n-word shingles are at `similarity` (Jaccard) or above to its go. Of those that
+    are left the smallest stays next, for so many rounds; what is left then stays, but for copies of one text.
+
+    A document goes only for one that stays and that it was compared with. Rows without an id stay; rows that share
+    an id stay or go together.
+    """
     groups = stored(near_duplicates(docs, n, budget, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("component_id").alias("component")).distinct(), "near")
     several = groups.where("id <> component").select("component").distinct()
     members = groups.join(several, "component", "left_semi")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(members, "id")
     texts = stored(texts.withColumn("sha", F.sha2("text", 256)), "members")
-    copies = texts.groupBy("component", "sha").agg(F.min("id").alias("id"))
-    firsts = texts.join(copies, ["component", "sha", "id"], "left_semi").dropDuplicates(["component", "sha", "id"])
-    sets = stored(_shingle_sets(firsts, n), "shingles")
-    heads = sets.where("id = component").groupBy("component").agg(F.first("shingles").alias("head"))
-    both, either = F.size(F.array_intersect("shingles", "head")), F.size(F.array_union("shingles", "head"))
-    alike = sets.join(heads, "component").where((either == 0) | (both / either >= similarity)).select("component", "id")
-    gone = texts.select("component", "sha", "id").where("id <> component").join(copies.join(alike, ["component", "id"]).select("component", "sha"), ["component", "sha"], "left_semi").select("id").distinct()
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    copies = stored(texts.groupBy("component", "sha").agg(F.min("id").alias("first")), "copies")
+    firsts = texts.join(copies.select("component", "sha", F.col("first").alias("id")), ["component", "sha", "id"], "left_semi").dropDuplicates(["component", "sha", "id"])
+    left = stored(_shingle_sets(firsts, n), "shingles")
+    gone: DataFrame | None = None
+    for _ in range(rounds):
+        heads = left.groupBy("component").agg(F.min("id").alias("head_id"), F.min_by("shingles", "id").alias("head"))
+        both, either = F.size(F.array_intersect("shingles", "head")), F.size(F.array_union("shingles", "head"))
+        told = left.join(heads, "component").where("id <> head_id").withColumn("alike", (either == 0) | (both / either >= similarity))
+        told = stored(told.select("component", "id", "shingles", "alike"), "round")
+        out = told.where("alike").select("component", F.col("id").alias("first"))
+        gone = out if gone is None else gone.unionByName(out)
+        left = told.where("not alike").drop("alike")
+        if not left.limit(1).count():
+            break
+    lost = copies.join(gone, ["component", "first"], "left_semi").select("component", "sha", F.lit(True).alias("lost"))
+    told = texts.select("component", "sha", "id").join(copies, ["component", "sha"]).join(lost, ["component", "sha"], "left")
+    ids = told.where("lost or id <> first").select("id").distinct()
+    return docs.join(ids, docs[id_col] == ids["id"], "left_anti")
