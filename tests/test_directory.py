@@ -37,6 +37,13 @@ def path(tmp_path_factory):
     (at / "countrys.nam").write_text("GERMANY (51, 10)\n")
     (at / "interest").write_text("---Bands\n0010*160 meters\n0020*80 meters\n")
     (at / "counts.dat").write_bytes(coded(b"".join(f"{k:<15}{c:>7}20260509N\r\n".encode() for k, c in (("K0AB", 7), ("W1AW", 9)))))
+    (at / "bios/K").mkdir(parents=True)
+    (at / "flags").mkdir()
+    (at / "bios/K/K0AB.txt").write_text("b")
+    (at / "flags/US.GIF").write_bytes(b"f")
+    for name in ("K0AB.JPG", "K0ABX.gif"):
+        (at / "photos" / name).write_bytes(b"p")
+    (at / "photos/PHOTOS.TXT").write_text("# photos\nK0AB K0ABX.gif\nK0AB ../no.gif\n")
     (at / "wc.dat").write_text("# -b -73 -72 41 42 24\n-73 41\n-72 42\n")
     return str(root)
 
@@ -70,6 +77,33 @@ def test_other_questions(spark, path):
     assert {r.country: r.calls for r in d.tally().collect()} == {"Germany": 1, "United States": 1, "": 1} or d.tally().count() >= 2
 
 
+def test_files_and_traces(spark, path):
+    d = Directory(spark, path)
+    found = {(r.kind, r.path.split("/")[-1]): r.photo_rank for r in d.callsign_assets("K0AB").collect()}
+    assert found == {("biography", "K0AB.txt"): None, ("photo", "K0ABX.gif"): 1, ("photo", "K0AB.JPG"): 2}
+    assert [(r.call, r.kind, r.media_type) for r in d.country_assets(["K0AB"]).collect()] == [("K0AB", "flag", "image/gif")]
+    m = d.manifest_diagnostics().head()
+    assert (m.entries, m.with_file, m.found, m.missing) == (2, 1, 1, 0)
+    assert d.publication_years() == [2020]
+    assert sorted((r.key, r.how, r.vintage) for r in d.trace("K0AB").collect()) == [("K0AB", "posting_start", None), ("K0AB:2020", "posting_start", 2020)]
+    assert [(r.key, r.slice_end > r.dat_offset) for r in d.index_trace("K0AB").orderBy("seq").collect()] == [("K0AB", True), ("K0AB:2015", True)]
+    raw = d.raw(spark.createDataFrame([(0,), (4,), (10**6,)], "dat_offset long"), 10).orderBy("dat_offset").collect()
+    assert bytes(raw[0].raw)[:5] == b"head\xb5" and raw[1].text.startswith(".DL1ABC") and bytes(raw[2].raw) == b""
+    j = {r.callsign: (r.jurisdiction, r.country) for r in d.snapshots.where("source <> 'us_csv'").collect()}
+    assert j["K0AB"] == ("united_states", "United States") and j["DL1ABC"] == ("international", "Germany")
+
+
+def test_slices_that_begin_inside_a_key(spark, path, tmp_path):
+    from wavedeck.sources.records import read_slices
+
+    plain = b"head\xb5S51DX:2010\xb6A\xbaExample\xb5S51DXA\xbaOther"
+    (tmp_path / "r.dat").write_bytes(coded(plain))
+    entries = spark.createDataFrame([("S51DX:2010", 10, len(plain)), ("S51DX", 4, 20), ("S51DXA", 10, len(plain))], "key string, dat_offset long, slice_end long")
+    got = sorted((r.key, r.callsign, r.vintage or 0, r.last_name or "") for r in read_slices(entries, str(tmp_path / "r.dat")).collect())
+    assert got == [("S51DX", "S51DX", 2010, "Ex"), ("S51DX:2010", "S51DX", 2010, "Example"), ("S51DXA", "S51DXA", 0, "Other"), ("S51DXA", "S51DXA", 2010, "Example")]
+    assert [r.last_name for r in read_slices(entries.limit(1), str(tmp_path / "r.dat"), complete=True).collect()] == ["Example"]
+
+
 def test_paths_and_cli(spark, path, tmp_path, capsys):
     with pytest.raises(DataPathNotFound):
         Directory(spark, str(tmp_path / "none"))

@@ -12,6 +12,7 @@ from .functions import normalize as N
 from .functions.normalize import FIELDS
 from .operators import country, layers, lookup, profile, statistics, tally
 from .sources import files, tables
+from .sources.records import read_slices, read_windows
 
 
 class DataPathNotFound(FileNotFoundError):
@@ -81,6 +82,10 @@ class Directory:
     def index(self) -> DataFrame:
         return self._load("text_index", "index")
 
+    @property
+    def record_path(self) -> str:
+        return f"{self.path}/{LAYOUT['records']}"
+
     @cached_property
     def records(self) -> DataFrame:
         return self._load("tagged_records", "records")
@@ -121,17 +126,20 @@ class Directory:
     def snapshots(self) -> DataFrame:
         """All sources' records of a call with their precedence: current records, then the index's, then the inverted index's."""
         us = tables.as_snapshots(self.current).withColumn("source", F.lit("us_csv")).withColumn("seq", F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("p")))
-        body = [c for c in FIELDS if c in self.records.columns]
+        body = [*FIELDS]
         keyed = self.index.where("parsed").withColumn("call", N.key_call(F.col("key")))
-        size = self.records.agg(F.coalesce(F.max("rec_end"), F.lit(0))).head()[0]
-        starts = lookup.slices(lookup.next_offsets(keyed), size).select("key", "dat_offset", "slice_end")
-        listed = starts.withColumn("call", N.key_call(F.col("key")))
-        hit = self.records.join(listed, (F.col("rec_start") >= F.col("dat_offset")) & (F.col("rec_start") < F.col("slice_end")) & (F.col("callsign") == F.col("call")))
-        by_index = hit.select("callsign", "vintage", *body, F.lit("dat_idx").alias("source"), F.struct(F.lit(1).alias("s"), F.coalesce("vintage", F.lit(0)).cast("long").alias("k"), F.col("rec_start").alias("p")).alias("seq"))
+        starts = lookup.slices(lookup.next_offsets(keyed), files.files(self.record_path)[0][1])
+        sliced = read_slices(starts, self.record_path)
+        by_index = sliced.select("callsign", "vintage", *body, F.lit("dat_idx").alias("source"), F.struct(F.lit(1).alias("s"), F.coalesce(N.key_vintage(F.col("key")), F.lit(0)).cast("long").alias("k"), (F.col("dat_offset") * 65_536 + F.col("slice_no")).alias("p")).alias("seq"))
         posted = lookup.resolve_records(self.postings.select("full_key", "header_key", "ordinal", "posting_no", "dat_offset"), self.records)
         own = posted.where("callsign = header_key or substring(callsign, 2, 100) = header_key")
-        by_posting = own.select("callsign", "vintage", *body, F.lit("hci").alias("source"), F.struct(F.lit(2).alias("s"), F.col("ordinal").alias("k"), F.col("posting_no").alias("p")).alias("seq"))
-        return us.unionByName(by_index.withColumn("jurisdiction", F.lit("unknown")), allowMissingColumns=True).unionByName(by_posting.withColumn("jurisdiction", F.lit("unknown")), allowMissingColumns=True)
+        # a posting whose record isn't the call's: the first window behind it that has one
+        missed = self.postings.join(own.select("ordinal", "posting_no"), ["ordinal", "posting_no"], "left_anti").select(F.col("header_key").alias("call"), "ordinal", "posting_no", "dat_offset")
+        near = lookup.window_fallback(missed, self.records).withColumnRenamed("rec_call", "callsign")
+        order = F.struct(F.lit(2).alias("s"), F.col("ordinal").alias("k"), F.col("posting_no").alias("p")).alias("seq")
+        by_posting = own.select("callsign", "vintage", *body, F.lit("hci").alias("source"), order).unionByName(near.select("callsign", "vintage", *body, F.lit("hci").alias("source"), order))
+        both = country.apply_country(by_index.unionByName(by_posting), self.rules[0])
+        return us.unionByName(both, allowMissingColumns=True)
 
     # --- questions -----------------------------------------------------------------------------------
     def lookup(self, calls) -> DataFrame:
@@ -182,6 +190,35 @@ class Directory:
     def entries(self) -> DataFrame:
         return lookup.enumerate_calls(self.index.where("parsed"), self.current)
 
+    # --- files ---------------------------------------------------------------------------------------
+    def asset_files(self) -> DataFrame:
+        """Paths below the asset folders, relative to the directory; the files' contents aren't read."""
+        store, _ = files.filesystem(self.path)
+        there = [f"{self.path}/{d}" for d in ("bios", "photos", "flags", "maps") if store.get_file_info(files.filesystem(f"{self.path}/{d}")[1]).type.name == "Directory"]
+        if not there:
+            return self.spark.createDataFrame([], "path string")
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
+        cut = F.regexp_extract("path", r"/((?:bios|photos|flags|maps)/.*)\z", 1)
+        return found.select(cut.alias("path")).where("path not like '%PHOTOS.TXT'")
+
+    @cached_property
+    def photo_manifest(self) -> DataFrame:
+        return profile.parse_manifest(self._lines("manifest"))
+
+    def callsign_assets(self, calls) -> DataFrame:
+        """Biographies and photos of calls; photos by their rank in the manifest, then by path."""
+        found = profile.call_assets(self._calls(calls), self.asset_files())
+        ranks = profile.ranked_photos(found.where("kind = 'photo'"), self.photo_manifest)
+        return found.join(ranks.drop("listed"), ["call", "path"], "left")
+
+    def country_assets(self, calls) -> DataFrame:
+        info = self.country_info(calls).where("code is not null")
+        found = profile.country_assets(info.select("code"), self.asset_files())
+        return info.select("call", "code").join(found, "code")
+
+    def manifest_diagnostics(self) -> DataFrame:
+        return profile.manifest_diagnostics(self.photo_manifest, self.asset_files())
+
     # --- diagnostics ---------------------------------------------------------------------------------
     def interest_statistics(self) -> DataFrame:
         return statistics.interest_statistics(self._interest_records(), self.interest_catalog)
@@ -209,6 +246,25 @@ class Directory:
         info = self.country_info(found).select("call", F.coalesce("name", F.lit("")).alias("country"))
         return tally.totals(tally.islands(info.withColumn("part", F.substring("call", 1, 2))))
 
+    def publication_years(self) -> list[int]:
+        """The years of the inverted index: a hundred or two at most."""
+        return sorted(r.year for r in self.inverted.where("year is not null").select("year").distinct().limit(65_536).collect())
+
+    def trace(self, calls) -> DataFrame:
+        """How a call is found: the keys tried, their postings in order, and the records that these lead to."""
+        found = lookup.probe(lookup.expand_keys(self._calls(calls), self.publication_years()), self.postings.select(F.col("full_key").alias("header_key"), "ordinal", "posting_no", "dat_offset"))
+        return lookup.resolve_records(found, self.records.select("rec_start", "rec_end", "callsign", "vintage"))
+
+    def raw(self, offsets: DataFrame, length: int = 256) -> DataFrame:
+        """Decoded bytes behind record offsets, with previews."""
+        return read_windows(offsets, self.record_path, length)
+
+    def index_trace(self, calls) -> DataFrame:
+        """The index entries of calls, with the slices that they stand for."""
+        run = lookup.call_run(self._calls(calls), self.index.where("parsed"))
+        size = files.files(self.record_path)[0][1]
+        return run.join(lookup.slices(lookup.next_offsets(self.index.where("parsed")), size).select("key", "slice_end"), "key", "left")
+
     def stats(self) -> DataFrame:
         counts = {"index_lines": self.index, "records": self.records, "inverted_entries": self.inverted, "current_records": self.current}
         parts = [df.agg(F.count("*").alias("rows_")).select(F.lit(name).alias("relation"), "rows_") for name, df in counts.items()]

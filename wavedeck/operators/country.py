@@ -50,3 +50,14 @@ def catalog_statistics(rules: DataFrame) -> DataFrame:
         F.count("*").alias("rules"), F.count_if(F.col("start") != F.col("end")).alias("ranges"), F.countDistinct("name").alias("raw_labels"),
         F.countDistinct(N.grouping_label(F.col("cleaned_name"), F.col("name"))).alias("cleaned_labels"), F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("located"),
     )
+
+
+def apply_country(records: DataFrame, primary: DataFrame) -> DataFrame:
+    """records(callsign, country, state_or_province, postal_code) with country filled and jurisdiction: a missing country
+    comes from the primary rules; without a rule, a state and a postal code mean the United States."""
+    rules = country_info(records.where("country is null").select(F.col("callsign").alias("call")), primary)
+    found = records.join(rules.select(F.col("call").alias("callsign"), F.col("name").alias("_name"), F.col("jurisdiction").alias("_jurisdiction")), "callsign", "left")
+    own = F.when(F.col("country").isNotNull(), N.jurisdiction(F.lit(None).cast("string"), F.col("country")))
+    american = F.col("state_or_province").isNotNull() & F.col("postal_code").isNotNull()
+    told = F.coalesce(own, F.when(F.col("country").isNull(), F.col("_jurisdiction")), F.when(american, "united_states"), F.lit("unknown"))
+    return found.withColumn("jurisdiction", told).withColumn("country", F.coalesce("country", "_name")).drop("_name", "_jurisdiction")

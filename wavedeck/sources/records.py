@@ -10,9 +10,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter
 
-from ..functions.normalize import FIELDS, TAG_NAMES
+from ..functions.normalize import FIELDS, TAG_NAMES, hex_preview, text_preview
 from ..keystream import coded
 from . import files
 
@@ -96,6 +98,44 @@ _ARROW = pa.schema(
 )
 
 
+def read_slices(entries: DataFrame, path: str, complete: bool = False) -> DataFrame:
+    """entries(key, dat_offset, slice_end) -> the records of each key's call in its slice of the file, in order: key,
+    dat_offset, slice_no and the records' columns. A slice may begin inside a key: the call is then the entry's.
+    complete: without a record whose end the slice doesn't show."""
+    schema = pa.schema([("key", pa.string()), ("dat_offset", pa.int64()), ("slice_no", pa.int64()), *((f.name, f.type) for f in _ARROW if f.name not in ("path", "rec_start", "rec_end", "rec_terminated"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = files.filesystem(path)
+        with store.open_input_file(at) as f:
+            for batch in batches:
+                rows = []
+                for key, start, stop in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    f.seek(start)
+                    found = parse_slice(coded(f.read(max(0, stop - start)), start), key, complete)
+                    rows += [r | {"key": key, "dat_offset": start, "slice_no": i} for i, r in enumerate(found) if r["callsign"] == key.partition(":")[0]]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    kinds = "key string, dat_offset long, slice_no long, callsign string, vintage int, " + ", ".join(f"{x} string" for x in FIELDS) + ", raw_tags map<string,string>"
+    return entries.select("key", "dat_offset", "slice_end").mapInArrow(run, kinds)
+
+
+def read_windows(offsets: DataFrame, path: str, length: int) -> DataFrame:
+    """offsets(dat_offset) -> with `raw`, the decoded bytes from there on, and previews of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = files.filesystem(path)
+        with store.open_input_file(at) as f:
+            for batch in batches:
+                raw = []
+                for start in batch.column(0).to_pylist():
+                    f.seek(min(start, f.size()))
+                    raw.append(coded(f.read(length), start))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["dat_offset", "raw"])
+
+    made = offsets.select("dat_offset").mapInArrow(run, "dat_offset long, raw binary")
+    return made.select("*", hex_preview(F.col("raw"), 16).alias("hex"), text_preview(F.col("raw"), 64).alias("text"))
+
+
 def encode(row: dict) -> bytes:
     """A record's plain bytes."""
     key = row["callsign"] + (f":{row['vintage']}" if row.get("vintage") is not None else "")
