@@ -87,7 +87,7 @@ def posting_starts(postings: DataFrame, records: DataFrame, size: int, n: int =
     """How many postings stand on a record's start, elsewhere, or beyond the file; and the first n that don't stand on one."""
     starts = records.select(F.col("rec_start").alias("dat_offset")).distinct().withColumn("starts", F.lit(True))
     told = postings.join(starts, "dat_offset", "left").withColumn("kind", F.when(F.col("dat_offset") >= size, "out_of_bounds").when(F.col("starts"), "record_start").otherwise("elsewhere"))
-    return told.groupBy("kind").agg(F.count("*").alias("postings")), told.where("kind <> 'record_start'").orderBy("ordinal", "posting_no").limit(n)
+    return told.groupBy("kind").agg(F.count("*").alias("postings")), told.where("kind <> 'record_start'").orderBy("ordinal", "posting_no", "dat_offset").limit(n)
 
 
 def monotonic(rows: DataFrame, order: str, key: str, offset: str, part: str) -> DataFrame:

@@ -305,7 +305,7 @@ def invariant_posting_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select dat_offset * 20 as dat_offset, ordinal, posting_no from v_postings where dat_offset * 20 >= 60000 or dat_offset * 20 not in (select rec_start from v_records) order by ordinal, posting_no limit 20"""
+    """select dat_offset * 20 as dat_offset, ordinal, posting_no from v_postings where dat_offset * 20 >= 60000 or dat_offset * 20 not in (select rec_start from v_records) order by ordinal, posting_no, dat_offset limit 20"""
 )
 def invariant_posting_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = view(spark, sf_dir, "v_postings").withColumn("dat_offset", F.col("dat_offset") * 20)
