@@ -83,10 +83,14 @@ def views(duck: bool = False) -> dict[str, str]:
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
+    """The tables of sf_dir and the views over them, once a session as long as the folder stays the same."""
+    if getattr(spark, "_wavedeck_tables", None) == sf_dir:
+        return
     for table in ("customer", "orders", "lineitem", "events", "supplier", "part", "pages"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     for name, sql in views().items():
         spark.sql(sql).createOrReplaceTempView(name)
+    spark._wavedeck_tables = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

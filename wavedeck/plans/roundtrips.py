@@ -35,24 +35,24 @@ def _through(df: DataFrame, kind: str, length: int) -> DataFrame:
 @query("select call as callsign, vintage, nullif(first_name, '') as first_name, middle_name, last_name, address from v_archive")
 def roundtrip_dat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_archive").select(F.col("call").alias("callsign"), "vintage", *(c for c in FIELDS if c != "jurisdiction"))
-    return _through(rows, "tagged_records", 16_384).select("callsign", "vintage", "first_name", "middle_name", "last_name", "address")
+    return _through(rows, "tagged_records", 1 << 20).select("callsign", "vintage", "first_name", "middle_name", "last_name", "address")
 
 
 @query("""select "key", dat_offset from v_index""")
 def roundtrip_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(view(spark, sf_dir, "v_index").select("key", "dat_offset"), "text_index", 10_000).where("parsed").select("key", "dat_offset")
+    return _through(view(spark, sf_dir, "v_index").select("key", "dat_offset"), "text_index", 1 << 20).where("parsed").select("key", "dat_offset")
 
 
 @query("""select call as "key", c_custkey * 3 as "count", cast(20200101 + c_custkey % 28 as int) as updated, 'N' as status from v_calls""")
 def roundtrip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_calls").select(F.col("call").alias("key"), (F.col("c_custkey") * 3).alias("count"), (20200101 + F.col("c_custkey") % 28).cast("int").alias("updated"), F.lit("N").alias("status"))
-    return _through(rows, "lookup_counts", 5_000).select("key", "count", "updated", "status")
+    return _through(rows, "lookup_counts", 1 << 18).select("key", "count", "updated", "status")
 
 
 @query("""select header_key, year_ as "year", dat_offset, cast(posting_no as int) as position from v_postings""")
 def roundtrip_hci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_postings").select("header_key", F.col("year_").alias("year"), F.array(F.struct(F.lit(0).cast("long").alias("posting_no"), "dat_offset", F.col("posting_no").cast("int").alias("position"))).alias("postings"))
-    back = _through(rows, "inverted_index", 4_000)
+    back = _through(rows, "inverted_index", 1 << 16)
     return back.select("header_key", "year", F.explode("postings").alias("p")).select("header_key", "year", "p.dat_offset", "p.position")
 
 
@@ -60,6 +60,6 @@ def roundtrip_hci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     view(spark, sf_dir, "v_calls")
     rows = spark.table("lineitem").select(F.lit(4000).cast("short").alias("command"), F.col("l_quantity").cast("short").alias("lat_min"), (F.col("l_partkey") % 1000).cast("short").alias("lon_min"))
-    paths = layers.paths(_through(rows, "state_vectors", 600).withColumn("lat_min", F.col("lat_min").cast("double")).withColumn("lon_min", F.col("lon_min").cast("double")), "point_no", "path")
+    paths = layers.paths(_through(rows, "state_vectors", 60_000).withColumn("lat_min", F.col("lat_min").cast("double")).withColumn("lon_min", F.col("lon_min").cast("double")), "point_no", "path")
     points = paths.select(F.explode("points").alias("p"))
     return points.groupBy(F.round(F.col("p.lat") * 60).cast("long").alias("lat_minutes"), F.round(F.col("p.lon") * 60).cast("long").alias("lon_minutes")).agg(F.count("*").alias("points"))
