@@ -248,7 +248,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, simila
     groups = stored(near_duplicates(docs, n, budget, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("component_id").alias("component")).distinct(), "near")
     several = groups.where("id <> component").select("component").distinct()
     members = groups.join(several, "component", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(members, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(members.hint("merge"), "id")  # members grow with the documents
     texts = stored(texts.withColumn("sha", F.sha2("text", 256)), "members")
     copies = stored(texts.groupBy("component", "sha").agg(F.min("id").alias("first")), "copies")
     firsts = texts.join(copies.select("component", "sha", F.col("first").alias("id")), ["component", "sha", "id"], "left_semi").dropDuplicates(["component", "sha", "id"])
@@ -267,4 +267,4 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, simila
     lost = copies.join(gone, ["component", "first"], "left_semi").select("component", "sha", F.lit(True).alias("lost"))
     told = texts.select("component", "sha", "id").join(copies, ["component", "sha"]).join(lost, ["component", "sha"], "left")
     ids = told.where("lost or id <> first").select("id").distinct()
-    return docs.join(ids, docs[id_col] == ids["id"], "left_anti")
+    return docs.join(ids.hint("merge"), docs[id_col] == ids["id"], "left_anti")
