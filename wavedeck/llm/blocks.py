@@ -10,6 +10,7 @@ shuffled. The number of buckets follows the size of the input, so a bucket stays
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,23 @@ from pyspark.sql import functions as F
 
 from .scratch import shared_dir
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # glibc alone has it
+except (OSError, AttributeError):
+    _LIBC = None
+
 #: Bytes of text in a block and behind a bucket, about.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 
 
+def release() -> None:
+    """Give freed memory back: a worker lives for many blocks, and two or more share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def make_blocks(rows: DataFrame, text: int, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block long, size long (bytes of text), rows binary: an Arrow stream of the rows. text: the place of the text
     column. The table lies in the shared folder, bucketed by block."""
@@ -123,6 +137,7 @@ def ask(blocks: DataFrame, question: Callable[[int, pa.Table], Iterator[tuple[in
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("rows")):
                 yield batch_of([(block, bucket, q) for bucket, q in question(block, rows_of(data.as_py()))])
+                release()
 
     return blocks.select("block", "rows").mapInArrow(run, ASKS)
 
@@ -131,6 +146,21 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.T
     """use(block, its rows, its answers as sent: columns bucket, data and what else they have)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return use(left.column("block")[0].as_py(), rows_of(left.column("rows")[0].as_py()), right)
+        try:
+            return use(left.column("block")[0].as_py(), rows_of(left.column("rows")[0].as_py()), right)
+        finally:
+            release()
 
     return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def answered(asked: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str = ASKS) -> DataFrame:
+    """answer(all questions to a bucket) gives its answers, a bucket at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return answer(table)
+        finally:
+            release()
+
+    return asked.groupBy("bucket").applyInArrow(run, schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import answered, ask, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
 from .scratch import stored
 
 #: Largest count that is discounted, and what is added to unigram counts.
@@ -291,7 +291,7 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
     blocks = make_blocks(rows, 1, "ngrams")
     buckets = bucket_count(blocks)
     asked = ask(blocks, lambda _, table: _ask_words(Block(table), buckets))
-    words = stored(asked.groupBy("bucket").applyInArrow(_count_words(buckets), _ANSWERS), "unigrams", "kind")
+    words = stored(answered(asked, _count_words(buckets), _ANSWERS), "unigrams", "kind")
     size, kinds = (x or 0 for x in words.where("kind = 'table'").agg(F.sum("size"), F.sum("kinds")).head())
     known = words.where("kind = 'answer'").select("block", "bucket", "data")
 
@@ -300,7 +300,7 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
         return pa.table({"block": pa.array([block] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([q for _, q in out], pa.binary())})
 
     asked = with_answers(blocks, known, second, "block long, bucket long, data binary")
-    pairs = stored(asked.groupBy("bucket").applyInArrow(_count_bigrams, _ANSWERS), "bigrams", "kind")
+    pairs = stored(answered(asked, _count_bigrams, _ANSWERS), "bigrams", "kind")
     few = pairs.where("kind = 'table'").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(K + 1))).head()
     model = Model(size, kinds, discounts([int(x) for x in few]), words.where("kind = 'table'"), pairs.where("kind = 'table'"))
     plain = Model(size, kinds, model.discount, None, None)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASKS, ask, batch_of, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import ASKS, answered, ask, batch_of, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
 from .scratch import stored
 
 #: Bytes of a passage that is removed, and of its anchor.
@@ -454,7 +454,7 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     def made(table: pa.Table) -> Block:
         return Block(table, 0, 1, least, anchor)
 
-    shared = ask(blocks, lambda _, table: _questions(made(table), buckets)).groupBy("bucket").applyInArrow(_shared, ASKS)
+    shared = answered(ask(blocks, lambda _, table: _questions(made(table), buckets)), _shared)
     shared = stored(shared, "anchors")
 
     def second(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -462,7 +462,7 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
         return pa.Table.from_batches([batch_of([*((block, b, q) for b, q in stretches.questions()), (block, -1 - block, stretches.note())])])
 
     asked = with_answers(blocks, shared, second, ASKS)
-    lows = stored(asked.groupBy("bucket").applyInArrow(lambda t: _lows(t, least), ASKS), "passages")
+    lows = stored(answered(asked, lambda t: _lows(t, least)), "passages")
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         ids = table.column(0).combine_chunks()
