@@ -49,42 +49,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k bytes, by doubling."""
+def window_hashes(data: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """Of each width a 64-bit hash of each so many bytes, all by the same doublings."""
     with np.errstate(over="ignore"):
         part, n, power = data.astype(np.uint64) + np.uint64(1), 1, np.array([_MUL])
-        out, have = None, 0
-        while k:
-            if k & 1:
-                if out is None:
-                    out, have = part, n
-                else:
-                    m = max(len(part) - have, 0)
-                    out, have = out[:m] * power[0] + part[have : have + m], have + n
-            k >>= 1
-            if k:
+        out: list[np.ndarray | None] = [None] * len(widths)
+        have = [0] * len(widths)
+        while n <= max(widths):
+            for i, k in enumerate(widths):
+                if k & n:
+                    if out[i] is None:
+                        out[i] = part
+                    else:
+                        m = max(len(part) - have[i], 0)
+                        out[i] = out[i][:m] * power[0] + part[have[i] : have[i] + m]
+                    have[i] += n
+            if 2 * n <= max(widths):
                 m = max(len(part) - n, 0)
                 part = part[:m] * power[0] + part[n : n + m]
-                power, n = power * power, 2 * n
-        return _mix(out)
+                power = power * power
+            n *= 2
+        return [_mix(x) for x in out]
 
 
 def _lowest(h: np.ndarray, width: int) -> np.ndarray:
     """The place of the smallest of each `width` hashes, the first of equal ones."""
     part, n = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), 1
-    out, have = None, 0
-    while width:
-        if width & 1:
-            if out is None:
-                out, have = part, n
-            else:
-                m = max(len(part) - have, 0)
-                out, have = np.minimum(out[:m], part[have : have + m]), have + n
-        width >>= 1
-        if width:
-            m = max(len(part) - n, 0)
-            part, n = np.minimum(part[:m], part[n : n + m]), 2 * n
-    return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    while 2 * n <= width:
+        m = max(len(part) - n, 0)
+        part, n = np.minimum(part[:m], part[n : n + m]), 2 * n
+    m = max(len(h) - width + 1, 0)  # two windows of n cover one of width
+    return (np.minimum(part[:m], part[width - n : width - n + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Block:
@@ -106,7 +101,7 @@ class Block:
         # chunk by chunk, so that the arrays stay in the cache; a run that a chunk's end cuts is two runs
         for at in range(0, len(self.data) - least + 1, CHUNK):
             part = self.data[at : at + CHUNK + least - 1]
-            h = window_hashes(part, k)
+            h, context = window_hashes(part, k, k + self.wide)
             low = _lowest(h, least - k + 1)  # of the passage that starts at each place
             first, last = np.searchsorted(self.starts, [at, at + len(low) - 1], side="right") - 1
             ends = (self.starts + self.sizes)[first : last + 1] - at
@@ -128,7 +123,6 @@ class Block:
             # passages up to `before` have the context to the anchor's left, the others that to its right
             border = anchor - self.wide - start + 1
             before = np.clip(border, 0, size)
-            context = window_hashes(part, k + self.wide)
             top = len(context) - 1
             left, right = context[np.clip(anchor - self.wide, 0, top)], ~context[np.minimum(anchor, top)]
             found.append((start + at, size, before, border & 1, h[anchor], left, right))
