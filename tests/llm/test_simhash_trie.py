@@ -153,3 +153,16 @@ def test_every_cluster_of_a_group_is_thinned(spark, monkeypatch):
     as_one = df.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
     monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == {0, 4, 7, 9, 10}
+
+
+def test_groups_of_any_number_of_clusters_are_thinned(spark, monkeypatch):
+    """Seven clusters in one group of fingerprints: each keeps its first document."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(7):
+        base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+        rows += [(len(rows) + k, " ".join([*base[: k * 7], "changed", *base[k * 7 + 1 :]])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    as_one = df.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
+    monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
+    assert sorted(r.doc_id for r in without_near_duplicates(df).collect()) == list(range(0, 21, 3))

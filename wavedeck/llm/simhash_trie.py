@@ -237,10 +237,10 @@ def _shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("id", "component", "text").mapInArrow(run, "id long, component long, shingles array<long>")
 
 
-def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, similarity: float = 0.8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near copies. Groups of near fingerprints are candidates; within one, the document with the
     smallest id stays and all whose n-word shingles are at `similarity` (Jaccard) or above to its go. Of those that
-    are left the smallest stays next, for so many rounds; what is left then stays, but for copies of one text.
+    are left the smallest stays next, until none is left.
 
     A document goes only for one that stays and that it was compared with. Rows without an id stay; rows that share
     an id stay or go together.
@@ -254,7 +254,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, simila
     firsts = texts.join(copies.select("component", "sha", F.col("first").alias("id")), ["component", "sha", "id"], "left_semi").dropDuplicates(["component", "sha", "id"])
     left = stored(_shingle_sets(firsts, n), "shingles")
     gone: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         heads = left.groupBy("component").agg(F.min("id").alias("head_id"), F.min_by("shingles", "id").alias("head"))
         both, either = F.size(F.array_intersect("shingles", "head")), F.size(F.array_union("shingles", "head"))
         told = left.join(heads, "component").where("id <> head_id").withColumn("alike", (either == 0) | (both / either >= similarity))
