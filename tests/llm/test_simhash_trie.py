@@ -166,3 +166,40 @@ def test_groups_of_any_number_of_clusters_are_thinned(spark, monkeypatch):
     as_one = df.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
     monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
     assert sorted(r.doc_id for r in without_near_duplicates(df).collect()) == list(range(0, 21, 3))
+
+
+def greedy(rows, n=5):
+    """By ascending id a document stays unless it is like one that stays; no fingerprints, no groups."""
+    sets = {i: set(shingles(t, n)) for i, t in rows}
+    kept = []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def test_near_copies_go_whatever_their_fingerprints(documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    kept = greedy(rows)
+    fps = {i: brute_fp(t, 5) for i, t in rows}
+    lost = [i for i, _ in rows if i not in kept]
+    assert any(min(bin(fps[i] ^ fps[k]).count("1") for k in kept) > 6 for i in lost)
+    assert {r.doc_id for r in without_near_duplicates(documents).collect()} == kept
+
+
+def test_rounds_decide_documents_of_common_shingles(spark, monkeypatch):
+    """Copies with edits of their own, often below 0.8 with each other, and others that share a passage with them."""
+    monkeypatch.setattr(simhash_trie, "FEW", 2)
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in rng.integers(0, 900, 120)]
+    rows = []
+    for k in range(40):
+        text = list(base)
+        for at in rng.integers(0, 120, 1 + k % 2):
+            text[at] = f"own{k}"
+        rows.append((k * 3, " ".join(text)))
+    rows += [(k * 3 + 1, " ".join(base[:30] + [f"w{i}" for i in rng.integers(0, 900, 20)])) for k in range(30)]
+    kept = greedy(rows)
+    assert 33 < len(kept) < 68 and len([i for i in kept if i % 3 == 0]) > 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept

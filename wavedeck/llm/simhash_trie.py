@@ -17,12 +17,14 @@ fingerprint, don't link and get a null component. Rows may repeat. An empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -30,6 +32,10 @@ from .scratch import stored
 
 #: Fingerprints of one key that meet in one task.
 TILE = 2048
+#: Texts, about, whose repeated shingles are counted to find rare ones, and the most of these shingles.
+SAMPLE, MOST_COMMON = 20_000, 200_000
+#: Documents of a shingle that all meet at once.
+FEW = 32
 
 
 def _hashes(text: str, n: int) -> list[int]:
@@ -226,45 +232,187 @@ def near_duplicates(docs: DataFrame, n: int = 4, budget: int = 4, id_col: str =
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs(id, component, text) with its sorted distinct shingle hashes instead of the text."""
+def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of distinct shingles in one order for all documents (rare ones of the sample first, then by
+    hash), so many that two sets at `similarity` share one of them."""
+    if not len(shingles):
+        return np.zeros(1, dtype=np.int64)  # texts without words are alike
+    weight = np.zeros(len(shingles), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        weight = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, weight))][: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+
+
+def _shingles(text: str | None, n: int) -> np.ndarray:
+    return np.unique(np.array(_hashes(text or "", n), dtype=np.uint64).view(np.int64))
+
+
+def _common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of texts(id, text) repeats, sorted, and their counts: only how fast the join is depends
+    on them, not what it finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingles(t.as_py(), n) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["token"])
+
+    part = max(1, texts.count() // SAMPLE)
+    tokens = texts.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("text").mapInArrow(run, "token long")
+    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    common, counts = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(common)
+    return common[order], counts[order]
+
+
+def _postings(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """texts(id, text) -> token, id, size, pos: the prefix shingles that two documents or more have."""
+    common, counts = _common_shingles(texts, n)
+    sent = texts.sparkSession.sparkContext.broadcast((common, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(), []
+            for i, text in zip(ids, batch.column(1)):
+                own = _shingles(text.as_py(), n)
+                first = _prefix(own, *sent.value, similarity)
+                rows.append((first, np.full(len(first), i), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos"])
+
+    every = texts.select("id", "text").mapInArrow(run, "token long, id long, size int, pos int")
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return every.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_by_token(_shared), every.schema)
+
+
+def _by_token(use: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """use(rows of whole tokens, sorted by token: arrays token, id, size, pos) gives columns of the output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
         for batch in batches:
-            sets = [np.unique(np.array(_hashes(t.as_py() or "", n), dtype=np.uint64).view(np.int64)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "component", "shingles"])
+            rows = [batch.column(c).to_numpy() for c in range(4)]
+            if not len(rows[0]):
+                continue
+            rows = [np.concatenate([a, b]) for a, b in zip(rest, rows)] if rest else rows
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            rest = [x[last:] for x in rows]
+            yield from use([x[:last] for x in rows])
+        if rest:
+            yield from use(rest)
+
+    return run
+
+
+def _shared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    token = rows[0]
+    if len(token) > 1:
+        same = token[1:] == token[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], ["token", "id", "size", "pos"])
+
+
+def _meet(similarity: float, heads: int, few: int) -> Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b), a < b, of a token's documents, those left out that can't be at `similarity` by their sizes and
+    the token's places. All pairs of a token with few documents; of another those with its `heads` smallest ids."""
+
+    def use(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rows[1], rows[0]))
+        token, ids, size, pos = (x[order] for x in rows)
+        if not len(token):
+            return
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(start, len(token)))
+        begin, many = np.repeat(start, count), np.repeat(count, count)
+        rank = np.arange(len(token)) - begin
+        earlier = np.where(many <= few, rank, np.minimum(rank, heads))
+        made: list[np.ndarray] = []
+        for k in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(earlier) // (1 << 20))) + 1):
+            j = np.repeat(k, earlier[k])
+            i = np.repeat(begin[k], earlier[k]) + np.arange(len(j)) - np.repeat(np.cumsum(earlier[k]) - earlier[k], earlier[k])
+            bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+            both = size[i].astype(np.int64) + size[j]
+            near = (ids[i] != ids[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6) & ((1 + similarity) * bound >= similarity * both - 1e-6)
+            if near.any():
+                made.append(np.unique(np.stack([ids[i[near]], ids[j[near]]]), axis=1))
+        if made:
+            a, b = np.unique(np.concatenate(made, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return use
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that have two texts whose shingles are at `similarity`."""
 
-    return docs.select("id", "component", "text").mapInArrow(run, "id long, component long, shingles array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), n) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "shingles"])
+
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stored(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles array<long>"), "shingles")
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                keep.append(either == 0 or both / either >= similarity)
+            keep = np.array(keep, dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-def without_near_duplicates(docs: DataFrame, n: int = 5, budget: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies. Groups of near fingerprints are candidates; within one, the document with the
-    smallest id stays and all whose n-word shingles are at `similarity` (Jaccard) or above to its go. Of those that
-    are left the smallest stays next, until none is left.
+    return met.mapInArrow(compare, "a long, b long")
 
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies: by ascending id a document stays unless its n-word shingles are at `similarity`
+    (Jaccard) or above to those of a smaller one that stays. Of copies of one text the smallest id is asked.
+
+    All pairs at `similarity` are found: two such sets share one of their first shingles in any order that is the same
+    for all documents. A round decides documents by the pairs of its tokens; of a token of very many documents those
+    with the smallest ids meet the others, 16 times as many in each round, and rounds go on until all are decided.
     A document goes only for one that stays and that it was compared with. Rows without an id stay; rows that share
     an id stay or go together.
     """
-    groups = stored(near_duplicates(docs, n, budget, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("component_id").alias("component")).distinct(), "near")
-    several = groups.where("id <> component").select("component").distinct()
-    members = groups.join(several, "component", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(members.hint("merge"), "id")  # members grow with the documents
-    texts = stored(texts.withColumn("sha", F.sha2("text", 256)), "members")
-    copies = stored(texts.groupBy("component", "sha").agg(F.min("id").alias("first")), "copies")
-    firsts = texts.join(copies.select("component", "sha", F.col("first").alias("id")), ["component", "sha", "id"], "left_semi").dropDuplicates(["component", "sha", "id"])
-    left = stored(_shingle_sets(firsts, n), "shingles")
-    gone: DataFrame | None = None
-    while True:
-        heads = left.groupBy("component").agg(F.min("id").alias("head_id"), F.min_by("shingles", "id").alias("head"))
-        both, either = F.size(F.array_intersect("shingles", "head")), F.size(F.array_union("shingles", "head"))
-        told = left.join(heads, "component").where("id <> head_id").withColumn("alike", (either == 0) | (both / either >= similarity))
-        told = stored(told.select("component", "id", "shingles", "alike"), "round")
-        out = told.where("alike").select("component", F.col("id").alias("first"))
-        gone = out if gone is None else gone.unionByName(out)
-        left = told.where("not alike").drop("alike")
-        if not left.limit(1).count():
-            break
-    lost = copies.join(gone, ["component", "first"], "left_semi").select("component", "sha", F.lit(True).alias("lost"))
-    told = texts.select("component", "sha", "id").join(copies, ["component", "sha"]).join(lost, ["component", "sha"], "left")
-    ids = told.where("lost or id <> first").select("id").distinct()
+    every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    named = stored(every.select("id", "sha").distinct(), "named")
+    copies = stored(named.groupBy("sha").agg(F.min("id").alias("first")), "copies")
+    again = named.join(copies.hint("merge"), "sha").where("id <> first").select("id").distinct()
+    texts = stored(every.join(copies.hint("merge"), (every["sha"] == copies["sha"]) & (every["id"] == copies["first"]), "left_semi").dropDuplicates(["id", "sha"]).select("id", "text"), "texts")
+    tokens = stored(_postings(texts, n, similarity), "postings")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    gone, heads = again.limit(0), 1
+    while tokens.limit(1).count():
+        dealt = tokens.select("token", "id", "size", "pos").repartition(parts, "token").sortWithinPartitions("token")
+        pairs = stored(dealt.mapInArrow(_by_token(_meet(similarity, heads, FEW)), "a long, b long").distinct(), "pairs")
+        edges = stored(_alike(pairs, texts, n, similarity), "alike")
+        # a document beyond the heads of one of its tokens hasn't met all smaller ones
+        order = W.partitionBy("token").orderBy("id")
+        ranked = tokens.select("id", (F.row_number().over(order) > heads).alias("behind"), F.count("*").over(W.partitionBy("token")).alias("many"))
+        waits = stored(ranked.where(F.col("behind") & (F.col("many") > FEW)).select("id").distinct(), "waits")
+        kept, lost = _decided(edges, waits, tokens.select("id").distinct())
+        gone = gone.unionByName(lost)
+        over = kept.unionByName(lost)
+        tokens = stored(tokens.join(over, "id", "left_anti"), "postings")
+        heads *= 16
+    lost = named.join(copies.hint("merge"), "sha").join(gone.withColumnRenamed("id", "first"), "first", "left_semi").select("id")
+    ids = lost.unionByName(again).distinct()
     return docs.join(ids.hint("merge"), docs[id_col] == ids["id"], "left_anti")
+
+
+def _decided(edges: DataFrame, waits: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays and what goes (id) of ids by edges (a, b), a < b, of alike documents; neither: those that wait or that
+    depend on one that waits."""
+    kept = stored(ids.join(waits, "id", "left_anti").join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "kept")
+    lost = stored(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "lost")
+    while True:
+        rest = stored(edges.join(lost.select(F.col("id").alias("a")), "a", "left_anti").join(lost.select(F.col("id").alias("b")), "b", "left_anti"), "alike")
+        blocked = rest.select(F.col("b").alias("id"))
+        fresh = stored(edges.select(F.col("b").alias("id")).distinct().join(waits, "id", "left_anti").join(lost, "id", "left_anti").join(kept, "id", "left_anti").join(blocked, "id", "left_anti"), "kept")
+        if not fresh.limit(1).count():
+            return kept, lost
+        more = rest.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        kept, lost, edges = stored(kept.unionByName(fresh), "kept"), stored(lost.unionByName(more).distinct(), "lost"), rest
