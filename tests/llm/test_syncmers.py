@@ -94,3 +94,19 @@ def test_anchors_don_t_depend_on_what_surrounds_them(spark):
     texts = [" ".join(words[50:200]), " ".join(["other"] * 20 + words[50:200] + ["words"] * 9)]
     a, b = (r.a for r in spark.createDataFrame([(t,) for t in texts], "text string").select(syncmers.anchors(F.col("text")).alias("a")).collect())
     assert {(x.pos + 20, x.anchor) for x in a} <= {(x.pos, x.anchor) for x in b} and a
+
+
+def test_texts_with_words_have_anchors(spark):
+    """7 to 10 words need not have a closed syncmer: then the whole sequence is the anchor."""
+    texts = [" ".join(f"w{n}x{k}x{i}" for i in range(n)) for n in range(1, 13) for k in range(20)]
+    bare = [t for t in texts if not brute(t)]
+    assert {len(t.split()) for t in bare} == {7, 8, 9, 10}
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " ", None]], "text string")
+    got = {r.text: ([x.pos for x in r.a], r.fp) for r in df.select("text", syncmers.anchors(F.col("text")).alias("a"), syncmers.fingerprint(F.col("text")).alias("fp")).collect()}
+    assert all(got[t] == ([], []) for t in ("", " ", None))
+    for t in texts:
+        whole = murmur([xx(w.encode(), 42) for w in t.split()])
+        assert [x & 0xFFFFFFFF for x in got[t][1]] == (brute(t) or [whole])
+        assert got[t][0] == [0] if t in bare else got[t][0]
+    a, b = (syncmers.fingerprint(F.lit(t)) for t in bare[:2])
+    assert spark.range(1).select(syncmers.likeness(a, b).alias("x"), syncmers.likeness(a, a).alias("y")).head() == (0.0, 1.0)

@@ -6,7 +6,8 @@ choice depends on those K words alone, never on what surrounds them, so a passag
 wherever it stands. Anchors are hashed to 32 bits; a fingerprint is their sequence. Two fingerprints' likeness
 is the Jaccard index of their anchor sets; positions are kept by anchors() for positional matching.
 
-Fewer than K words: the whole sequence is the one anchor. Null and empty texts have no anchor; two such are
+Fewer than K words, or none of the K words chosen (up to 2 K - S - 2 words): the whole sequence is the one
+anchor. Null and empty texts have no anchor; two such are
 alike (1.0), one such and another text are not (0.0). Equal texts have equal fingerprints.
 
 Next documents go by descending id, ties by the hash of the text, and after the last the first. Rows without an id are
@@ -60,7 +61,7 @@ def _anchors(text: Column, k: int, s: int, out) -> Column:
 
         whole = F.array(out(F.lit(0), F.hash(h)))
         short = F.slice(whole, 1, F.when(n > 0, 1).otherwise(0))
-        return F.when(n >= k, let(inner, chosen)).otherwise(short)
+        return F.when(n >= k, let(let(inner, chosen), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))).otherwise(short)
 
     words = F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
