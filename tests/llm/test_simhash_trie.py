@@ -97,28 +97,28 @@ def test_rows(odd, empty, odd_docs):
     assert near_duplicates(empty).count() == 0
 
 
+def greedy(rows, n=5):
+    """By ascending id a document stays unless it is like one that stays; no fingerprints, no groups."""
+    sets = {i: set(shingles(t, n)) for i, t in rows}
+    kept = []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    return set(kept)
+
+
 def expected_without(rows, n=5, budget=6):
-    texts = dict(rows)
-    _, components = brute(rows, n, budget)
-
-    def alike(a, b):
-        a, b = set(shingles(texts[a], n)), set(shingles(texts[b], n))
-        return len(a & b) / len(a | b) >= 0.8 if a | b else True
-
-    kept = set()
-    for c in set(components.values()):
-        left, seen = [], set()
-        for i in sorted(i for i in texts if components[i] == c):
-            if (texts[i] or "") not in seen:
-                left.append(i)
-            seen.add(texts[i] or "")
-        for _ in range(3):
-            if left:
-                head, *rest = left
-                kept.add(head)
-                left = [i for i in rest if not alike(i, head)]
-        kept.update(left)
-    return kept
+    """Of copies of a text the first; of each group of fingerprints what greedy() keeps; of all these what it keeps."""
+    firsts = {}
+    for i, t in sorted(rows):
+        firsts.setdefault(t or "", i)
+    texts = {i: t for t, i in firsts.items()}
+    _, components = brute(list(texts.items()), n, budget)
+    members = {}
+    for i, c in components.items():
+        members.setdefault(c, []).append((i, texts[i]))
+    left = set().union(*(greedy(m, n) for m in members.values())) if members else set()
+    return greedy([(i, texts[i]) for i in left], n)
 
 
 def test_near_copies_go(documents, odd, empty, odd_docs):
@@ -150,7 +150,7 @@ def test_every_cluster_of_a_group_is_thinned(spark, monkeypatch):
             n += 1
     rows += [(n, rows[-1][1]), (n + 1, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    as_one = df.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
+    as_one = df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
     monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == {0, 4, 7, 9, 10}
 
@@ -163,21 +163,11 @@ def test_groups_of_any_number_of_clusters_are_thinned(spark, monkeypatch):
         base = [f"w{i}" for i in rng.integers(0, 400, 120)]
         rows += [(len(rows) + k, " ".join([*base[: k * 7], "changed", *base[k * 7 + 1 :]])) for k in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    as_one = df.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
+    as_one = df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
     monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
     assert sorted(r.doc_id for r in without_near_duplicates(df).collect()) == list(range(0, 21, 3))
 
 
-def greedy(rows, n=5):
-    """By ascending id a document stays unless it is like one that stays; no fingerprints, no groups."""
-    sets = {i: set(shingles(t, n)) for i, t in rows}
-    kept = []
-    for i in sorted(sets):
-        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
-            kept.append(i)
-    return set(kept)
-
-
 def test_near_copies_go_whatever_their_fingerprints(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     kept = greedy(rows)
@@ -199,7 +189,14 @@ def test_rounds_decide_documents_of_common_shingles(spark, monkeypatch):
             text[at] = f"own{k}"
         rows.append((k * 3, " ".join(text)))
     rows += [(k * 3 + 1, " ".join(base[:30] + [f"w{i}" for i in rng.integers(0, 900, 20)])) for k in range(30)]
-    kept = greedy(rows)
+    kept = expected_without(rows)
     assert 33 < len(kept) < 68 and len([i for i in kept if i % 3 == 0]) > 3
+    assert greedy([r for r in rows if r[0] in kept]) == kept  # no two that stay are alike
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept
+    monkeypatch.setattr(simhash_trie, "TILE", 8)
+    assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept
+    # by shingles alone it is the plain rule
+    texts = df.select(F.col("doc_id").alias("id"), "text")
+    gone = simhash_trie._thinned(simhash_trie._postings(texts, 5, 0.8), texts, 5, 0.8)
+    assert {i for i, _ in rows} - {r.id for r in gone.collect()} == greedy(rows)

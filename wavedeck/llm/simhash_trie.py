@@ -18,7 +18,7 @@ fingerprint, don't link and get a null component. Rows may repeat. An empty tabl
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -266,80 +266,66 @@ def _common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """texts(id, text) -> token, id, size, pos: the prefix shingles that two documents or more have."""
+    """texts(id, text) -> token, id, size, pos: the prefix shingles that two documents or more have.
+
+    Rows meet by shingle to find those, except that rows of a shingle which the sample repeats are known to have company:
+    they are dealt by their id too, so a shingle of very many documents isn't one task."""
     common, counts = _common_shingles(texts, n)
     sent = texts.sparkSession.sparkContext.broadcast((common, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value[0]
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), []
             for i, text in zip(ids, batch.column(1)):
                 own = _shingles(text.as_py(), n)
                 first = _prefix(own, *sent.value, similarity)
-                rows.append((first, np.full(len(first), i), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)))
+                sure = common[np.minimum(np.searchsorted(common, first), len(common) - 1)] == first if len(common) else np.zeros(len(first), bool)
+                rows.append((first, np.full(len(first), i), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32), sure))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos", "sure"])
 
-    every = texts.select("id", "text").mapInArrow(run, "token long, id long, size int, pos int")
+    every = texts.select("id", "text").mapInArrow(run, "token long, id long, size int, pos int, sure boolean")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return every.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_by_token(_shared), every.schema)
-
+    dealt = every.repartition(parts, F.when(F.col("sure"), F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token")
+    return dealt.mapInArrow(_shared, every.schema).drop("sure")
 
-def _by_token(use: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """use(rows of whole tokens, sorted by token: arrays token, id, size, pos) gives columns of the output."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
-        for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in range(4)]
-            if not len(rows[0]):
-                continue
-            rows = [np.concatenate([a, b]) for a, b in zip(rest, rows)] if rest else rows
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            rest = [x[last:] for x in rows]
-            yield from use([x[:last] for x in rows])
-        if rest:
-            yield from use(rest)
-
-    return run
-
-
-def _shared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    token = rows[0]
-    if len(token) > 1:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token those that are sure or whose token a neighbour has; one row waits for the next batch."""
+    held, like_last = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        token = table.column("token").to_numpy()
         same = token[1:] == token[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], ["token", "id", "size", "pos"])
-
-
-def _meet(similarity: float, heads: int, few: int) -> Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b), a < b, of a token's documents, those left out that can't be at `similarity` by their sizes and
-    the token's places. All pairs of a token with few documents; of another those with its `heads` smallest ids."""
-
-    def use(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((rows[1], rows[0]))
-        token, ids, size, pos = (x[order] for x in rows)
-        if not len(token):
-            return
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.append(start, len(token)))
-        begin, many = np.repeat(start, count), np.repeat(count, count)
-        rank = np.arange(len(token)) - begin
-        earlier = np.where(many <= few, rank, np.minimum(rank, heads))
-        made: list[np.ndarray] = []
-        for k in np.split(np.arange(len(token)), np.flatnonzero(np.diff(np.cumsum(earlier) // (1 << 20))) + 1):
-            j = np.repeat(k, earlier[k])
-            i = np.repeat(begin[k], earlier[k]) + np.arange(len(j)) - np.repeat(np.cumsum(earlier[k]) - earlier[k], earlier[k])
-            bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
-            both = size[i].astype(np.int64) + size[j]
-            near = (ids[i] != ids[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6) & ((1 + similarity) * bound >= similarity * both - 1e-6)
-            if near.any():
-                made.append(np.unique(np.stack([ids[i[near]], ids[j[near]]]), axis=1))
-        if made:
-            a, b = np.unique(np.concatenate(made, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return use
+        keep = np.concatenate([[like_last], same]) | np.concatenate([same, [False]]) | np.array(table.column("sure"), dtype=bool)
+        like_last = bool(same[-1]) if len(same) else like_last
+        yield from table.slice(0, len(token) - 1).filter(pa.array(keep[:-1])).to_batches()
+        held = table.slice(len(token) - 1).to_batches()[0]
+    if held is not None and (like_last or held.column(4)[0].as_py()):
+        yield held
+
+
+def _first_of(tokens: DataFrame, heads: int) -> DataFrame:
+    """token, id, size, pos, m: of each token the `heads` rows with the smallest ids, all of one with FEW rows or less.
+    The rows of a token with very many are first ranked in parts."""
+    many = tokens.groupBy("token").agg(F.count("*").alias("m"))
+    counted = tokens.join(many, "token").withColumn("most", F.when(F.col("m") <= FEW, F.col("m")).otherwise(heads)).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / TILE)))
+    for w in (W.partitionBy("token", "part").orderBy("id"), W.partitionBy("token").orderBy("id")):
+        counted = counted.withColumn("rank", F.row_number().over(w)).where("rank <= most")
+    return counted.select("token", "id", "size", "pos", "m")
+
+
+def _met(tokens: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a token's first documents with its others, without those that can't be at
+    `similarity` by their sizes and the token's places. A join, so that a token of very many documents is split."""
+    x, y = first.alias("x"), tokens.alias("y")
+    sizes, places = ("x.size", "y.size"), ("x.pos", "y.pos")
+    bound = F.least(*places) + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    near = (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-6) & ((1 + similarity) * bound >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6)
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -367,40 +353,54 @@ def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Dat
     return met.mapInArrow(compare, "a long, b long")
 
 
-def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: by ascending id a document stays unless its n-word shingles are at `similarity`
-    (Jaccard) or above to those of a smaller one that stays. Of copies of one text the smallest id is asked.
+def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies; ids are whole numbers. Two passes, each by ascending id: a document stays unless its
+    n-word shingles are at `similarity` (Jaccard) or above to those of a smaller one that stays.
 
-    All pairs at `similarity` are found: two such sets share one of their first shingles in any order that is the same
-    for all documents. A round decides documents by the pairs of its tokens; of a token of very many documents those
-    with the smallest ids meet the others, 16 times as many in each round, and rounds go on until all are decided.
-    A document goes only for one that stays and that it was compared with. Rows without an id stay; rows that share
-    an id stay or go together.
+    First within the groups that the trie self-join makes of n-word fingerprints within `budget` bits. Near copies at
+    0.8 differ by ten of 64 bits on average, more than any trie prunes by, so the documents that the first pass keeps
+    then meet by shingles: two sets at `similarity` share one of their first shingles in any order that is the same for
+    all documents. No two documents that stay are at `similarity`. Of copies of one text the smallest id is asked. Rows
+    without an id stay; rows that share an id stay or go together. Texts without words are alike. An empty table gives
+    no rows.
     """
     every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     named = stored(every.select("id", "sha").distinct(), "named")
     copies = stored(named.groupBy("sha").agg(F.min("id").alias("first")), "copies")
     again = named.join(copies.hint("merge"), "sha").where("id <> first").select("id").distinct()
     texts = stored(every.join(copies.hint("merge"), (every["sha"] == copies["sha"]) & (every["id"] == copies["first"]), "left_semi").dropDuplicates(["id", "sha"]).select("id", "text"), "texts")
-    tokens = stored(_postings(texts, n, similarity), "postings")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    gone, heads = again.limit(0), 1
+    grouped = near_duplicates(texts, n, budget, "id", "text").groupBy("component_id", "id").count()
+    several = grouped.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+    of_groups = grouped.join(several.hint("merge"), "component_id").select(F.col("component_id").alias("token"), "id", F.lit(1).alias("size"), F.lit(0).alias("pos"))
+    near = stored(_thinned(of_groups, texts, n, similarity), "gone")
+    left = stored(texts.join(near.hint("merge"), "id", "left_anti"), "texts")
+    gone = near.unionByName(_thinned(_postings(left, n, similarity), left, n, similarity))
+    lost = named.join(copies.hint("merge"), "sha").join(gone.withColumnRenamed("id", "first").hint("merge"), "first", "left_semi").select("id")
+    ids = lost.unionByName(again).distinct()
+    return docs.join(ids.hint("merge"), docs[id_col] == ids["id"], "left_anti")
+
+
+def _thinned(tokens: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The ids that go, of documents that share tokens(token, id, size, pos).
+
+    A round decides documents by the pairs of its tokens; of a token of very many documents those with the smallest ids
+    meet the others, 16 times as many in each round, and rounds go on until all are decided. A document goes only
+    for one that stays and that it was compared with.
+    """
+    tokens = stored(tokens, "postings")
+    gone, heads = texts.select("id").limit(0), 1
     while tokens.limit(1).count():
-        dealt = tokens.select("token", "id", "size", "pos").repartition(parts, "token").sortWithinPartitions("token")
-        pairs = stored(dealt.mapInArrow(_by_token(_meet(similarity, heads, FEW)), "a long, b long").distinct(), "pairs")
-        edges = stored(_alike(pairs, texts, n, similarity), "alike")
+        first = stored(_first_of(tokens, heads), "first")
+        edges = stored(_alike(stored(_met(tokens, first, similarity), "pairs"), texts, n, similarity), "alike")
         # a document beyond the heads of one of its tokens hasn't met all smaller ones
-        order = W.partitionBy("token").orderBy("id")
-        ranked = tokens.select("id", (F.row_number().over(order) > heads).alias("behind"), F.count("*").over(W.partitionBy("token")).alias("many"))
-        waits = stored(ranked.where(F.col("behind") & (F.col("many") > FEW)).select("id").distinct(), "waits")
+        ends = first.where(F.col("m") > FEW).groupBy("token").agg(F.max("id").alias("end"))
+        waits = stored(tokens.join(ends, "token").where("id > end").select("id").distinct(), "waits")
         kept, lost = _decided(edges, waits, tokens.select("id").distinct())
         gone = gone.unionByName(lost)
         over = kept.unionByName(lost)
         tokens = stored(tokens.join(over, "id", "left_anti"), "postings")
         heads *= 16
-    lost = named.join(copies.hint("merge"), "sha").join(gone.withColumnRenamed("id", "first"), "first", "left_semi").select("id")
-    ids = lost.unionByName(again).distinct()
-    return docs.join(ids.hint("merge"), docs[id_col] == ids["id"], "left_anti")
+    return gone
 
 
 def _decided(edges: DataFrame, waits: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
