@@ -6,51 +6,70 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavedeck.llm import blocks
-from wavedeck.llm.katz import K, discounts, ngram_tables, score_documents
+from wavedeck.llm import blocks, exchange
+from wavedeck.llm.katz import BEGIN, K, discounts, gram_keys, ngram_tables, score_documents, token_hash
 from wavedeck.llm.queries import op2_katz_backoff
 
 
-def brute(rows):
-    """rows: (text, learned) -> n_tokens, n_known, base, score per row; the distribution's functions."""
+def brute(rows, order=3):
+    """rows: (text, learned) -> n_tokens, n_known, base, score per row; the model: N, counts, P(history, word)."""
     texts = [[*(t or "").encode().lower().split(), b""] for t, _ in rows]
-    one, two, after = Counter(), Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]
     for words, (_, learned) in zip(texts, rows):
         if learned:
-            one.update(words)
-            two.update(zip([None, *words], words))
-    for (h, _), n in two.items():
-        after[h] += n
-    size, kinds = sum(one.values()), len(one)
-    few = [sum(n == r for n in two.values()) for r in range(1, K + 2)]
-    d = discounts(few)
-    p1 = lambda w: (one[w] + 0.1) / (size + 0.1 * (kinds + 1))
-    follow = {}
-    for h, w in two:
-        follow.setdefault(h, []).append(w)
-
-    def p2(h, w):
-        if not after[h]:
-            return p1(w)
-        raw = {x: (d[two[h, x] - 1] if two[h, x] <= len(d) else 1) * two[h, x] / after[h] for x in follow[h]}
-        left = 1 - sum(raw.values())
-        if left <= 1e-12:
-            raw = {x: p * after[h] / (after[h] + 1) for x, p in raw.items()}
-            left = 1 / (after[h] + 1)
-        return raw[w] if w in raw else left / (1 - sum(map(p1, raw))) * p1(w)
-
-    out = [(len(t), sum(one[w] > 0 for w in t), sum(math.log10(p1(w)) for w in t), sum(math.log10(p2(h, w)) for h, w in zip([None, *t], t))) for t in texts]
-    return out, size, one, two, p2
+            padded = [None] * (order - 1) + words
+            for i in range(order - 1, len(padded)):
+                for k in range(1, order + 1):
+                    counts[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    size, kinds = sum(counts[1].values()), len(counts[1])
+    d = [None, None, *(discounts([sum(n == r for n in counts[k].values()) for r in range(1, K + 2)]) for k in range(2, order + 1))]
+    after = [None, None, *({} for _ in range(order - 1))]
+    for k in range(2, order + 1):
+        for gram in counts[k]:
+            after[k].setdefault(gram[:-1], []).append(gram[-1])
+    held = {}
+
+    def raw(k, gram, n):
+        c = counts[k][gram]
+        return (d[k][c - 1] if c <= len(d[k]) else 1) * c / n
+
+    def mass(h):
+        """of a history: its count, the share kept, the backoff weight"""
+        if h not in held:
+            k = len(h) + 1
+            seen = after[k][h]
+            n = sum(counts[k][*h, w] for w in seen)
+            left, share = 1 - sum(raw(k, (*h, w), n) for w in seen), 1.0
+            if left <= 1e-12:
+                left, share = 1 / (n + 1), n / (n + 1)
+            held[h] = n, share, left / (1 - sum(p(h[1:], w) for w in seen))
+        return held[h]
+
+    def p(h, w):
+        if not h:
+            return (counts[1][w,] + 0.1) / (size + 0.1 * (kinds + 1))
+        if h not in after[len(h) + 1]:
+            return p(h[1:], w)
+        n, share, weight = mass(h)
+        return raw(len(h) + 1, (*h, w), n) * share if counts[len(h) + 1][*h, w] else weight * p(h[1:], w)
+
+    out = []
+    for words in texts:
+        padded = [None] * (order - 1) + words
+        score = sum(math.log10(p(tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded)))
+        out.append((len(words), sum(counts[1][w,] > 0 for w in words), sum(math.log10(p((), w)) for w in words), score))
+    return out, size, counts, p, after
 
 
 def held(i):
     return zlib.crc32(str(i).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize("bytes_", [(8 << 20, 4 << 20), (20_000, 5_000)])
-def test_scores_are_brute_force(spark, sf_dir, documents, monkeypatch, bytes_):
-    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (bytes_[0],))
-    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (bytes_[1],))
+@pytest.mark.parametrize("block,bucket,fan", [(16 << 20, 4 << 20, 256), (20_000, 5_000, 256), (20_000, 5_000, 4)])
+def test_scores_are_brute_force(spark, sf_dir, documents, monkeypatch, block, bucket, fan):
+    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (block, blocks.make_blocks.__defaults__[1]))
+    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (bucket,))
+    monkeypatch.setattr(exchange, "FAN", fan)
     rows = documents.collect()
     expected, size, *_ = brute([(r.text, not held(r.doc_id)) for r in rows])
     got = {r.doc_id: r for r in op2_katz_backoff(spark, sf_dir).collect()}
@@ -63,11 +82,21 @@ def test_scores_are_brute_force(spark, sf_dir, documents, monkeypatch, bytes_):
     assert sum(g.score for g in unseen) > sum(g.base_score for g in unseen)
 
 
-def test_conditionals_sum_to_one(documents):
+@pytest.mark.parametrize("order", [2, 4])
+def test_other_orders(documents, order):
+    rows = [(r.doc_id, r.text) for r in documents.limit(60).collect()]
+    expected = brute([(t, not held(i)) for i, t in rows], order)[0]
+    part = documents.where(F.col("doc_id").isin([i for i, _ in rows]))
+    got = {r.doc_id: r.score for r in score_documents(part, ~F.col("doc_id").isin([i for i, _ in rows if held(i)]), order=order)[0].collect()}
+    assert got == pytest.approx({i: e[3] for (i, _), e in zip(rows, expected)}, rel=1e-9)
+
+
+def test_conditionals_sum_to_one_at_every_order(documents):
     rows = [(r.text, True) for r in documents.limit(20).collect()]
-    _, _, one, two, p2 = brute(rows)
-    for h in [None, b"the", b"never seen", *list(one)[:20]]:
-        assert sum(p2(h, w) for w in [*one, b"unseen kind"]) == pytest.approx(1, abs=1e-9)
+    _, _, counts, p, after = brute(rows)
+    words = [w for (w,) in counts[1]] + [b"unseen kind"]
+    for h in [(), *list(after[2])[:12], *list(after[3])[:12], (b"never seen",), (None, b"never seen"), (b"never seen", words[0])]:
+        assert sum(p(h, w) for w in words) == pytest.approx(1, abs=1e-9)
 
 
 def test_discounts():
@@ -76,15 +105,22 @@ def test_discounts():
     assert (discounts([100, 40, 20, 0, 8, 5]) <= 1).all()
 
 
-def test_tables(spark, documents):
+def key(gram):
+    tokens = np.array([BEGIN if w is None else token_hash(w) for w in gram], dtype=np.uint64)
+    return int(gram_keys(tokens, len(gram))[0][-1][-1].view(np.int64))
+
+
+def test_tables(documents):
     rows = documents.collect()
     _, model = score_documents(documents, F.lit(True))
-    _, size, one, two, _ = brute([(r.text, True) for r in rows])
-    words, pairs = ngram_tables(model)
-    got = words.collect()
-    assert {r.token.encode(): r["count"] for r in got if r["count"]} == dict(one) and model.size == size
-    name = {r.number: r.token.encode() for r in got} | {-1: None}
-    assert {(name[r.history], name[r.word]): r["count"] for r in pairs.collect()} == dict(two)
+    _, size, counts, _, after = brute([(r.text, True) for r in rows])
+    grams, histories = ngram_tables(model)
+    assert model.size == size and model.kinds == len(counts[1])
+    got = grams.collect()
+    assert {(r.tokens, r.key): r["count"] for r in got} == {(k, key(g)): n for k in (1, 2, 3) for g, n in counts[k].items()}
+    assert len(got) == sum(map(len, counts))
+    totals = sorted((k, sum(counts[k][*h, w] for w in ws)) for k in (2, 3) for h, ws in after[k].items())
+    assert sorted((r.tokens, r.total) for r in histories.collect()) == totals
 
 
 def test_rows(odd, empty, odd_docs):
@@ -97,3 +133,9 @@ def test_rows(odd, empty, odd_docs):
     assert score_documents(empty, teaches)[0].count() == 0
     nothing = score_documents(odd, F.lit(False))[0].collect()
     assert all(r.score == 0 and r.n_known == 0 for r in nothing)
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([("x", "a b"), ("y", "a b c")], "doc_id string, text string")
+    got = {r.doc_id: r.n_tokens for r in score_documents(df, F.lit(True))[0].collect()}
+    assert got == {"x": 3, "y": 4}

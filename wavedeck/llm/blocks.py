@@ -1,11 +1,11 @@
-"""Blocks that ask and buckets that answer.
+"""Blocks of documents that ask, and get answers.
 
 Some statistics need every document twice: once to gather counts over the corpus, once to use them. Rows per
 occurrence would make both shuffles many times the text. Here documents lie in blocks, a table bucketed by
-block id. A block sends each bucket of keys one packed question about its distinct keys, so repeats within
-a block are aggregated before the shuffle; a bucket gathers a key's questions from all blocks, and answers each
-block in the question's order. Answers meet their blocks by a cogroup, in which the bucketed side isn't
-shuffled. The number of buckets follows the size of the input, so a bucket stays at about the same size.
+block id. A block asks one packed question about its distinct keys, so repeats within a block are aggregated before
+the shuffle; exchange.py carries the questions to buckets of keys and the answers back. Answers meet their blocks by a
+cogroup, in which the bucketed side isn't shuffled. The number of buckets, and that of the table's own, follows the
+size of the input.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ except (OSError, AttributeError):
 
 #: Bytes of text in a block and behind a bucket, about.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+#: Spark's own bound on a table's buckets; block ids are dealt out among them.
+MOST_BUCKETS = 100_000
 
 
 def release() -> None:
@@ -40,18 +42,17 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def make_blocks(rows: DataFrame, text: int, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block long, size long (bytes of text), rows binary: an Arrow stream of the rows. text: the place of the text
-    column. The table lies in the shared folder, bucketed by block."""
+def make_blocks(rows: DataFrame, text: int, name: str, block_bytes: int = BLOCK_BYTES, shape: Callable[[pa.Table], pa.Table] = lambda t: t) -> DataFrame:
+    """block long, size long (bytes of text), rows binary: an Arrow stream of the rows, as `shape` makes them of a block's
+    rows. text: the place of the text column. The table lies in the shared folder, bucketed by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
 
         def block() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
-                for b in held:
-                    out.write_batch(b)
+            sink, table = pa.BufferOutputStream(), shape(pa.Table.from_batches(held))
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
             data = zstandard.compress(sink.getvalue().to_pybytes(), 3)
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["block", "size", "rows"])
 
@@ -73,7 +74,8 @@ def make_blocks(rows: DataFrame, text: int, name: str, block_bytes: int = BLOCK_
 
     spark = rows.sparkSession
     table = f"wavedeck_{name}_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files read; far too large where unknown
+    buckets = min(MOST_BUCKETS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), known // (16 * BLOCK_BYTES) if known < 1 << 60 else 0))
     made = rows.mapInArrow(run, "block long, size long, rows binary")
     made.write.bucketBy(buckets, "block").option("compression", "none").option("path", f"{shared_dir(spark)}/wavedeck/{table}").format("parquet").saveAsTable(table)
     return spark.table(table)

@@ -1,21 +1,23 @@
-"""A Katz backoff model over whole documents: bigrams that back off to smoothed unigrams.
+"""A Katz backoff model over whole documents, of any order; n-grams are evaluated recursively down to smoothed words.
 
-Tokens: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, then one end. With c: counts in training tokens, N: their
-number, V: the distinct ones,
+Tokens: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, then one end. A text is preceded by order - 1 marks of its
+beginning. With c: counts in training tokens, N: their number, V: the distinct ones, h: the k - 1 tokens before w,
+h': h without its first,
 
-    P(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))      one unseen kind of token besides V: sums to one
-    P(w | h) = d(c(h w)) c(h w) / c(h)               if h w was seen
-             = a(h) P(w)                             otherwise; P(w) where h was not seen
+    P1(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))         one unseen kind of token besides V: sums to one
+    Pk(w | h) = d(c(h w)) c(h w) / c(h)                  if h w was seen
+              = a(h) Pk-1(w | h')                        otherwise; a(h) is 1 where h was not seen
 
-d is the Good-Turing discount, from the counts of counts n_r,
-d(r) = ((r + 1) n_{r+1} / (r n_r) - q) / (1 - q), q = (k + 1) n_{k+1} / n_1, for r <= k and 1 beyond; k is the largest up
-to 5 for which all these are in (0, 1]. a(h) makes P(. | h) sum to one exactly over V + 1 kinds of token. If no
-mass is left (only counts beyond k follow h), the seen ones share c(h) / (c(h) + 1).
+d is the Good-Turing discount of the order k, from the counts of counts n_r of its n-grams,
+d(r) = ((r + 1) n_{r+1} / (r n_r) - q) / (1 - q), q = (K + 1) n_{K+1} / n_1, for r <= K and 1 beyond; K is the largest up
+to 5 for which all these are in (0, 1]. a(h) is the mass that the discounts leave, divided by one less the Pk-1 of all that
+was seen after h: Pk(. | h) sums to one exactly, at every order. If no mass is left (only counts beyond K follow h),
+the seen ones share c(h) / (c(h) + 1).
 
-Counting and scoring go by blocks that ask and buckets that answer (blocks.py), first for unigrams, then for
-bigrams. Bigrams go to buckets by their history, histories with more than a bucket's share of all tokens by parts of their
-continuations, whose sums the block adds up. Both n-gram tables are stored, partitioned by bucket; the blocks get the
-numbers for their own n-grams and evaluate P per token.
+n-grams are known by 64-bit hashes. Blocks ask for their own (exchange.py): first for the counts of their n-grams of all
+orders, then for three sums of their histories: c(h), the discounts' mass, and the seen words' mass at the order below.
+A kind of n-gram is added to its history's sums once, by the block that owns it. Both tables are stored in parts of the hash
+range; the answers are read from them.
 
 Null and empty texts have the end alone. Rows with a null id are scored, not learned from. Rows may repeat. Without
 training documents every token is the unseen kind and P is 1. An empty table gives no rows.
@@ -27,190 +29,187 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answered, ask, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import ask, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
+from .exchange import Keyed, exchange, keyed, levels, slim
 from .scratch import stored
 
-#: Largest count that is discounted, and what is added to unigram counts.
-K, ADDED = 5, 0.1
-#: The history of a text's first token.
-BEGIN = -1
+#: Tokens of the longest n-gram, largest count that is discounted, and what is added to words' counts.
+ORDER, K, ADDED = 3, 5, 0.1
+#: The hash that stands for the beginning of a text.
+BEGIN = np.uint64(0x5BD1E9955BD1E995)
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_ANSWERS = "block long, bucket long, data binary, kind string, size long, kinds long, few array<long>"
-
-
-def _spread(x: np.ndarray, buckets: np.ndarray | int) -> np.ndarray:
-    h = x.astype(np.uint64) * _MUL
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(40)) * np.asarray(buckets, dtype=np.uint64) >> np.uint64(24)).astype(np.int64)
-
-
-def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places in order)."""
-    order = np.argsort(bucket, kind="stable")
-    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1 if len(bucket) else []
-    for a, b in zip([0, *ends[:-1]], ends):
-        yield int(bucket[order[a]]), order[a:b]
-
-
-class _Places(dict):
-    """Words in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
-
-
-def _by_pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The order by history, then word."""
-    wide = int(word.max(initial=0)) + 1
-    if (int(history.max(initial=0)) + 2) * wide < 1 << 63:
-        return np.argsort((history + 1) * wide + word)  # one key sorts faster than two
-    return np.lexsort((word, history))
+_LOW = np.uint64(7)
+
+
+def token_hash(token: bytes) -> int:
+    """Of a lower-cased word; the end is the empty one."""
+    return xxhash.xxh64_intdigest(token)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_keys(tokens: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of token hashes on end, per place: the keys of the n-grams of 1 to `order` tokens that end there, and those of the
+    histories of the n-grams of 2 to `order`. Their low bits are the order."""
+    with np.errstate(over="ignore"):
+        grams, histories, g = [], [], _mix(tokens)
+        for k in range(1, order + 1):
+            if k > 1:
+                before = np.roll(g, 1)  # what comes before the first place never counts
+                histories.append(before & ~_LOW | np.uint64(k))
+                g = _mix(before * _MUL + tokens)
+            grams.append(g & ~_LOW | np.uint64(k))
+    return grams, histories
+
+
+def _tokenised(rows: pa.Table) -> pa.Table:
+    """Rows (id, text, learned) as (id, learned, tokens: lists of hashes with a dictionary)."""
+    rows = rows.combine_chunks()
+    texts = pc.fill_null(rows.column(1).combine_chunks().cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    hashes = np.fromiter((token_hash(w.encode()) for w in [*words, ""]), dtype=np.uint64, count=len(words) + 1)
+    index, offsets = coded.indices.to_numpy(), split.offsets.to_numpy()
+    full = index != words.index("") if "" in words else np.ones(len(index), bool)  # beside white space at an end
+    sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]])
+    ends = np.cumsum(sizes + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, len(words), dtype=np.int32)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends - 1] = False
+    out[inner] = index[full]
+    tokens = pa.DictionaryArray.from_arrays(pa.array(out), pa.array(hashes.view(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens)
+    return pa.Table.from_arrays([rows.column(0), rows.column(2), lists], ["id", "learned", "tokens"])
+
+
+def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, of each key its place among them, and of each distinct one a place."""
+    order = np.argsort(keys)
+    inside = keys[order]
+    new = np.concatenate([[True], inside[1:] != inside[:-1]])[: len(keys)]
+    of = np.empty(len(keys), dtype=np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return inside[new], of, order[new]
 
 
 class Block:
-    """A block's tokens as places in its own vocabulary (the end is the empty word), and its distinct bigrams."""
-
-    def __init__(self, rows: pa.Table):
-        learned = np.array(rows.column(2))
-        places = _Places({b"": 0})
-        tokens, sizes = [], []
-        for t in rows.column(1):
-            words = (t.as_py() or "").encode().lower().split()
-            words.append(b"")
-            tokens.append(np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words)))
-            sizes.append(len(words))
-        self.words = list(places)
-        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        self.sizes = np.array(sizes, dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.learned = learned
-        teaches = learned[self.doc]
-        self.counts = np.bincount(self.tokens[teaches], minlength=len(self.words))
-        self.bucket_hash = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in self.words), dtype=np.int64, count=len(self.words))
-
-    def bigrams(self) -> None:
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = BEGIN
-        m = len(self.words)
-        self.of, key = pd.factorize((before + 1) * m + self.tokens)
-        self.first, self.second = key // m - 1, key % m
-        self.learned_pairs = np.bincount(self.of[self.learned[self.doc]], minlength=len(key))
-
-
-def _ask_words(block: Block, buckets: int) -> Iterator[tuple[int, bytes]]:
-    for bucket, at in _groups(_spread(block.bucket_hash, buckets)):
-        yield bucket, pack(b"\n".join([block.words[i] for i in at]), block.counts[at].astype(np.uint32))
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    names = ("block", "bucket", "data", "kind", "size", "kinds", "few")
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], list(names))
-
-
-def _count_words(buckets: int):
-    def run(asked: pa.Table) -> pa.Table:
-        asked = asked.sort_by("block")
-        places: dict[bytes, int] = {}
-        sent, counts = [], []
-        for data in asked.column("data").to_pylist():
-            words, n = unpack(data)
-            at = np.array([places.setdefault(w, len(places)) for w in words.tobytes().split(b"\n")], dtype=np.int64)
-            sent.append(at)
-            counts.append(n.astype(np.int64))
-        total = np.bincount(np.concatenate(sent), weights=np.concatenate(counts), minlength=len(places)).astype(np.int64)
-        bucket = asked.column("bucket")[0].as_py()
-        rows = [(b, bucket, pack(at * buckets + bucket, total[at]), "answer", 0, 0, None) for b, at in zip(asked.column("block").to_pylist(), sent)]
-        rows.append((None, bucket, pack(b"\n".join(places), np.arange(len(places), dtype=np.int64) * buckets + bucket, total), "table", int(total.sum()), int((total > 0).sum()), None))
-        return _table(rows)
+    """A block's distinct n-grams and histories of all orders. Lists by order, from one token on: keys; of, each token's
+    n-gram; lower, of each n-gram the one without its first token; from two tokens on: heads, the histories' keys, and
+    head, of each n-gram its history."""
+
+    def __init__(self, rows: pa.Table, order: int):
+        lists = rows.column("tokens").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        offsets, values = lists.offsets.to_numpy(), lists.values
+        index, hashes = values.indices.to_numpy(), values.dictionary.to_numpy().view(np.uint64)
+        self.sizes = np.diff(offsets).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.teaches = np.array(rows.column("learned"), dtype=bool)[self.doc]
+        real = np.arange(len(index)) + (self.doc + 1) * (order - 1)
+        padded = np.full(len(index) + len(self.sizes) * (order - 1), BEGIN)
+        padded[real] = hashes[index]
+        grams, histories = gram_keys(padded, order)
+        self.order, self.keys, self.of, self.counts, self.lower, self.heads, self.head = order, [], [], [], [None], [None], [None]
+        for k in range(order):
+            keys, of, at = _kinds(grams[k][real])
+            self.keys.append(keys)
+            self.of.append(of)
+            self.counts.append(np.bincount(of[self.teaches], minlength=len(keys)))
+            if k:
+                self.lower.append(self.of[k - 1][at])
+                heads, head, _ = _kinds(histories[k - 1][real[at]])
+                self.heads.append(heads)
+                self.head.append(head)
+            grams[k] = None
+        every = np.concatenate(self.keys)
+        self.merge = np.argsort(every, kind="stable")
+        self.sorted = every[self.merge]
+
+    def questions(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        return keyed(self.sorted, [np.concatenate(self.counts)[self.merge]], ranges)
+
+    def learn(self, answers: list[bytes]) -> None:
+        """Take the counts of its n-grams over all documents, and which of them are its own to add to histories' sums."""
+        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0, np.int64)] * 2
+        cuts = np.cumsum([len(k) for k in self.keys])[:-1]
+        count, own = np.empty(len(self.sorted), dtype=np.int64), np.empty(len(self.sorted), dtype=bool)
+        count[self.merge], own[self.merge] = told
+        self.count, self.own = np.split(count, cuts), np.split(own, cuts)
+
+    def histories(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys of the histories of all orders, and the order that sorts them."""
+        every = np.concatenate([np.zeros(0, np.uint64), *self.heads[1:]])
+        order = np.argsort(every, kind="stable")
+        return every[order], order
+
+    def sums(self, model: Model, ranges: int) -> Iterator[tuple[int, bytes]]:
+        columns: list[list[np.ndarray]] = [[], [], []]
+        for k in range(1, self.order):
+            mine = self.own[k]
+            head, c, below = self.head[k][mine], self.count[k][mine], self.count[k - 1][self.lower[k][mine]]
+            mass = below + ADDED if k == 1 else model.kept(k - 1, below) * below
+            for column, x in zip(columns, (c, (1 - model.kept(k, c)) * c, mass)):
+                column.append(np.bincount(head, weights=x, minlength=len(self.heads[k])))
+        keys, order = self.histories()
+        columns = [np.concatenate([np.zeros(0), *c])[order] for c in columns]
+        return keyed(keys, [columns[0].astype(np.int64), *columns[1:]], ranges)
+
+    def scores(self, model: Model, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_known, base score and score of its documents."""
+        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0)] * 3
+        keys, order = self.histories()
+        back = []
+        for x in told:
+            column = np.empty(len(keys), dtype=x.dtype)
+            column[order] = x
+            back.append(np.split(column, np.cumsum([len(h) for h in self.heads[1:]])[:-1]))
+        p = one = model.word(self.count[0])
+        kept = total = None
+        for k in range(1, self.order):
+            before, mass = (kept, total), None
+            total, lost, low = (b[k - 1] for b in back)
+            if k == 1:
+                mass = low / (model.size + ADDED * (model.kinds + 1))
+            else:  # the histories' own histories, by any n-gram that has them
+                shorter = np.empty(len(self.heads[k]), dtype=np.int64)
+                shorter[self.head[k]] = self.head[k - 1][self.lower[k]]
+                mass = before[0][shorter] * low / np.maximum(before[1][shorter], 1)
+            kept, weight = model.history(total, lost, mass)
+            head, c = self.head[k], self.count[k]
+            p = np.where(c > 0, model.kept(k, c) * kept[head] * c / np.maximum(total[head], 1), weight[head] * p[self.lower[k]])
+        add = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.sizes))
+        return add(self.count[0][self.of[0]] > 0).astype(np.int64), add(np.log10(one)[self.of[0]]), add(np.log10(p)[self.of[-1]])
+
+
+def _counted(order: int):
+    def run(question: Keyed) -> tuple[bytes, bytes, list[int]]:
+        """The answer, the table and N, V, and the counts of counts of each order from two on, of a bucket."""
+        (count,), of = question.numbers, question.keys & _LOW
+        seen = count > 0
+        figures = [int(count[of == 1].sum()), int((seen & (of == 1)).sum())]
+        for k in range(2, order + 1):
+            figures += np.bincount(np.minimum(count[of == k], K + 2), minlength=K + 3)[1 : K + 2].tolist()
+        return pack(slim(count), seen.astype(np.uint8)), pack(delta(question.keys[seen]), slim(count[seen])), figures
 
     return run
 
 
-class Known:
-    """A block with its words' numbers and counts, and where its bigrams are asked for."""
-
-    def __init__(self, block: Block, answers: pa.Table, buckets: int, size: int):
-        self.block = block
-        told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
-        self.number = np.zeros(len(block.words), dtype=np.int64)
-        self.count = np.zeros(len(block.words), dtype=np.int64)
-        for bucket, at in _groups(_spread(block.bucket_hash, buckets)):
-            self.number[at], self.count[at] = unpack(told[bucket])
-        block.bigrams()
-        begins = block.first == BEGIN
-        history, shows = self.number[block.first], self.count[block.first]
-        history[begins], shows[begins] = BEGIN, self.count[0]  # texts begin as often as they end
-        self.history, self.word = history, self.number[block.second]
-        # a history with more than a bucket's share of the tokens is cut into so many parts
-        cuts = np.maximum(1, -(-shows * buckets // max(size, 1)))
-        part = _spread(self.word ^ 0x5BD1E995, cuts)
-        self.bucket = _spread(history * 1_000_003 + part, buckets)
-        hot, at = np.unique(history[cuts > 1], return_index=True)
-        cuts = cuts[cuts > 1][at]
-        self.extra = np.repeat(hot, cuts), _spread(np.repeat(hot, cuts) * 1_000_003 + np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts), buckets)
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(bucket, its bigrams sorted by history and word, hot histories to ask for besides)."""
-        order = _by_pair(self.history, self.word)
-        more: dict[int, np.ndarray] = {b: self.extra[0][at] for b, at in _groups(self.extra[1])}
-        for bucket, at in _groups(self.bucket[order]):
-            yield bucket, order[at], more.pop(bucket, np.zeros(0, np.int64))
-        for bucket, hot in more.items():
-            yield bucket, np.zeros(0, np.int64), hot
-
-    def questions(self) -> Iterator[tuple[int, bytes]]:
-        for bucket, at, hot in self.parts():
-            yield bucket, pack(delta(self.history[at]), self.word[at], self.block.learned_pairs[at].astype(np.uint32), self.count[self.block.second[at]], hot)
-
-
-def _count_bigrams(asked: pa.Table) -> pa.Table:
-    """Answers: per bigram its count; per history asked for, sorted: its count, the kinds that follow, their
-    unigram counts' sum, and how many of them were seen once, twice, ... K times."""
-    asked = asked.sort_by("block")
-    parts = [unpack(d) for d in asked.column("data").to_pylist()]
-    pairs = [(undelta(p[0]), p[1]) for p in parts]
-    history, word = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-    n, alone = np.concatenate([p[2] for p in parts]).astype(np.int64), np.concatenate([p[3] for p in parts])
-    order = _by_pair(history, word)
-    h, w = history[order], word[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])[: len(h)]
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
-    of = np.empty(len(h), dtype=np.int64)
-    of[order] = np.cumsum(new) - 1
-    seen = total > 0
-    h, w, alone, total = h[first][seen], w[first][seen], alone[order][first][seen], total[seen]
-    position = np.cumsum(seen) - 1
-    few = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
-    heads, at = np.unique(h, return_inverse=True)
-    sums = np.zeros((3 + K, len(heads) + 1), dtype=np.int64)  # the last column: histories that were never seen
-    for i, v in enumerate((total, np.ones_like(total), alone)):
-        np.add.at(sums[i], at, v)
-    for r in range(1, K + 1):
-        np.add.at(sums[2 + r], at, total == r)
-    rows, begin = [], 0
-    bucket = asked.column("bucket")[0].as_py()
-    for block, (own, _), part in zip(asked.column("block").to_pylist(), pairs, parts):
-        mine = of[begin : begin + len(own)]
-        begin += len(own)
-        wanted = distinct(np.concatenate([own, part[4]]))
-        k = np.minimum(np.searchsorted(heads, wanted), max(len(heads) - 1, 0))
-        k = np.where(heads[k] == wanted, k, len(heads)) if len(heads) else np.zeros(len(wanted), np.int64)
-        counts = np.where(seen[mine], total[np.maximum(position[mine], 0)], 0) if len(total) else np.zeros(len(mine), np.int64)
-        rows.append((block, bucket, pack(counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64), *(sums[i][k] for i in range(3 + K))), "answer", 0, 0, None))
-    rows.append((None, bucket, pack(delta(h), w, total), "table", int(total.sum()), len(total), few.tolist()))
-    return _table(rows)
+def _summed(question: Keyed) -> tuple[bytes, bytes, list[int]]:
+    seen = question.numbers[0] > 0
+    return pack(*map(slim, question.numbers)), pack(delta(question.keys[seen]), *(x[seen] for x in question.numbers)), []
 
 
 def discounts(few: list[int]) -> np.ndarray:
@@ -231,105 +230,83 @@ def discounts(few: list[int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What all blocks need: N, V, the discounts; unigrams and bigrams are the stored tables."""
+    """What all blocks need: N, V and each order's discounts, from two tokens on; grams and sums are the stored tables."""
 
     size: int
     kinds: int
-    discount: np.ndarray
-    unigrams: DataFrame
-    bigrams: DataFrame
+    discount: list[np.ndarray]
+    grams: DataFrame | None = None
+    sums: DataFrame | None = None
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
+    def word(self, count: np.ndarray) -> np.ndarray:
         return (count + ADDED) / (self.size + ADDED * (self.kinds + 1))
 
-    def history(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the share of the discounted mass that is kept, the backoff weight) of histories, from their sums."""
-        total, kinds, alone = sums[0], sums[1], sums[2]
-        lost = np.zeros(total.shape)
-        for r, d in enumerate(self.discount, 1):
-            lost += (1 - d) * r * sums[2 + r]
+    def kept(self, k: int, count: np.ndarray) -> np.ndarray:
+        """The discounts of counts of n-grams of k + 1 tokens."""
+        d = np.concatenate([[1.0], self.discount[k - 1], [1.0]])
+        return d[np.minimum(count, len(d) - 1)]
+
+    def history(self, total: np.ndarray, lost: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of histories the share of the discounted mass that is kept, and the backoff weight. mass: what the order below
+        gives to all that was seen after them."""
         none = lost <= 0
         kept = np.where(none, total / (total + 1.0), 1.0)
         left = np.where(none, 1 / (total + 1.0), lost / np.maximum(total, 1))
-        rest = 1 - (alone + ADDED * kinds) / (self.size + ADDED * (self.kinds + 1))
-        weight = np.where(total > 0, left / rest, 1.0)
-        return kept, weight
-
-    def bigram(self, count: np.ndarray, total: np.ndarray, kept: np.ndarray, weight: np.ndarray, word_count: np.ndarray) -> np.ndarray:
-        d = np.ones(int(count.max(initial=0)) + 1) if count.max(initial=0) < 1_000_000 else np.ones(1_000_001)
-        d[1 : 1 + len(self.discount)] = self.discount[: max(0, len(d) - 1)]
-        seen = d[np.minimum(count, len(d) - 1)] * kept * count / np.maximum(total, 1)
-        return np.where(count > 0, seen, weight * self.unigram(word_count))
-
-
-def _scores(known: Known, answers: pa.Table, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n_known, base score and score of a block's documents."""
-    block = known.block
-    told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
-    count = np.zeros(len(known.history), dtype=np.int64)
-    heads = distinct(known.history)
-    sums = np.zeros((3 + K, len(heads)), dtype=np.int64)
-    for bucket, at, hot in known.parts():
-        counts, *numbers = unpack(told[bucket])
-        count[at] = counts
-        wanted = np.searchsorted(heads, distinct(np.concatenate([known.history[at], hot])))
-        for i, v in enumerate(numbers):  # once a bucket: parts of a history add up
-            sums[i, wanted] += v
-    kept, weight = model.history(sums)
-    at = np.searchsorted(heads, known.history)
-    p = np.log10(model.bigram(count, sums[0, at], kept[at], weight[at], known.count[block.second]))
-    base = np.log10(model.unigram(known.count))
-    add = lambda x: np.bincount(block.doc, weights=x, minlength=len(block.sizes))
-    return add(known.count[block.tokens] > 0).astype(np.int64), add(base[block.tokens]), add(p[block.of])
-
-
-def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
-    """Learn from the rows for which `teaches` holds, then score all: id_col, n_tokens, n_known, base_score
-    (unigrams alone), score (log10 probability of the text); and the model."""
+        return kept, np.where(total > 0, left / (1 - np.where(total > 0, mass, 0)), 1.0)
+
+
+def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, Model]:
+    """Learn n-grams of up to `order` tokens (2 to 7) from the rows for which `teaches` holds, then score all: id_col,
+    n_tokens, n_known, base_score (words alone), score (log10 probability of the text); and the model."""
+    if not 2 <= order <= 7:
+        raise ValueError("an order is from 2 to 7")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_0"), F.col(text_col).alias("_1"), (F.col(id_col).isNotNull() & F.coalesce(teaches, F.lit(False))).alias("_2"))
-    blocks = make_blocks(rows, 1, "ngrams")
-    buckets = bucket_count(blocks)
-    asked = ask(blocks, lambda _, table: _ask_words(Block(table), buckets))
-    words = stored(answered(asked, _count_words(buckets), _ANSWERS), "unigrams", "kind")
-    size, kinds = (x or 0 for x in words.where("kind = 'table'").agg(F.sum("size"), F.sum("kinds")).head())
-    known = words.where("kind = 'answer'").select("block", "bucket", "data")
+    blocks = make_blocks(rows, 1, "ngrams", shape=_tokenised)
+    buckets, n = bucket_count(blocks), blocks.count()
+    ranges = levels(buckets)[0]
+    asked = ask(blocks, lambda _, table: Block(table, order).questions(ranges))
+    counts, grams = exchange(asked, n, buckets, lambda d: Keyed(d, owned=True), _counted(order), "ngrams")
+    counts = stored(counts, "ngram-counts") if len(levels(buckets)) > 1 else counts
+    figures = grams.agg(*(F.coalesce(F.sum(F.get("figures", F.lit(i))), F.lit(0)) for i in range(2 + (order - 1) * (K + 1)))).head()
+    few = [figures[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)] for k in range(order - 1)]
+    plain = Model(int(figures[0]), int(figures[1]), [discounts([int(x) for x in f]) for f in few])
+
+    def known(table: pa.Table, answers: pa.Table) -> Block:
+        block = Block(table, order)
+        block.learn(answers.sort_by("bucket").column("data").to_pylist())
+        return block
 
     def second(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        out = list(Known(Block(table), answers, buckets, size).questions())
-        return pa.table({"block": pa.array([block] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([q for _, q in out], pa.binary())})
+        bucket, data = zip(*known(table, answers).sums(plain, ranges))
+        return pa.table({"block": pa.array([block] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
 
-    asked = with_answers(blocks, known, second, "block long, bucket long, data binary")
-    pairs = stored(answered(asked, _count_bigrams, _ANSWERS), "bigrams", "kind")
-    few = pairs.where("kind = 'table'").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(K + 1))).head()
-    model = Model(size, kinds, discounts([int(x) for x in few]), words.where("kind = 'table'"), pairs.where("kind = 'table'"))
-    plain = Model(size, kinds, model.discount, None, None)
-    both = known.withColumn("round", F.lit(1)).unionByName(pairs.where("kind = 'answer'").select("block", "bucket", "data", F.lit(2).alias("round")))
+    sums, histories = exchange(with_answers(blocks, counts, second, "block long, bucket long, data binary"), n, buckets, Keyed, _summed, "histories")
+    both = counts.withColumn("turn", F.lit(1)).unionByName(sums.withColumn("turn", F.lit(2)))
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        turn = np.array(answers.column("round"))
-        own = Known(Block(table), answers.filter(pa.array(turn == 1)), buckets, size)
-        n_known, base, score = _scores(own, answers.filter(pa.array(turn == 2)), plain)
-        return pa.Table.from_arrays([table.column(0), pa.array(own.block.sizes), pa.array(n_known), pa.array(base), pa.array(score)], [id_col, "n_tokens", "n_known", "base_score", "score"])
+        turn = np.array(answers.column("turn"))
+        own = known(table, answers.filter(pa.array(turn == 1)))
+        n_known, base, score = own.scores(plain, answers.filter(pa.array(turn == 2)).sort_by("bucket").column("data").to_pylist())
+        return pa.Table.from_arrays([table.column(0), pa.array(own.sizes), pa.array(n_known), pa.array(base), pa.array(score)], [id_col, "n_tokens", "n_known", "base_score", "score"])
 
+    model = Model(plain.size, plain.kinds, plain.discount, grams, histories)
     return with_answers(blocks, both, last, f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double"), model
 
 
 def ngram_tables(model: Model) -> tuple[DataFrame, DataFrame]:
-    """The stored tables as rows: unigrams(token, number, count), the end as the empty token; bigrams(history, word,
-    count) by number, BEGIN before a text."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                text, number, count = unpack(data)
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in text.tobytes().split(b"\n")]), pa.array(number), pa.array(count)], ["token", "number", "count"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                steps, word, count = unpack(data)
-                yield pa.RecordBatch.from_arrays([pa.array(undelta(steps)), pa.array(word), pa.array(count)], ["history", "word", "count"])
-
-    unigrams = model.unigrams.select("data").mapInArrow(words, "token string, number long, count long")
-    return unigrams, model.bigrams.select("data").mapInArrow(pairs, "history long, word long, count long")
+    """The stored tables as rows: n-grams (tokens, key, count) and histories (tokens, key, total, lost, mass); tokens:
+    the n-gram's number of tokens, for a history that of the n-grams it stands in; keys as gram_keys() makes them."""
+
+    def rows(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    keys, *numbers = unpack(data)
+                    keys = undelta(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array((keys & _LOW).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(numbers[0].astype(np.int64)), *map(pa.array, numbers[1:])], names)
+
+        return run
+
+    grams = model.grams.select("data").mapInArrow(rows(["tokens", "key", "count"]), "tokens int, key long, count long")
+    return grams, model.sums.select("data").mapInArrow(rows(["tokens", "key", "total", "lost", "mass"]), "tokens int, key long, total long, lost double, mass double")
