@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from wavedeck.llm import blocks, suffix_dedup
+from wavedeck.llm import blocks, exchange, suffix_dedup
 from wavedeck.llm.queries import op5_suffix_dedup
 from wavedeck.llm.suffix_dedup import ColumnIndex, dedup_passages, passage_lows
 
@@ -30,9 +30,10 @@ def brute(rows, least=50):
     return out
 
 
-@pytest.mark.parametrize("block,bucket,hot", [(8 << 20, 4 << 20, 1000), (30_000, 7_000, 1000), (30_000, 7_000, 2)])
-def test_rows_are_brute_force(spark, sf_dir, documents, monkeypatch, block, bucket, hot):
-    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (block,))
+@pytest.mark.parametrize("block,bucket,hot,fan", [(8 << 20, 4 << 20, 1000, 256), (30_000, 7_000, 1000, 256), (30_000, 7_000, 2, 256), (30_000, 7_000, 1000, 4)])
+def test_rows_are_brute_force(spark, sf_dir, documents, monkeypatch, block, bucket, hot, fan):
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (block, blocks.make_blocks.__defaults__[1]))
     monkeypatch.setattr(blocks.bucket_count, "__defaults__", (bucket,))
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
@@ -77,7 +78,7 @@ def test_rows(spark, odd, empty, odd_docs):
 
 
 def test_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (3_000,))
+    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (3_000, blocks.make_blocks.__defaults__[1]))
     monkeypatch.setattr(suffix_dedup, "HOT", 20)
     rng = random.Random(2)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(120))

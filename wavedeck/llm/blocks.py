@@ -110,12 +110,6 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """The sorted distinct keys, by a sort."""
-    keys = np.sort(keys)
-    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
-
-
 def delta(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
@@ -154,15 +148,3 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.T
             release()
 
     return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-
-
-def answered(asked: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str = ASKS) -> DataFrame:
-    """answer(all questions to a bucket) gives its answers, a bucket at a time."""
-
-    def run(table: pa.Table) -> pa.Table:
-        try:
-            return answer(table)
-        finally:
-            release()
-
-    return asked.groupBy("bucket").applyInArrow(run, schema)

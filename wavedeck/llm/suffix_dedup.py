@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASKS, answered, ask, batch_of, bucket_count, delta, distinct, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import ASKS, ask, batch_of, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
+from .exchange import Keyed, exchange, keyed, levels, parts_of, slim
 from .scratch import stored
 
 #: Bytes of a passage that is removed, and of its anchor.
@@ -135,10 +136,10 @@ class Block:
 
 
 def _place(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and, in the low half, a 32-bit key in it. Hashes are mixed anew as anchors have low ones. Two
-    contexts of one key are taken for one here: their passages are compared in full later."""
-    m = _mix(h * _MUL)
-    return ((m >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)) << np.uint64(32) | (m & np.uint64(0xFFFFFFFF))
+    """Keys of contexts: as many of a hash's high bits as tell a bucket's contexts apart. Hashes are mixed anew as anchors
+    have low ones. Two contexts of one key are taken for one here: their passages are compared in full later."""
+    bits = min(64, 34 + buckets.bit_length())
+    return _mix(h * _MUL) >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -150,37 +151,22 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _questions(block: Block, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Per bucket: the sorted distinct contexts, their occurrences, and whether two documents here have them."""
+    """The distinct contexts, with their occurrences, whether two documents here have them, and one as the block that asks."""
     places = _place(np.concatenate([block.left[block.has_left], block.right[block.has_right]]), buckets)
     doc = block.ids[block.docs(block.run_start)]
     ids = np.concatenate([doc[block.has_left], doc[block.has_right]])
     order = np.argsort(places, kind="stable")
     places, ids = places[order], ids[order]
-    first = np.flatnonzero(np.diff(places, prepend=~places[:1]))
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])[: len(places)])
     n = np.diff(np.append(first, len(places)))
     several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
-    places = places[first]
-    for bucket, at in _parts(places >> np.uint64(32)):
-        yield bucket, pack(delta(places[at].astype(np.uint32)), n[at].astype(np.uint32), several[at].astype(np.uint8))
-
-
-def _shared(asked: pa.Table) -> pa.Table:
-    """Per asking block: 0 where one block's one document alone has the context, 1 where more have it, 2 where it is hot as well."""
-    asked = asked.sort_by("block")
-    parts = [unpack(d) for d in asked.column("data").to_pylist()]
-    keys = [undelta(p[0]) for p in parts]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    h, n = every[order], np.concatenate([p[1] for p in parts])[order].astype(np.int64)
-    several = np.concatenate([p[2] for p in parts])[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    asks = np.diff(np.append(first, len(h)))
-    more = np.maximum.reduceat(several, first).astype(bool) | (asks > 1)
-    said = np.where(more, np.where(np.add.reduceat(n, first) >= HOT, 2, 1), 0).astype(np.uint8)
-    back = np.zeros(len(every), dtype=np.uint8)
-    back[order] = np.repeat(said, asks)
-    out = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
-    return pa.Table.from_batches([batch_of([(b, k, pack(o)) for b, k, o in zip(asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), out)])])
+    yield from keyed(places[first], [n, several.astype(np.uint8), np.ones(len(first), np.uint8)], levels(buckets)[0])
+
+
+def _shared(question: Keyed) -> tuple[bytes, None, list[int]]:
+    """Per context: 0 where one block's one document alone has it, 1 where more have it, 2 where it is hot as well."""
+    n, several, asks = question.numbers
+    return pack(np.where((several > 0) | (asks > 1), np.where(n >= HOT, 2, 1), 0).astype(np.uint8)), None, []
 
 
 def _at(data: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
@@ -201,11 +187,10 @@ class Stretches:
     """What a block sends in its second question."""
 
     def __init__(self, block: Block, answers: pa.Table, buckets: int):
-        told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
-        said = [unpack(told[b])[0] for b in sorted(told)]  # buckets in order: as the sorted places
+        said = [unpack(d)[0] for d in answers.sort_by("bucket").column("data").to_pylist()]  # in order: as the sorted places
         on = block.has_left, block.has_right
         places = [_place(h[o], buckets) for h, o in zip((block.left, block.right), on)]
-        known = distinct(np.concatenate(places))
+        known = np.unique(np.concatenate(places))
         kinds = []
         for p, o in zip(places, on):
             kind = np.zeros(len(o), dtype=np.uint8)
@@ -237,17 +222,65 @@ class Stretches:
         self.phase = np.zeros(m, dtype=np.uint8)
         self.phase[self.of] = phase
         self.size = np.array([len(t) for t in self.texts], dtype=np.uint8)
-        self.bucket = (_place(self.key, buckets) >> np.uint64(32)).astype(np.uint32)
+        # as the answers come: by key
+        order = np.argsort(_mix(self.key * _MUL), kind="stable")
+        self.key, self.low, self.phase, self.size, self.texts = _mix(self.key * _MUL)[order], self.low[order], self.phase[order], self.size[order], [self.texts[i] for i in order.tolist()]
+        rank = np.empty(m, dtype=np.int64)
+        rank[order] = np.arange(m)
+        self.of = rank[self.of]
 
-    def questions(self) -> Iterator[tuple[int, bytes]]:
-        order = np.argsort(self.bucket, kind="stable")
-        for bucket, part in _parts(self.bucket[order]):
-            at = order[part]
-            yield bucket, pack(self.size[at], self.phase[at], self.low[at], self.key[at], b"".join([self.texts[i] for i in at.tolist()]))
+    def questions(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        return _asked(self.key, self.size, self.phase, self.low, self.texts, ranges)
 
     def note(self) -> bytes:
         """What the block needs itself to understand the answers."""
-        return pack(self.start, self.of.astype(np.uint32), self.size, self.bucket)
+        return pack(self.start, slim(self.of), self.size)
+
+
+def _asked(key: np.ndarray, size: np.ndarray, phase: np.ndarray, low: np.ndarray, texts: list[bytes], ranges: int) -> Iterator[tuple[int, bytes]]:
+    for r, at in parts_of(key, ranges):
+        yield r, pack(delta(key[at]), size[at], phase[at], low[at], b"".join(texts[at]))
+
+
+class Passages:
+    """Stretches that several ask about, distinct, by key, with their smallest document; equal ones have equal keys. An
+    answer has the smallest document of each passage of `least` bytes of each stretch, on end."""
+
+    def __init__(self, asked: list[bytes], least: int):
+        self.least = least
+        place: dict[bytes, int] = {}
+        keys, sizes, phases, lows, sent = [], [], [], [], []
+        for data in asked:
+            key, size, phase, low, flat = unpack(data)
+            flat, ends = flat.tobytes(), np.cumsum(size, dtype=np.int64).tolist()
+            known = len(place)
+            of = np.array([place.setdefault(flat[a:b], len(place)) for a, b in zip([0, *ends[:-1]], ends)], dtype=np.int64)
+            new = np.flatnonzero(of >= known)  # in order, as a message's stretches are distinct
+            for column, x in zip((keys, sizes, phases, lows), (undelta(key), size, phase, np.full(len(size), np.iinfo(np.int64).max))):
+                column.append(x[new])
+            sent.append((of, low))
+        keys, sizes, phases, lows = (np.concatenate(x) for x in (keys, sizes, phases, lows))
+        for of, low in sent:
+            np.minimum.at(lows, of, low)
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        texts = list(place)
+        self.key, self.size, self.phase, self.low, self.texts = keys[order], sizes[order], phases[order], lows[order], [texts[i] for i in order.tolist()]
+        self.of = [rank[of] for of, _ in sent]
+
+    def parts(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        return _asked(self.key, self.size, self.phase, self.low, self.texts, ranges)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each stretch how many passages it has, and where they begin."""
+        n = self.size.astype(np.int64) - self.least + 1
+        return n, np.cumsum(n) - n
+
+    def back(self, answers: list[bytes]) -> list[bytes]:
+        lows = np.concatenate([unpack(a)[0] for a in answers])
+        n, offset = self.places()
+        return [pack(lows[np.repeat(offset[of], n[of]) + _steps(n[of])]) for of in self.of]
 
 
 class ColumnIndex:
@@ -366,61 +399,27 @@ def passage_lows(strings: list[bytes], low: np.ndarray, least: int, phase: np.nd
     return out
 
 
-def _lows(asked: pa.Table, least: int) -> pa.Table:
-    """Per asking block: the smallest document of each passage of its stretches, on end. A block's note to itself,
-    under a negative number, goes back as it came."""
-    if asked.column("bucket")[0].as_py() < 0:
-        return asked.select(["block", "bucket", "data"])
-    asked = asked.sort_by("block")
-    texts: dict[bytes, int] = {}
-    low: list[int] = []
-    key: list[int] = []
-    phase: list[int] = []
-    sent = []
-    for data in asked.column("data").to_pylist():
-        sizes, phases, lows, keys, flat = unpack(data)
-        flat, ends = flat.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
-        rows = []
-        for a, b, first, k, p in zip([0, *ends[:-1]], ends, lows.tolist(), keys.tolist(), phases.tolist()):
-            t = flat[a:b]
-            i = texts.get(t)
-            if i is None:
-                i = texts[t] = len(low)
-                low.append(first)
-                key.append(k)
-                phase.append(p)
-            elif first < low[i]:
-                low[i] = first
-            rows.append(i)
-        sent.append(np.array(rows, dtype=np.int64))
-    strings, lows, keys, grid = list(texts), np.array(low, dtype=np.int64), np.array(key, dtype=np.uint64), np.array(phase, dtype=np.int64)
-    passages = np.array([len(s) for s in strings], dtype=np.int64) - least + 1
-    offset = np.cumsum(passages) - passages
+def _lows(question: Passages) -> tuple[bytes, None, list[int]]:
+    passages, offset = question.places()
     found = np.empty(int(passages.sum()), dtype=np.int64)
-    parts = -(-len(strings) // PART)
-    part = (_mix(keys) % np.uint64(parts)).astype(np.int64)  # equal passages have equal keys, so they stay together
+    parts = -(-len(passages) // PART)
+    part = (_mix(question.key) % np.uint64(parts)).astype(np.int64)  # equal passages have equal keys, so they stay together
     for p in range(parts):
         at = np.flatnonzero(part == p)
         if len(at):
             to = np.repeat(offset[at], passages[at]) + _steps(passages[at])
-            found[to] = passage_lows([strings[i] for i in at], lows[at], least, grid[at])
-    out = []
-    for block, bucket, rows in zip(asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), sent):
-        out.append((block, bucket, pack(found[np.repeat(offset[rows], passages[rows]) + _steps(passages[rows])])))
-    return pa.Table.from_batches([batch_of(out)])
+            found[to] = passage_lows([question.texts[i] for i in at], question.low[at], question.least, question.phase[at].astype(np.int64))
+    return pack(found), None, []
 
 
 def removed(sizes: np.ndarray, ids: np.ndarray, answers: pa.Table, least: int) -> np.ndarray:
     """Which bytes of a block's texts, on end, go: sizes and ids of its texts, and the answers with its note."""
-    told = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
-    start, of, size, bucket = unpack(told[min(told)])
+    answers = answers.sort_by("bucket")  # the note stands first, under a negative number
+    note, *told = answers.column("data").to_pylist()
+    start, of, size = unpack(note)
     passages = size.astype(np.int64) - least + 1
     offset = np.cumsum(passages) - passages
-    lows = np.empty(int(passages.sum()), dtype=np.int64)
-    order = np.argsort(bucket, kind="stable")
-    for b, part in _parts(bucket[order]):
-        at = order[part]
-        lows[np.repeat(offset[at], passages[at]) + _steps(passages[at])] = unpack(told[b])[0]
+    lows = np.concatenate([np.zeros(0, np.int64), *(unpack(d)[0] for d in told)])
     doc = np.searchsorted(np.cumsum(sizes) - sizes, start, side="right") - 1
     begins = np.zeros(int(sizes.sum()) + 1, dtype=bool)  # where a passage that goes begins
     for a in range(0, len(start), 50_000):
@@ -443,20 +442,20 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
     names = [id_col, *keep]
     rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate([id_col, text_col, *keep])))
     blocks = make_blocks(rows, 1, "texts")
-    buckets = bucket_count(blocks)
+    buckets, n = bucket_count(blocks), blocks.count()
 
     def made(table: pa.Table) -> Block:
         return Block(table, 0, 1, least, anchor)
 
-    shared = answered(ask(blocks, lambda _, table: _questions(made(table), buckets)), _shared)
-    shared = stored(shared, "anchors")
+    shared, _ = exchange(ask(blocks, lambda _, table: _questions(made(table), buckets)), n, buckets, Keyed, _shared, "anchors")
 
     def second(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         stretches = Stretches(made(table), answers, buckets)
-        return pa.Table.from_batches([batch_of([*((block, b, q) for b, q in stretches.questions()), (block, -1 - block, stretches.note())])])
+        return pa.Table.from_batches([batch_of([*((block, b, q) for b, q in stretches.questions(levels(buckets)[0])), (block, -1, stretches.note())])])
 
-    asked = with_answers(blocks, shared, second, ASKS)
-    lows = stored(answered(asked, lambda t: _lows(t, least)), "passages")
+    asked = stored(with_answers(blocks, shared, second, ASKS), "stretches")
+    found, _ = exchange(asked.where("bucket >= 0"), n, buckets, lambda d: Passages(d, least), _lows, "passages")
+    lows = found.unionByName(asked.where("bucket < 0"))
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         ids = table.column(0).combine_chunks()
