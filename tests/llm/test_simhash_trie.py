@@ -198,5 +198,5 @@ def test_rounds_decide_documents_of_common_shingles(spark, monkeypatch):
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept
     # by shingles alone it is the plain rule
     texts = df.select(F.col("doc_id").alias("id"), "text")
-    gone = simhash_trie._thinned(simhash_trie._postings(texts, 5, 0.8), texts, 5, 0.8)
+    gone = simhash_trie._thinned(*simhash_trie._postings(texts, 5, 0.8), texts, 5, 0.8)
     assert {i for i, _ in rows} - {r.id for r in gone.collect()} == greedy(rows)

@@ -18,7 +18,7 @@ fingerprint, don't link and get a null component. Rows may repeat. An empty tabl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -265,11 +265,12 @@ def _common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return common[order], counts[order]
 
 
-def _postings(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """texts(id, text) -> token, id, size, pos: the prefix shingles that two documents or more have.
+def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """texts(id, text) -> by prefix shingles: pairs (a, b), a < b, of the documents of a shingle that FEW or fewer have, and the
+    rows (token, id, size, pos) of the others.
 
-    Rows meet by shingle to find those, except that rows of a shingle which the sample repeats are known to have company:
-    they are dealt by their id too, so a shingle of very many documents isn't one task."""
+    Rows meet by shingle, except that those of a shingle which the sample repeats aren't paired there at all, so that one of very
+    many documents isn't one task."""
     common, counts = _common_shingles(texts, n)
     sent = texts.sparkSession.sparkContext.broadcast((common, counts))
 
@@ -288,24 +289,67 @@ def _postings(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     every = texts.select("id", "text").mapInArrow(run, "token long, id long, size int, pos int, sure boolean")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = every.repartition(parts, F.when(F.col("sure"), F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token")
-    return dealt.mapInArrow(_shared, every.schema).drop("sure")
+    found = stored(dealt.mapInArrow(_paired(similarity), "a long, b long, token long, size int, pos int"), "postings")
+    return found.where("token is null").select("a", "b").distinct(), found.where("token is not null").select("token", F.col("a").alias("id"), "size", "pos")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token those that are sure or whose token a neighbour has; one row waits for the next batch."""
-    held, like_last = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        token = table.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        keep = np.concatenate([[like_last], same]) | np.concatenate([same, [False]]) | np.array(table.column("sure"), dtype=bool)
-        like_last = bool(same[-1]) if len(same) else like_last
-        yield from table.slice(0, len(token) - 1).filter(pa.array(keep[:-1])).to_batches()
-        held = table.slice(len(token) - 1).to_batches()[0]
-    if held is not None and (like_last or held.column(4)[0].as_py()):
-        yield held
+def _paired(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by token -> (a, b) of the pairs of tokens with two to FEW rows; of tokens with more, and of those that are
+    sure, the rows, as a, token, size and pos. At most FEW rows wait for the next batch."""
+
+    def pairs(rows: list[np.ndarray], start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        """Of groups of rows: all pairs that can be at `similarity`, by sizes and places."""
+        _, ids, size, pos, _ = rows
+        earlier = _steps(count)  # a row meets those before it in its group
+        j = np.repeat(np.repeat(start, count) + earlier, earlier)
+        i = np.repeat(np.repeat(start, count), earlier) + _steps(earlier)
+        bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+        near = (ids[i] != ids[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6) & ((1 + similarity) * bound >= similarity * (size[i].astype(np.int64) + size[j]) - 1e-6)
+        made = np.unique(np.sort(np.stack([ids[i[near]], ids[j[near]]]), axis=0), axis=1)
+        none = pa.nulls(made.shape[1], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.nulls(made.shape[1], pa.int64()), none, none], names)
+
+    def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[0]), pa.array(rows[2]), pa.array(rows[3])], names)
+
+    names = ["a", "b", "token", "size", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        many = None  # a token that has had more than FEW rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            yield whole([x[rows[4]] for x in rows])
+            rows = [np.concatenate([a, b[~rows[4]]]) for a, b in zip(held, rows)] if held else [x[~rows[4]] for x in rows]
+            token = rows[0]
+            if not len(token):
+                held = rows
+                continue
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(start, len(token)))
+            over = count > FEW
+            if many is not None:
+                over[0] |= token[0] == many
+            last = len(count) - 1  # may go on in the next batch
+            goes = np.repeat(over, count)
+            yield whole([x[goes] for x in rows])
+            some = ~over
+            some[last] = False
+            for part in np.split(np.flatnonzero(some), np.flatnonzero(np.diff(np.cumsum(count[some] ** 2) >> 20)) + 1):
+                yield pairs(rows, start[part], count[part])
+            many = token[-1] if over[last] else None
+            held = [x[len(token) - count[last] :] if not over[last] else x[:0] for x in rows]
+        if held and len(held[0]):
+            yield pairs(held, np.zeros(1, np.int64), np.array([len(held[0])]))
+
+    return run
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _first_of(tokens: DataFrame, heads: int) -> DataFrame:
@@ -372,47 +416,47 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8
     grouped = near_duplicates(texts, n, budget, "id", "text").groupBy("component_id", "id").count()
     several = grouped.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
     of_groups = grouped.join(several.hint("merge"), "component_id").select(F.col("component_id").alias("token"), "id", F.lit(1).alias("size"), F.lit(0).alias("pos"))
-    near = stored(_thinned(of_groups, texts, n, similarity), "gone")
+    near = stored(_thinned(None, of_groups, texts, n, similarity), "gone")
     left = stored(texts.join(near.hint("merge"), "id", "left_anti"), "texts")
-    gone = near.unionByName(_thinned(_postings(left, n, similarity), left, n, similarity))
+    gone = near.unionByName(_thinned(*_postings(left, n, similarity), left, n, similarity))
     lost = named.join(copies.hint("merge"), "sha").join(gone.withColumnRenamed("id", "first").hint("merge"), "first", "left_semi").select("id")
     ids = lost.unionByName(again).distinct()
     return docs.join(ids.hint("merge"), docs[id_col] == ids["id"], "left_anti")
 
 
-def _thinned(tokens: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The ids that go, of documents that share tokens(token, id, size, pos).
+def _thinned(pairs: DataFrame | None, tokens: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The ids that go, of documents that are pairs (a, b) or share tokens(token, id, size, pos).
 
-    A round decides documents by the pairs of its tokens; of a token of very many documents those with the smallest ids
+    A round decides documents by their pairs; of a token of very many documents those with the smallest ids
     meet the others, 16 times as many in each round, and rounds go on until all are decided. A document goes only
     for one that stays and that it was compared with.
     """
     tokens = stored(tokens, "postings")
+    edges = stored(_alike(stored(pairs, "pairs"), texts, n, similarity), "alike") if pairs is not None else None
     gone, heads = texts.select("id").limit(0), 1
     while tokens.limit(1).count():
         first = stored(_first_of(tokens, heads), "first")
-        edges = stored(_alike(stored(_met(tokens, first, similarity), "pairs"), texts, n, similarity), "alike")
+        more = _alike(stored(_met(tokens, first, similarity), "pairs"), texts, n, similarity)
+        edges = stored(more if edges is None else edges.unionByName(more).distinct(), "alike")
         # a document beyond the heads of one of its tokens hasn't met all smaller ones
         ends = first.where(F.col("m") > FEW).groupBy("token").agg(F.max("id").alias("end"))
         waits = stored(tokens.join(ends, "token").where("id > end").select("id").distinct(), "waits")
-        kept, lost = _decided(edges, waits, tokens.select("id").distinct())
+        lost, edges = _decided(edges, waits)
         gone = gone.unionByName(lost)
-        over = kept.unionByName(lost)
-        tokens = stored(tokens.join(over, "id", "left_anti"), "postings")
+        undecided = waits.join(lost, "id", "left_anti").unionByName(edges.select(F.col("b").alias("id")))
+        tokens = stored(tokens.join(undecided.distinct(), "id", "left_semi"), "postings")
         heads *= 16
-    return gone
+    return gone.unionByName(_decided(edges, gone.limit(0))[0]) if edges is not None else gone
 
 
-def _decided(edges: DataFrame, waits: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What stays and what goes (id) of ids by edges (a, b), a < b, of alike documents; neither: those that wait or that
-    depend on one that waits."""
-    kept = stored(ids.join(waits, "id", "left_anti").join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "kept")
-    lost = stored(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "lost")
+def _decided(edges: DataFrame, waits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What goes (id), by edges (a, b), a < b, of alike documents, and the edges of those that are left undecided, as they
+    wait or depend on one that does."""
+    lost = waits.select("id").limit(0)
     while True:
-        rest = stored(edges.join(lost.select(F.col("id").alias("a")), "a", "left_anti").join(lost.select(F.col("id").alias("b")), "b", "left_anti"), "alike")
-        blocked = rest.select(F.col("b").alias("id"))
-        fresh = stored(edges.select(F.col("b").alias("id")).distinct().join(waits, "id", "left_anti").join(lost, "id", "left_anti").join(kept, "id", "left_anti").join(blocked, "id", "left_anti"), "kept")
+        free = edges.select(F.col("a").alias("id")).distinct().join(waits, "id", "left_anti").join(edges.select(F.col("b").alias("id")), "id", "left_anti")
+        fresh = stored(edges.join(free.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "lost")
         if not fresh.limit(1).count():
-            return kept, lost
-        more = rest.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        kept, lost, edges = stored(kept.unionByName(fresh), "kept"), stored(lost.unionByName(more).distinct(), "lost"), rest
+            return lost, edges
+        lost = lost.unionByName(fresh)
+        edges = stored(edges.join(fresh.withColumnRenamed("id", "a"), "a", "left_anti").join(fresh.withColumnRenamed("id", "b"), "b", "left_anti"), "alike")
