@@ -145,7 +145,7 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
         question = of(table)
         told, data, figures = answer(question)
         rows = [(b, bucket, d, "answer", None) for b, d in zip(table.column("block").to_pylist(), question.back([told]))]
-        if data is not None:
+        if data is not None or figures:
             rows.append((None, bucket, data, f"table-{bucket * 64 // sizes[-1]:02d}", figures))
         release()
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()))

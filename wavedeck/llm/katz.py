@@ -5,19 +5,21 @@ beginning. With c: counts in training tokens, N: their number, V: the distinct o
 h': h without its first,
 
     P1(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))         one unseen kind of token besides V: sums to one
-    Pk(w | h) = d(c(h w)) c(h w) / c(h)                  if h w was seen
-              = a(h) Pk-1(w | h')                        otherwise; a(h) is 1 where h was not seen
-
-d is the Good-Turing discount of the order k, from the counts of counts n_r of its n-grams,
-d(r) = ((r + 1) n_{r+1} / (r n_r) - q) / (1 - q), q = (K + 1) n_{K+1} / n_1, for r <= K and 1 beyond; K is the largest up
-to 5 for which all these are in (0, 1]. a(h) is the mass that the discounts leave, divided by one less the Pk-1 of all that
-was seen after h: Pk(. | h) sums to one exactly, at every order. If no mass is left (only counts beyond K follow h),
-the seen ones share c(h) / (c(h) + 1).
-
-n-grams are known by 64-bit hashes. Blocks ask for their own (exchange.py): first for the counts of their n-grams of all
-orders, then for three sums of their histories: c(h), the discounts' mass, and the seen words' mass at the order below.
-A kind of n-gram is added to its history's sums once, by the block that owns it. Both tables are stored in parts of the hash
-range; the answers are read from them.
+    Pk(w | h) = d(c(h w)) c(h w) / c(h)                  if h w is in the model
+              = a(h) Pk-1(w | h')                        otherwise; a(h) is 1 where nothing after h is in the model
+
+All words and bigrams that were seen are in the model, and longer n-grams seen twice or more, the usual cutoff: a trigram
+seen once is mostly a text's own. d is the Good-Turing discount of the order k, from the counts of counts n_r of its
+n-grams, d(r) = ((r + 1) n_{r+1} / (r n_r) - q) / (1 - q), q = (K + 1) n_{K+1} / n_1, for r <= K and 1 beyond; K is the
+largest up to 5 for which all these are in (0, 1]. a(h) is the mass that is left, that of the discounts and of n-grams below
+the cutoff, divided by one less the Pk-1 of all that the model has after h: Pk(. | h) sums to one exactly, at every order. If no
+mass is left (only counts beyond K follow h), the seen ones share c(h) / (c(h) + 1).
+
+n-grams are known by 64-bit hashes. Blocks ask for their own (exchange.py). First, by short hashes, which of their n-grams
+with a cutoff can reach it: most are one block's alone and go no further. Then for the counts of all others. Last
+for two sums of their histories, over what the model has after them: the discounted counts, and the mass at the order
+below. An n-gram is added to its history's sums once, by the block that owns it; histories that one block alone
+has are summed there. Both tables are stored in parts of the hash range; the answers are read from them.
 
 Null and empty texts have the end alone. Rows with a null id are scored, not learned from. Rows may repeat. Without
 training documents every token is the unseen kind and P is 1. An empty table gives no rows.
@@ -25,7 +27,7 @@ training documents every token is the unseen kind and P is 1. An empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,12 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
+from .blocks import ASKS, ask, batch_of, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
 from .exchange import Keyed, exchange, keyed, levels, slim
 from .scratch import stored
 
 #: Tokens of the longest n-gram, largest count that is discounted, and what is added to words' counts.
 ORDER, K, ADDED = 3, 5, 0.1
+#: From so many tokens on an n-gram must occur so often to be in the model.
+LONG, LEAST = 3, 2
 #: The hash that stands for the beginning of a text.
 BEGIN = np.uint64(0x5BD1E9955BD1E995)
 
@@ -59,18 +63,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_keys(tokens: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of token hashes on end, per place: the keys of the n-grams of 1 to `order` tokens that end there, and those of the
-    histories of the n-grams of 2 to `order`. Their low bits are the order."""
+def gram_keys(tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """Of token hashes on end, per place: the keys of the n-grams of 1 to `order` tokens that end there. The low bits of a key
+    are its number of tokens."""
     with np.errstate(over="ignore"):
-        grams, histories, g = [], [], _mix(tokens)
+        grams, g = [], _mix(tokens)
         for k in range(1, order + 1):
             if k > 1:
-                before = np.roll(g, 1)  # what comes before the first place never counts
-                histories.append(before & ~_LOW | np.uint64(k))
-                g = _mix(before * _MUL + tokens)
+                g = _mix(np.roll(g, 1) * _MUL + tokens)  # what comes before the first place never counts
             grams.append(g & ~_LOW | np.uint64(k))
-    return grams, histories
+    return grams
+
+
+def begin_key(k: int) -> np.uint64:
+    """The key of a text's beginning as the history of n-grams of k tokens."""
+    return gram_keys(np.full(k - 1, BEGIN), k - 1)[-1][-1]
 
 
 def _tokenised(rows: pa.Table) -> pa.Table:
@@ -105,9 +112,9 @@ def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block's distinct n-grams and histories of all orders. Lists by order, from one token on: keys; of, each token's
-    n-gram; lower, of each n-gram the one without its first token; from two tokens on: heads, the histories' keys, and
-    head, of each n-gram its history."""
+    """A block's distinct n-grams of all orders. Lists by order: keys, sorted; of, each token's n-gram; counts, in training
+    texts here; lower, of each n-gram the one without its first token; head, the one without its last, its history; the
+    number behind the last one is a text's beginning."""
 
     def __init__(self, rows: pa.Table, order: int):
         lists = rows.column("tokens").combine_chunks()
@@ -117,99 +124,159 @@ class Block:
         index, hashes = values.indices.to_numpy(), values.dictionary.to_numpy().view(np.uint64)
         self.sizes = np.diff(offsets).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.teaches = np.array(rows.column("learned"), dtype=bool)[self.doc]
+        teaches = np.array(rows.column("learned"), dtype=bool)[self.doc]
+        first = np.zeros(len(index), dtype=bool)
+        first[(np.cumsum(self.sizes) - self.sizes)] = True  # a text has a token at least
         real = np.arange(len(index)) + (self.doc + 1) * (order - 1)
         padded = np.full(len(index) + len(self.sizes) * (order - 1), BEGIN)
         padded[real] = hashes[index]
-        grams, histories = gram_keys(padded, order)
-        self.order, self.keys, self.of, self.counts, self.lower, self.heads, self.head = order, [], [], [], [None], [None], [None]
+        grams = gram_keys(padded, order)
+        self.order, self.keys, self.of, self.counts, self.lower, self.head = order, [], [], [], [], []
         for k in range(order):
             keys, of, at = _kinds(grams[k][real])
             self.keys.append(keys)
             self.of.append(of)
-            self.counts.append(np.bincount(of[self.teaches], minlength=len(keys)))
+            self.counts.append(np.bincount(of[teaches], minlength=len(keys)))
             if k:
-                self.lower.append(self.of[k - 1][at])
-                heads, head, _ = _kinds(histories[k - 1][real[at]])
-                self.heads.append(heads)
-                self.head.append(head)
+                before = self.of[k - 1]
+                self.lower.append(before[at])
+                self.head.append(np.where(first[at], len(self.keys[k - 1]), before[np.maximum(at - 1, 0)]))
+            else:
+                self.lower.append(None)
+                self.head.append(None)
             grams[k] = None
-        every = np.concatenate(self.keys)
+        self.end = int(np.searchsorted(self.keys[0], gram_keys(np.array([token_hash(b"")], np.uint64), 1)[0][0]))
+
+    def long(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams with a cutoff: sorted distinct short keys, their counts, and each one's place among them."""
+        short = np.uint64(64 - bits)
+        every = np.concatenate([np.zeros(0, np.uint64), *((x >> (short + np.uint64(3)) << np.uint64(3) | (x & _LOW)) for x in self.keys[LONG - 1 :])])
+        keys, of, _ = _kinds(every)
+        counts = np.concatenate([np.zeros(0, np.int64), *self.counts[LONG - 1 :]])
+        return keys << short, np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64), of
+
+    def ask_long(self, bits: int, ranges: int) -> Iterator[tuple[int, bytes]]:
+        keys, counts, _ = self.long(bits)
+        return keyed(keys, [counts, np.ones(len(keys), np.uint8)], ranges)
+
+    def choose(self, bits: int, answers: list[bytes]) -> None:
+        """Take from the answers which n-grams to ask for: those that may reach their cutoff, and all without one."""
+        keys, _, of = self.long(bits)
+        told = np.concatenate([np.zeros(0, np.uint8), *(unpack(a)[0] for a in answers)]).astype(bool)
+        cuts = np.cumsum([len(x) for x in self.keys[LONG - 1 :]])[:-1]
+        may = np.split(told[of] if len(keys) else np.zeros(0, bool), cuts) if self.order >= LONG else []
+        self.asked = [np.arange(len(x)) for x in self.keys[: LONG - 1]] + [np.flatnonzero(x) for x in may]
+        every = np.concatenate([x[at] for x, at in zip(self.keys, self.asked)])
         self.merge = np.argsort(every, kind="stable")
         self.sorted = every[self.merge]
 
     def questions(self, ranges: int) -> Iterator[tuple[int, bytes]]:
-        return keyed(self.sorted, [np.concatenate(self.counts)[self.merge]], ranges)
+        counts = np.concatenate([x[at] for x, at in zip(self.counts, self.asked)])[self.merge]
+        return keyed(self.sorted, [counts, np.ones(len(counts), np.uint8)], ranges)
 
     def learn(self, answers: list[bytes]) -> None:
-        """Take the counts of its n-grams over all documents, and which of them are its own to add to histories' sums."""
-        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0, np.int64)] * 2
-        cuts = np.cumsum([len(k) for k in self.keys])[:-1]
-        count, own = np.empty(len(self.sorted), dtype=np.int64), np.empty(len(self.sorted), dtype=bool)
-        count[self.merge], own[self.merge] = told
-        self.count, self.own = np.split(count, cuts), np.split(own, cuts)
-
-    def histories(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted keys of the histories of all orders, and the order that sorts them."""
-        every = np.concatenate([np.zeros(0, np.uint64), *self.heads[1:]])
-        order = np.argsort(every, kind="stable")
-        return every[order], order
-
-    def sums(self, model: Model, ranges: int) -> Iterator[tuple[int, bytes]]:
-        columns: list[list[np.ndarray]] = [[], [], []]
+        """Take its n-grams' counts over all documents, 0 below the cutoff, which of them are its own to add to histories'
+        sums, and which of them no other block has."""
+        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0, np.int64)] * 3
+        self.count, self.alone, self.own = [], [], []
+        for out, kind, x in zip((self.count, self.alone, self.own), (np.int64, bool, bool), told):
+            column = np.empty(len(self.sorted), dtype=kind)
+            column[self.merge] = x
+            for keys, at, part in zip(self.keys, self.asked, np.split(column, np.cumsum([len(a) for a in self.asked])[:-1])):
+                whole = np.zeros(len(keys), dtype=kind)
+                whole[at] = part
+                out.append(whole)
+
+    def totals(self, k: int) -> np.ndarray:
+        """How often the histories of n-grams of k + 1 tokens occur; a text begins as often as it ends."""
+        return np.append(self.count[k - 1], self.count[0][self.end])
+
+    def summed(self, model: Model) -> list[list[np.ndarray]]:
+        """Per order from two on: of each history the sums that this block's own n-grams add to it."""
+        out = []
         for k in range(1, self.order):
             mine = self.own[k]
             head, c, below = self.head[k][mine], self.count[k][mine], self.count[k - 1][self.lower[k][mine]]
             mass = below + ADDED if k == 1 else model.kept(k - 1, below) * below
-            for column, x in zip(columns, (c, (1 - model.kept(k, c)) * c, mass)):
-                column.append(np.bincount(head, weights=x, minlength=len(self.heads[k])))
-        keys, order = self.histories()
-        columns = [np.concatenate([np.zeros(0), *c])[order] for c in columns]
-        return keyed(keys, [columns[0].astype(np.int64), *columns[1:]], ranges)
+            out.append([np.bincount(head, weights=x, minlength=len(self.keys[k - 1]) + 1) for x in (model.kept(k, c) * c, mass)])
+        return out
+
+    def heads(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The sorted keys of the histories to ask for, which these are by order, and the order that sorts them. A history
+        that no other block has, or that is rarer than the cutoff of what follows it, isn't asked for."""
+        asked, every = [], []
+        for k in range(1, self.order):
+            at = np.flatnonzero(self.totals(k) >= (LEAST if k + 1 >= LONG else 1))
+            last = len(self.keys[k - 1])
+            at = at[(at == last) | ~np.append(self.alone[k - 1], False)[at]]
+            asked.append(at)
+            every.append(np.append(self.keys[k - 1], begin_key(k + 1))[at])
+        keys = np.concatenate([np.zeros(0, np.uint64), *every])
+        # the same keys mean histories of one order only: their low bits are the number of their tokens
+        order = np.argsort(keys, kind="stable")
+        return keys[order], asked, order
+
+    def sums(self, model: Model, ranges: int) -> Iterator[tuple[int, bytes]]:
+        keys, asked, order = self.heads()
+        mine = self.summed(model)
+        return keyed(keys, [np.concatenate([np.zeros(0), *(m[i][at] for m, at in zip(mine, asked))])[order] for i in range(2)], ranges)
 
     def scores(self, model: Model, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and score of its documents."""
-        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0)] * 3
-        keys, order = self.histories()
-        back = []
-        for x in told:
-            column = np.empty(len(keys), dtype=x.dtype)
+        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0)] * 2
+        keys, asked, order = self.heads()
+        mine = self.summed(model)
+        cuts = np.cumsum([len(at) for at in asked])[:-1]
+        for i, x in enumerate(told):
+            column = np.empty(len(keys))
             column[order] = x
-            back.append(np.split(column, np.cumsum([len(h) for h in self.heads[1:]])[:-1]))
+            for m, at, part in zip(mine, asked, np.split(column, cuts)):
+                m[i][at] = part
         p = one = model.word(self.count[0])
         kept = total = None
         for k in range(1, self.order):
-            before, mass = (kept, total), None
-            total, lost, low = (b[k - 1] for b in back)
+            before = kept, total
+            total, (held, low) = self.totals(k), mine[k - 1]
             if k == 1:
                 mass = low / (model.size + ADDED * (model.kinds + 1))
-            else:  # the histories' own histories, by any n-gram that has them
-                shorter = np.empty(len(self.heads[k]), dtype=np.int64)
-                shorter[self.head[k]] = self.head[k - 1][self.lower[k]]
+            else:  # a history's own history is the n-gram without its first token; the beginning's is the beginning
+                shorter = np.append(self.lower[k - 1], len(self.keys[k - 2]))
                 mass = before[0][shorter] * low / np.maximum(before[1][shorter], 1)
-            kept, weight = model.history(total, lost, mass)
+            kept, weight = model.history(total, held, mass)
             head, c = self.head[k], self.count[k]
             p = np.where(c > 0, model.kept(k, c) * kept[head] * c / np.maximum(total[head], 1), weight[head] * p[self.lower[k]])
         add = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.sizes))
         return add(self.count[0][self.of[0]] > 0).astype(np.int64), add(np.log10(one)[self.of[0]]), add(np.log10(p)[self.of[-1]])
 
 
+def _reachable(order: int, bits: int):
+    def run(question: Keyed) -> tuple[bytes, None, list[int]]:
+        """Which short keys may stand for an n-gram seen twice or more, and by order the number of the others seen once."""
+        count, asks = question.numbers
+        may = (asks > 1) | (count >= LEAST)
+        of = question.keys >> np.uint64(64 - bits) & _LOW
+        return pack(may.astype(np.uint8)), None, [int((~may & (count == 1) & (of == k)).sum()) for k in range(LONG, order + 1)]
+
+    return run
+
+
 def _counted(order: int):
     def run(question: Keyed) -> tuple[bytes, bytes, list[int]]:
         """The answer, the table and N, V, and the counts of counts of each order from two on, of a bucket."""
-        (count,), of = question.numbers, question.keys & _LOW
-        seen = count > 0
-        figures = [int(count[of == 1].sum()), int((seen & (of == 1)).sum())]
+        (count, asks), of = question.numbers, question.keys & _LOW
+        figures = [int(count[of == 1].sum()), int(((count > 0) & (of == 1)).sum())]
         for k in range(2, order + 1):
             figures += np.bincount(np.minimum(count[of == k], K + 2), minlength=K + 3)[1 : K + 2].tolist()
-        return pack(slim(count), seen.astype(np.uint8)), pack(delta(question.keys[seen]), slim(count[seen])), figures
+        count = np.where((of >= LONG) & (count < LEAST), 0, count)
+        seen = count > 0
+        return pack(slim(count), (asks == 1).astype(np.uint8), seen.astype(np.uint8)), pack(delta(question.keys[seen]), slim(count[seen])), figures
 
     return run
 
 
 def _summed(question: Keyed) -> tuple[bytes, bytes, list[int]]:
     seen = question.numbers[0] > 0
-    return pack(*map(slim, question.numbers)), pack(delta(question.keys[seen]), *(x[seen] for x in question.numbers)), []
+    return pack(*question.numbers), pack(delta(question.keys[seen]), *(x[seen] for x in question.numbers)), []
 
 
 def discounts(few: list[int]) -> np.ndarray:
@@ -246,13 +313,13 @@ class Model:
         d = np.concatenate([[1.0], self.discount[k - 1], [1.0]])
         return d[np.minimum(count, len(d) - 1)]
 
-    def history(self, total: np.ndarray, lost: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of histories the share of the discounted mass that is kept, and the backoff weight. mass: what the order below
-        gives to all that was seen after them."""
-        none = lost <= 0
+    def history(self, total: np.ndarray, held: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of histories the share of the discounted counts that is kept, and the backoff weight. held: the discounted counts of
+        what the model has after them, mass: what the order below gives to that."""
+        left = np.where(held > 0, 1 - held / np.maximum(total, 1), 1.0)
+        none = left <= 1e-12
         kept = np.where(none, total / (total + 1.0), 1.0)
-        left = np.where(none, 1 / (total + 1.0), lost / np.maximum(total, 1))
-        return kept, np.where(total > 0, left / (1 - np.where(total > 0, mass, 0)), 1.0)
+        return kept, np.where(none, 1 / (total + 1.0), left) / (1 - np.where(held > 0, mass, 0))
 
 
 def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, Model]:
@@ -263,50 +330,67 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_0"), F.col(text_col).alias("_1"), (F.col(id_col).isNotNull() & F.coalesce(teaches, F.lit(False))).alias("_2"))
     blocks = make_blocks(rows, 1, "ngrams", shape=_tokenised)
-    buckets, n = bucket_count(blocks), blocks.count()
-    ranges = levels(buckets)[0]
-    asked = ask(blocks, lambda _, table: Block(table, order).questions(ranges))
-    counts, grams = exchange(asked, n, buckets, lambda d: Keyed(d, owned=True), _counted(order), "ngrams")
-    counts = stored(counts, "ngram-counts") if len(levels(buckets)) > 1 else counts
-    figures = grams.agg(*(F.coalesce(F.sum(F.get("figures", F.lit(i))), F.lit(0)) for i in range(2 + (order - 1) * (K + 1)))).head()
-    few = [figures[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)] for k in range(order - 1)]
-    plain = Model(int(figures[0]), int(figures[1]), [discounts([int(x) for x in f]) for f in few])
+    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
+    buckets = bucket_count(blocks)
+    ranges, several = levels(buckets)[0], len(levels(buckets)) > 1
+    bits = min(64, 8 + int(size // 4 + 1).bit_length())  # a short key has company by chance with probability 1/32 about
+
+    def data(answers: pa.Table, turn: int) -> list[bytes]:
+        return answers.filter(pc.equal(answers.column("turn"), turn)).sort_by("bucket").column("data").to_pylist()
 
-    def known(table: pa.Table, answers: pa.Table) -> Block:
+    def block_of(table: pa.Table, answers: pa.Table) -> Block:
         block = Block(table, order)
-        block.learn(answers.sort_by("bucket").column("data").to_pylist())
+        block.choose(bits, data(answers, 0))
+        if 1 in answers.column("turn").to_pylist():
+            block.learn(data(answers, 1))
         return block
 
-    def second(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        bucket, data = zip(*known(table, answers).sums(plain, ranges))
-        return pa.table({"block": pa.array([block] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
+    def asks(questions: Callable[[Block], Iterator[tuple[int, bytes]]]):
+        def run(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([batch_of([(block, b, q) for b, q in questions(block_of(table, answers))])])
 
-    sums, histories = exchange(with_answers(blocks, counts, second, "block long, bucket long, data binary"), n, buckets, Keyed, _summed, "histories")
-    both = counts.withColumn("turn", F.lit(1)).unionByName(sums.withColumn("turn", F.lit(2)))
+        return run
+
+    def turned(answers: DataFrame, turn: int) -> DataFrame:
+        """Answers with the number of their question; those that come down a tree are written, as they are read twice."""
+        return (stored(answers, "answers") if several else answers).withColumn("turn", F.lit(turn))
+
+    first = ask(blocks, lambda _, table: Block(table, order).ask_long(bits, ranges))
+    may, once = exchange(first, n, buckets, Keyed, _reachable(order, bits), "ngrams-seen")
+    # a block that asks nothing has an answer too
+    may = turned(may, 0).unionByName(blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), F.lit(-1).alias("turn")))
+    counts, grams = exchange(with_answers(blocks, may, asks(lambda b: b.questions(ranges)), ASKS), n, buckets, lambda d: Keyed(d, owned=True), _counted(order), "ngrams")
+    total = lambda table, i: F.coalesce(F.sum(F.get("figures", F.lit(i))), F.lit(0))
+    figures = [int(x) for x in grams.agg(*(total(grams, i) for i in range(2 + (order - 1) * (K + 1)))).head()]
+    alone = [0] * (LONG - 2) + ([int(x) for x in once.agg(*(total(once, i) for i in range(order - LONG + 1))).head()] if order >= LONG else [])
+    few = [figures[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)] for k in range(order - 1)]
+    plain = Model(figures[0], figures[1], [discounts([f[0] + a, *f[1:]]) for f, a in zip(few, alone)])
+    both = may.unionByName(turned(counts, 1))
+    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(plain, ranges)), ASKS), n, buckets, Keyed, _summed, "histories")
+    every = both.unionByName(turned(sums, 2))
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        turn = np.array(answers.column("turn"))
-        own = known(table, answers.filter(pa.array(turn == 1)))
-        n_known, base, score = own.scores(plain, answers.filter(pa.array(turn == 2)).sort_by("bucket").column("data").to_pylist())
+        own = block_of(table, answers)
+        n_known, base, score = own.scores(plain, data(answers, 2))
         return pa.Table.from_arrays([table.column(0), pa.array(own.sizes), pa.array(n_known), pa.array(base), pa.array(score)], [id_col, "n_tokens", "n_known", "base_score", "score"])
 
     model = Model(plain.size, plain.kinds, plain.discount, grams, histories)
-    return with_answers(blocks, both, last, f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double"), model
+    return with_answers(blocks, every, last, f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double"), model
 
 
 def ngram_tables(model: Model) -> tuple[DataFrame, DataFrame]:
-    """The stored tables as rows: n-grams (tokens, key, count) and histories (tokens, key, total, lost, mass); tokens:
-    the n-gram's number of tokens, for a history that of the n-grams it stands in; keys as gram_keys() makes them."""
+    """The stored tables as rows, with the number of tokens and the key as gram_keys() makes it: n-grams and their count;
+    histories that more blocks than one have, the discounted counts of what the model has after them, and its mass below."""
 
-    def rows(names: list[str]):
+    def rows(names: list[str], kind: type):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data in batch.column(0).to_pylist():
                     keys, *numbers = unpack(data)
                     keys = undelta(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array((keys & _LOW).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(numbers[0].astype(np.int64)), *map(pa.array, numbers[1:])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array((keys & _LOW).astype(np.int32)), pa.array(keys.view(np.int64)), *(pa.array(x.astype(kind)) for x in numbers)], names)
 
         return run
 
-    grams = model.grams.select("data").mapInArrow(rows(["tokens", "key", "count"]), "tokens int, key long, count long")
-    return grams, model.sums.select("data").mapInArrow(rows(["tokens", "key", "total", "lost", "mass"]), "tokens int, key long, total long, lost double, mass double")
+    grams = model.grams.select("data").mapInArrow(rows(["tokens", "key", "count"], np.int64), "tokens int, key long, count long")
+    return grams, model.sums.select("data").mapInArrow(rows(["tokens", "key", "held", "mass"], float), "tokens int, key long, held double, mass double")
