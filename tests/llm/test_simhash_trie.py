@@ -151,7 +151,7 @@ def test_every_cluster_of_a_group_is_thinned(spark, monkeypatch):
     rows += [(n, rows[-1][1]), (n + 1, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     as_one = df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
-    monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
+    monkeypatch.setattr(simhash_trie, "grouped", lambda *a: as_one)
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == {0, 4, 7, 9, 10}
 
 
@@ -164,7 +164,7 @@ def test_groups_of_any_number_of_clusters_are_thinned(spark, monkeypatch):
         rows += [(len(rows) + k, " ".join([*base[: k * 7], "changed", *base[k * 7 + 1 :]])) for k in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     as_one = df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("component_id"))
-    monkeypatch.setattr(simhash_trie, "near_duplicates", lambda *a: as_one)
+    monkeypatch.setattr(simhash_trie, "grouped", lambda *a: as_one)
     assert sorted(r.doc_id for r in without_near_duplicates(df).collect()) == list(range(0, 21, 3))
 
 
@@ -195,6 +195,7 @@ def test_rounds_decide_documents_of_common_shingles(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept
     monkeypatch.setattr(simhash_trie, "TILE", 8)
+    monkeypatch.setattr(simhash_trie, "MOST_IDS", 3)
     assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept
     # by shingles alone it is the plain rule
     texts = df.select(F.col("doc_id").alias("id"), "text")

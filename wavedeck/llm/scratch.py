@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and Spark runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="wavedeck-")
@@ -30,6 +33,13 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results are written. It does when the driver collects what
+    refers to them, which may be long after an operator with many steps has filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bytes_of(spark: SparkSession, path: str) -> bytes:
     """A vocabulary file's bytes; a local path first, else any store that Spark reads."""
     try:

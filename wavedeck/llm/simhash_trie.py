@@ -23,12 +23,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import delta, pack, undelta, unpack
 from .components import connected_components
-from .scratch import stored
+from .scratch import release_shuffles, stored
 
 #: Fingerprints of one key that meet in one task.
 TILE = 2048
@@ -36,6 +37,8 @@ TILE = 2048
 SAMPLE, MOST_COMMON = 20_000, 200_000
 #: Documents of a shingle that all meet at once.
 FEW = 32
+#: Ids up to which a set of them is sent to where the texts lie; beyond, texts and ids meet by a shuffle.
+MOST_IDS = 4_000_000
 
 
 def _hashes(text: str, n: int) -> list[int]:
@@ -222,7 +225,11 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, n: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, fp long, component_id (smallest id reachable by links, its own included)."""
-    marked = stored(fingerprints(docs, n, id_col, text_col), "fingerprints")
+    return grouped(stored(fingerprints(docs, n, id_col, text_col), "fingerprints"), budget, id_col)
+
+
+def grouped(marked: DataFrame, budget: int, id_col: str = "id") -> DataFrame:
+    """marked(id_col, fp) with component_id, by links of fingerprints within budget bits."""
     classes = stored(marked.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
     groups = connected_components(linked_fingerprints(classes.select("fp"), budget))
     named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
@@ -372,29 +379,34 @@ def _met(tokens: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """Of a set of 64-bit hashes 40 bits each, sorted: two of one text's have them alike with probability 1e-8 or so."""
+    return pack(delta(np.unique(shingles.view(np.uint64) >> np.uint64(24))))
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that have two texts whose shingles are at `similarity`."""
+    """The pairs (a, b) whose texts' shingles are at `similarity`; texts: (id, text), of which an id's rows together are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingles(t.as_py(), n) for t in batch.column(1)], pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(_shingles(t.as_py(), n)) for t in batch.column(1)], pa.binary())], ["id", "shingles"])
 
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles array<long>"), "shingles")
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
+    sets = stored(_with_ids(texts, ids, "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary").distinct(), "shingles")
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                (x,), (y,) = unpack(x.as_py()), unpack(y.as_py())
+                both = len(np.intersect1d(undelta(x), undelta(y), assume_unique=True))
                 either = len(x) + len(y) - both
                 keep.append(either == 0 or both / either >= similarity)
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long")
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,23 +417,42 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8
     0.8 differ by ten of 64 bits on average, more than any trie prunes by, so the documents that the first pass keeps
     then meet by shingles: two sets at `similarity` share one of their first shingles in any order that is the same for
     all documents. No two documents that stay are at `similarity`. Of copies of one text the smallest id is asked. Rows
-    without an id stay; rows that share an id stay or go together. Texts without words are alike. An empty table gives
+    without an id stay; rows that share an id stay or go together, and go if one of them does. Texts without words are alike. An empty table gives
     no rows.
     """
-    every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    named = stored(every.select("id", "sha").distinct(), "named")
-    copies = stored(named.groupBy("sha").agg(F.min("id").alias("first")), "copies")
-    again = named.join(copies.hint("merge"), "sha").where("id <> first").select("id").distinct()
-    texts = stored(every.join(copies.hint("merge"), (every["sha"] == copies["sha"]) & (every["id"] == copies["first"]), "left_semi").dropDuplicates(["id", "sha"]).select("id", "text"), "texts")
-    grouped = near_duplicates(texts, n, budget, "id", "text").groupBy("component_id", "id").count()
-    several = grouped.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-    of_groups = grouped.join(several.hint("merge"), "component_id").select(F.col("component_id").alias("token"), "id", F.lit(1).alias("size"), F.lit(0).alias("pos"))
-    near = stored(_thinned(None, of_groups, texts, n, similarity), "gone")
-    left = stored(texts.join(near.hint("merge"), "id", "left_anti"), "texts")
-    gone = near.unionByName(_thinned(*_postings(left, n, similarity), left, n, similarity))
-    lost = named.join(copies.hint("merge"), "sha").join(gone.withColumnRenamed("id", "first").hint("merge"), "first", "left_semi").select("id")
-    ids = lost.unionByName(again).distinct()
-    return docs.join(ids.hint("merge"), docs[id_col] == ids["id"], "left_anti")
+    every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    marked = stored(_marked(every, n), "marked")
+    named = marked.select("id", "sha").distinct()
+    copies = named.groupBy("sha").agg(F.min("id").alias("first"))
+    again = stored(named.join(copies.hint("merge"), "sha").where("id <> first").select("id").distinct(), "again")
+    asked = marked.select("id", "fp").distinct().join(again.hint("merge"), "id", "left_anti")
+    groups = stored(grouped(asked, budget).select("component_id", "id").distinct(), "groups")
+    several = groups.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+    of_groups = groups.join(several.hint("merge"), "component_id").select(F.col("component_id").alias("token"), "id", F.lit(1).alias("size"), F.lit(0).alias("pos"))
+    near = stored(_thinned(None, of_groups, every, n, similarity), "gone")
+    out = stored(again.unionByName(near).distinct(), "gone")
+    release_shuffles(docs.sparkSession)
+    left = _with_ids(every, out, "left_anti")
+    later = _thinned(*_postings(left, n, similarity), left, n, similarity)
+    ids = stored(out.unionByName(later).distinct(), "gone")
+    release_shuffles(docs.sparkSession)
+    return _with_ids(docs, ids.withColumnRenamed("id", "_gone"), "left_anti", docs[id_col] == F.col("_gone"))
+
+
+def _marked(texts: DataFrame, n: int) -> DataFrame:
+    """texts(id, text) -> id, sha (of the text), fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), n) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["id", "sha", "fp"])
+
+    return texts.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).mapInArrow(run, "id long, sha binary, fp long")
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame, how: str, on: Column | str = "id") -> DataFrame:
+    """rows joined to distinct ids, left_semi or left_anti."""
+    return rows.join(F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids.hint("merge"), on, how)
 
 
 def _thinned(pairs: DataFrame | None, tokens: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
