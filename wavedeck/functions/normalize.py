@@ -76,6 +76,18 @@ def is_call_header(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\A(?=.*[A-Z])(?=.*[0-9])[A-Z0-9/]{1,12}\z"), F.lit(False))
 
 
+def scan_key_call(c: Column) -> Column:
+    """The call of a record key as the scans over all records take it, as it is spelt: a looser rule than that of lookups. Any
+    valid call, with a 16-bit year if with any; else null."""
+    t = trim_record(c)
+    call, dated = key_call(t), t.contains(":")
+    return F.when((~dated | scan_key_vintage(c).isNotNull()) & callsign(call).isNotNull(), call)
+
+
+def scan_key_vintage(c: Column) -> Column:
+    return key_vintage(trim_record(c))
+
+
 def lookup_key(c: Column) -> Column:
     """The key of a current record: trimmed, upper case; null if empty or with a colon."""
     t = F.upper(trim_unicode(c))
@@ -96,7 +108,7 @@ def interest_codes(c: Column) -> Column:
 # --- country text ----------------------------------------------------------------------------------
 def tag_value(c: Column, mark: str) -> Column:
     """The text after the first `mark`, up to the next mark of any kind."""
-    return blank_to_null(trim_ascii(F.regexp_extract(c, rf"\{mark}([^!@#$%^&]*)", 1)))
+    return blank_to_null(trim_unicode(F.regexp_extract(c, rf"\{mark}([^!@#$%^&]*)", 1)))
 
 
 def tag_int(c: Column, mark: str) -> Column:
@@ -121,13 +133,15 @@ def grouping_label(cleaned: Column, name: Column) -> Column:
     return F.coalesce(blank_to_null(cleaned), name)
 
 
-def jurisdiction(code: Column, name: Column) -> Column:
-    return (
-        F.when((code == "US") | (name == "United States"), "united_states")
-        .when((code == "CA") | (name == "Canada"), "canada")
-        .when(code.isNotNull() | name.isNotNull(), "international")
-        .otherwise("unknown")
-    )
+def rule_jurisdiction(code: Column, name: Column) -> Column:
+    """Of a country rule: by its code, or by its name as the rule files spell it."""
+    found = F.when((code == "US") | (name == "UNITED STATES"), "united_states").when((code == "CA") | (name == "CANADA"), "canada")
+    return F.when(code.isNotNull() | name.isNotNull(), F.coalesce(found, F.lit("international")))
+
+
+def record_jurisdiction(country: Column) -> Column:
+    """Of a record that names its country, in either spelling; null if it doesn't."""
+    return F.when(country.isin("United States", "UNITED STATES"), "united_states").when(country.isin("Canada", "CANADA"), "canada").when(country.isNotNull(), "international")
 
 
 # --- records ---------------------------------------------------------------------------------------
@@ -175,7 +189,7 @@ def safe_path(c: Column) -> Column:
 
 
 #: Media types by extension; fixed values.
-MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "png": "image/png", "bmp": "image/bmp", "txt": "text/plain", "htm": "text/html", "html": "text/html"}
+MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "png": "image/png", "bmp": "image/bmp", "txt": "text/plain", "zip": "application/zip", "dat": "application/octet-stream"}
 
 
 def media_type(path: Column) -> Column:

@@ -11,16 +11,16 @@ from .sizes import broadcast_if_small
 
 
 def parse_rules(lines: DataFrame, source: str) -> DataFrame:
-    """lines(line_no, line) -> start, end, the country's fields, source, line_no. Comment lines, short lines and lines
-    without start, end or name are left out."""
-    rest = F.substring("line", 13, 100_000)
-    name = N.trim_ascii(F.regexp_extract(rest, r"\A([^!@#$%^&\[]*)", 1))
+    """lines(line_no, line) -> start, end (upper case), the country's fields, source, line_no. Comment lines, short lines
+    and lines without start, end or name are left out. A name ends at the first of !@#$%^ or before a blank and a bracket."""
+    rest = N.trim_unicode(F.substring("line", 13, 100_000))
+    name = N.trim_unicode(F.regexp_extract(rest, r"\A(.*?)(?: \[|[!@#$%^]|\z)", 1))
     cut = lines.where((F.length("line") >= 12) & ~F.col("line").startswith("#")).select(
-        "line_no", N.trim_ascii(F.substring("line", 1, 6)).alias("start"), N.trim_ascii(F.substring("line", 7, 6)).alias("end"), name.alias("name"), N.blank_to_null(F.regexp_extract(rest, r"\[([^\]]*)\]", 1)).alias("code"),
+        "line_no", F.upper(N.trim_unicode(F.substring("line", 1, 6))).alias("start"), F.upper(N.trim_unicode(F.substring("line", 7, 6))).alias("end"), name.alias("name"), N.blank_to_null(N.trim_unicode(F.regexp_extract(rest, r"\A.*? \[([^\]]*)\]", 1))).alias("code"),
         N.tag_int(rest, "!").alias("itu"), N.tag_int(rest, "@").alias("cq"), N.tag_value(rest, "#").alias("continent"), N.tag_float(rest, "$").alias("lat"), N.tag_float(rest, "%").alias("lon"), N.tag_int(rest, "^").alias("number"),
     )
     good = cut.where("start <> '' and end <> '' and name <> ''")
-    return good.withColumn("cleaned_name", N.clean_label(F.col("name"))).withColumn("source", F.lit(source)).withColumn("jurisdiction", N.jurisdiction(F.col("code"), F.col("name")))
+    return good.withColumn("cleaned_name", N.clean_label(F.col("name"))).withColumn("source", F.lit(source)).withColumn("jurisdiction", N.rule_jurisdiction(F.col("code"), F.col("name")))
 
 
 def parse_centroids(lines: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def apply_country(records: DataFrame, primary: DataFrame) -> DataFrame:
     comes from the primary rules; without a rule, a state and a postal code mean the United States."""
     rules = country_info(records.where("country is null").select(F.col("callsign").alias("call")), primary)
     found = records.join(rules.select(F.col("call").alias("callsign"), F.col("name").alias("_name"), F.col("jurisdiction").alias("_jurisdiction")), "callsign", "left")
-    own = F.when(F.col("country").isNotNull(), N.jurisdiction(F.lit(None).cast("string"), F.col("country")))
+    own = N.record_jurisdiction(F.col("country"))
     american = F.col("state_or_province").isNotNull() & F.col("postal_code").isNotNull()
     told = F.coalesce(own, F.when(F.col("country").isNull(), F.col("_jurisdiction")), F.when(american, "united_states"), F.lit("unknown"))
     return found.withColumn("jurisdiction", told).withColumn("country", F.coalesce("country", "_name")).drop("_name", "_jurisdiction")

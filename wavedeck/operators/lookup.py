@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from .merge import merge
 from .rangejoin import containing, within
+from .sizes import broadcast_if_small
 
 
 def exact(calls: DataFrame, current: DataFrame, how: str = "left") -> DataFrame:
@@ -17,11 +18,6 @@ def exact(calls: DataFrame, current: DataFrame, how: str = "left") -> DataFrame:
     return calls.join(keyed, F.upper("call") == F.col("_key"), how).drop("_key")
 
 
-def last_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of the rows of one key the last."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-
-
 def call_run(calls: DataFrame, index: DataFrame) -> DataFrame:
     """All index entries of each call, bare and with a year: an equi-join on the key's call, which leaves out
     neighbours such as CALL/1 and CALLX. seq orders a call's entries: without a year first."""
@@ -40,7 +36,7 @@ def next_offsets(index: DataFrame) -> DataFrame:
     heads = keys.groupBy("g").agg(F.min(F.struct("key", "dat_offset")).alias("head"))  # at most 65536 rows
     follows = heads.select("g", F.lead("head.dat_offset").over(W.orderBy("g")).alias("beyond"))
     own = keys.withColumn("next", F.lead("dat_offset").over(W.partitionBy("g").orderBy("key")))
-    return own.join(F.broadcast(follows), "g").select("key", "dat_offset", F.coalesce("next", "beyond").alias("next_offset"))
+    return own.join(broadcast_if_small(follows, 1 << 16), "g").select("key", "dat_offset", F.coalesce("next", "beyond").alias("next_offset"))
 
 
 def first_key_at_least(index: DataFrame, key: str) -> DataFrame:

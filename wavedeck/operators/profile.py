@@ -66,6 +66,31 @@ def country_assets(codes: DataFrame, files: DataFrame) -> DataFrame:
     return own.join(codes.select("code").distinct(), "code").select("code", "kind", "path", N.media_type(F.col("path")).alias("media_type"))
 
 
+def in_order(assets: DataFrame) -> DataFrame:
+    """assets(call, kind, path, ...), once each, with seq: a call's by the rank of their kind, then by path."""
+    w = W.partitionBy("call").orderBy(kind_rank(F.col("kind")), "path")
+    return assets.dropDuplicates(["call", "kind", "path"]).withColumn("seq", F.row_number().over(w).cast("long"))
+
+
+def _located(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest entries with a file (columns kept) and the path of each photo that they name: photos/<file> itself; only
+    where that isn't there, any photo that has the name or, for a file with folders, ends with these parts, in any case."""
+    photos = files.where(F.col("path").rlike(r"\Aphotos/")).select("path", F.lower("path").alias("_low"))
+    name = F.regexp_extract("_low", r"([^/]*)\z", 1)
+    wanted = manifest.where("file is not null").withColumn("_file", F.lower("file")).withColumn("_direct", F.concat(F.lit("photos/"), "file"))
+    direct = wanted.join(photos.select("path"), F.col("_direct") == F.col("path"))
+    rest = wanted.join(photos.select("path"), F.col("_direct") == F.col("path"), "left_anti")
+    met = rest.withColumn("_name", F.regexp_extract("_file", r"([^/]*)\z", 1)).join(photos.withColumn("_name", name), "_name")
+    found = met.where(F.concat(F.lit("/"), "_low").endswith(F.concat(F.lit("/"), F.col("_file"))))
+    return direct.select(*manifest.columns, "path").unionByName(found.select(*manifest.columns, "path"))
+
+
+def manifest_photos(calls: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """call, kind, path, media_type of the photos that the manifest names for calls."""
+    own = manifest.join(calls.select("call").distinct(), "call", "left_semi")
+    return _located(own, files).select("call", F.lit("photo").alias("kind"), "path").distinct().withColumn("media_type", N.media_type(F.col("path")))
+
+
 def parse_manifest(lines: DataFrame) -> DataFrame:
     """The photo manifest: call, then the first non-empty token; separators are white space, commas and bars; # comments."""
     tokens = F.filter(F.split("line", r"[\t\n\f\r ,|]+"), lambda t: t != "")
@@ -83,6 +108,6 @@ def ranked_photos(photos: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def manifest_diagnostics(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Entries, those with a file, and those whose file is found or missing."""
-    there = files.select(F.lower(F.regexp_extract("path", r"([^/]*)\z", 1)).alias("name")).distinct().withColumn("found", F.lit(True))
-    told = manifest.withColumn("name", F.lower(F.regexp_extract("file", r"([^/]*)\z", 1))).join(there, "name", "left")
+    there = _located(manifest, files).select("line_no").distinct().withColumn("found", F.lit(True))
+    told = manifest.join(there, "line_no", "left")
     return told.agg(F.count("*").alias("entries"), F.count("file").alias("with_file"), F.count_if("found").alias("found"), F.count_if(F.col("file").isNotNull() & F.col("found").isNull()).alias("missing"))

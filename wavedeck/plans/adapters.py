@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: An invented rule table: line number, start, end, name, code, latitude, longitude, source.
@@ -11,8 +13,11 @@ RULES = (
     (3, "D2", "D5", "DELTA ISLES", "DI", -12.5, 40.25, "countrys"),
     (4, "E0A", "E9M", "ECHO - East", "EC", 1.0, 2.0, "countrys"),
     (5, "F", "H", "United States", "US", 39.0, -98.0, "countrys"),
-    (6, "K1", "K1", "United States", "US", None, None, "countrys"),
-    (7, "I", "L", "Canada", "CA", 60.0, -95.0, "countrys"),
+    (6, "K1", "K1", "UNITED STATES", None, None, None, "countrys"),
+    (7, "I", "L", "CANADA", None, 60.0, -95.0, "countrys"),
+    (10, "J2", "J4", "Canada", None, None, None, "countrys"),
+    (11, "G5", "G5", "United States", None, None, None, "countrys"),
+    (12, "L3", "L3", "LIMA", "CA", None, None, "countrys"),
     (8, "M5", "P", "MIKE", None, None, None, "countrys"),
     (9, "M5", "M7Z", "MIKE ROCKS", "MR", 5.5, 6.5, "countrys"),
     (1, "Q", "S", "QUEBEC - South", "QU", None, None, "pc"),
@@ -39,6 +44,11 @@ def call(key: str, nation: str, duck: bool = False) -> str:
     return "concat(" + ", ".join(parts) + ")"
 
 
+def six(column: str, duck: bool) -> str:
+    """A column of six characters."""
+    return f"rpad({column}, 6, ' ')"
+
+
 def views(duck: bool = False) -> dict[str, str]:
     """Each view's SQL; later ones use earlier ones."""
     text = "varchar" if duck else "string"
@@ -78,6 +88,14 @@ def views(duck: bool = False) -> dict[str, str]:
         "v_located": f"""select call, case when seq % 4 = 0 then null else vintage end as vintage, seq as pos, case when seq % 3 = 0 then null when seq % 5 = 0 then '12x' else cast(seq % 90 as {text}) end as latitude,
             case when seq % 11 = 0 then '' else cast(seq % 180 as {text}) end as longitude from v_archive""",
         "v_photos": f"""select concat('P', cast(page_id % 10 as {text})) as call, concat('photos/', cast(page_id as {text}), case page_id % 5 when 0 then '.JPG' when 1 then '.gif' when 2 then '.txt' when 3 then '.tar.gz' else '' end) as path, page_id from pages""",
+        # rule lines with marks and blanks in odd places: start and end in any case, names with & and brackets
+        "v_rule_lines": f"""select cast(n_nationkey as bigint) as line_no, concat(case when n_nationkey % 9 = 4 then '#' else '' end, {six('start_', duck)}, {six('end_', duck)}, n_name,
+            case n_nationkey % 4 when 0 then ' & Isles' when 1 then ' - North' when 2 then '[x]' else '' end, case n_nationkey % 3 when 0 then ' [AB]' when 1 then '' else ' [ c ] ' end,
+            case when n_nationkey % 5 > 0 then concat('!', cast(n_nationkey as {text}), '@5#EU$', cast(n_nationkey as {text}), '.5%-7^x&y') else '' end) as line
+            from (select *, concat(chr(cast(97 + n_nationkey as int)), '1') as start_, concat(chr(cast(65 + n_nationkey as int)), case when n_nationkey % 7 = 6 then '' else '9Z' end) as end_ from nation) as n""",
+        # records that name their country in several spellings, or don't
+        "v_records_in": f"""select c_custkey, call as callsign, case c_custkey % 7 when 0 then 'United States' when 1 then 'UNITED STATES' when 2 then 'Canada' when 3 then 'CANADA' when 4 then 'Elsewhere' end as country,
+            case when c_custkey % 2 = 0 then 'NJ' end as state_or_province, case when c_custkey % 3 = 0 then '07' end as postal_code from v_calls""",
         "v_manifest": "select (page_id * 7919) % 100003 as line_no, call, lower(substr(path, 8)) as file from v_photos where page_id % 3 = 0",
     }
 
@@ -86,16 +104,31 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     """The tables of sf_dir and the views over them, once a session as long as the folder stays the same."""
     if getattr(spark, "_wavedeck_tables", None) == sf_dir:
         return
-    for table in ("customer", "orders", "lineitem", "events", "supplier", "part", "pages"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for name, sql in views().items():
-        spark.sql(sql).createOrReplaceTempView(name)
+    for table in TABLES:
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(PREFIX + table)
+    for name, text in views().items():
+        spark.sql(_own(text)).createOrReplaceTempView(PREFIX + name)
     spark._wavedeck_tables = sf_dir
 
 
+#: The driver's tables that the views are made of, and what stands before the session's names for them.
+TABLES = ("customer", "orders", "lineitem", "events", "supplier", "part", "pages", "nation")
+PREFIX = "wavedeck_"
+
+
+def _own(text: str) -> str:
+    """SQL with the session's names of tables and views."""
+    return re.sub(r"\b(from|join) (" + "|".join([*TABLES, r"v_\w+"]) + r")\b", rf"\1 {PREFIX}\2", text)
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    register(spark, sf_dir)
+    return spark.sql(_own(text))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register(spark, sf_dir)
-    return spark.table(name)
+    return spark.table(PREFIX + name)
 
 
 def oracle(sql: str) -> str:

@@ -28,14 +28,15 @@ def query(sql: str | None = None):
 
 
 def rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    every = view(spark, sf_dir, "v_rules").withColumn("cleaned_name", N.clean_label(F.col("name"))).withColumn("jurisdiction", N.jurisdiction(F.col("code"), F.col("name")))
+    every = view(spark, sf_dir, "v_rules").withColumn("cleaned_name", N.clean_label(F.col("name"))).withColumn("jurisdiction", N.rule_jurisdiction(F.col("code"), F.col("name")))
     return every.where("source = 'countrys'"), every.where("source = 'pc'")
 
 
 _MATCH = """case when r.start = r."end" then starts_with(c.call, r.start)
     else substr(c.call, 1, least(greatest(length(r.start), length(r."end")), length(c.call))::bigint) between substr(r.start, 1, least(greatest(length(r.start), length(r."end")), length(c.call))::bigint)
     and substr(r."end", 1, least(greatest(length(r.start), length(r."end")), length(c.call))::bigint) end"""
-_JUR = "case when code = 'US' or name = 'United States' then 'united_states' when code = 'CA' or name = 'Canada' then 'canada' when code is not null or name is not null then 'international' else 'unknown' end"
+#: As the rule files are read: the code decides, or the name in capitals; everything else is international.
+_JUR = "case when coalesce(code, '') = 'US' then 'united_states' when name = 'UNITED STATES' then 'united_states' when coalesce(code, '') = 'CA' then 'canada' when name = 'CANADA' then 'canada' else 'international' end"
 _CLASSIFIED = f"""classified as (select call, name, code, lat, lon, source, {_JUR} as jurisdiction from (select c.call, r.name, r.code, r.lat, r.lon, r.source,
     row_number() over (partition by c.call order by r.source, length(r.start) desc, r.start, r.line_no) as rn from v_calls c left join v_rules r on (WHERE_) and {_MATCH}) where rn = 1)"""
 _PRIMARY, _ALL = _CLASSIFIED.replace("WHERE_", "r.source = 'countrys'"), _CLASSIFIED.replace("WHERE_", "true")
@@ -67,6 +68,30 @@ def country_catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return country.catalog_statistics(primary.unionByName(fallback))
 
 
+@query(
+    """with r as (select line_no, substr(line, 1, 6) as a, substr(line, 7, 6) as b, trim(substr(line, 13)) as rest from v_rule_lines where substr(line, 1, 1) <> '#' and length(line) >= 12),
+    m as (select *, case when strpos(rest, ' [') > 0 then strpos(rest, ' [') else 999 end as open_, list_min([case when strpos(rest, x) > 0 then strpos(rest, x) else 999 end for x in ['!', '@', '#', '$', '%', '^']]) as mark from r),
+    n as (select *, trim(substr(rest, 1, least(open_, mark) - 1)) as name, case when open_ < 999 then nullif(trim(split_part(substr(rest, open_ + 2), ']', 1)), '') end as code from m)
+    select line_no, upper(trim(a)) as start, upper(trim(b)) as "end", name, code, trim(split_part(name, ' - ', 1)) as cleaned_name, case when strpos(rest, '!') > 0 then split_part(substr(rest, strpos(rest, '!') + 1), '@', 1)::int end as itu,
+        case when strpos(rest, '$') > 0 then split_part(substr(rest, strpos(rest, '$') + 1), '%', 1)::double end as lat, case when strpos(rest, '#') > 0 then split_part(substr(rest, strpos(rest, '#') + 1), '$', 1) end as continent,
+        case when code = 'US' or name = 'UNITED STATES' then 'united_states' when code = 'CA' or name = 'CANADA' then 'canada' else 'international' end as jurisdiction
+    from n where trim(a) <> '' and trim(b) <> '' and name <> ''"""
+)
+def parse_rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = country.parse_rules(view(spark, sf_dir, "v_rule_lines"), "countrys")
+    return made.select("line_no", "start", "end", "name", "code", "cleaned_name", "itu", "lat", "continent", "jurisdiction")
+
+
+@query(
+    f"""with {_PRIMARY.replace('v_calls', '(select callsign as call from v_records_in where country is null)')} select c_custkey, callsign, coalesce(i.country, c.name) as country,
+    case when i.country in ('United States', 'UNITED STATES') then 'united_states' when i.country in ('Canada', 'CANADA') then 'canada' when i.country is not null then 'international' when c.name is not null then c.jurisdiction
+    when state_or_province is not null and postal_code is not null then 'united_states' else 'unknown' end as jurisdiction from v_records_in i left join classified c on c.call = i.callsign and i.country is null"""
+)
+def apply_country_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = country.apply_country(view(spark, sf_dir, "v_records_in"), rules(spark, sf_dir)[0])
+    return made.select("c_custkey", "callsign", "country", "jurisdiction")
+
+
 # --- tallies ---------------------------------------------------------------------------------------
 _RUNS = f"""{_ALL}, ordered as (select call, coalesce(name, 'none') as country from classified), marked as (select *, case when country = lag(country) over (order by call) then 0 else 1 end as new from ordered),
     numbered as (select *, sum(new) over (order by call rows unbounded preceding) as run_no from marked),
@@ -166,7 +191,7 @@ _PROBE = f"""k as (select call, unnest(range(2 + 2 * {len(YEARS)})) as key_no fr
 @query(f'with {_PROBE} select call, dat_offset, key_ as "key", row_number() over (partition by call order by o) as seq from first')
 def inv_key_expand_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = view(spark, sf_dir, "v_postings").select(F.col("full_key").alias("header_key"), "ordinal", "posting_no", "dat_offset")
-    calls = spark.sql(f"select distinct {adapters.call('c_custkey', '(c_custkey % 25)')} as call from customer")
+    calls = adapters.sql(spark, sf_dir, f"select distinct {adapters.call('c_custkey', '(c_custkey % 25)')} as call from customer")
     return lookup.probe(lookup.expand_keys(calls, list(YEARS)), postings)
 
 
@@ -176,7 +201,7 @@ def inv_key_expand_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def inv_containing_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = view(spark, sf_dir, "v_records")
-    postings = spark.table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 100 + (F.col("l_linenumber") - 1) * 12).alias("dat_offset"))
+    postings = view(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 100 + (F.col("l_linenumber") - 1) * 12).alias("dat_offset"))
     return lookup.resolve_records(postings, records).select("l_orderkey", "l_linenumber", "rec_start", "how")
 
 
@@ -317,8 +342,7 @@ def invariant_posting_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     select count(*) as rows_, count(*) filter (where k <= pk) as key_order_violations, count(*) filter (where o < po) as offset_violations, min(k) as lowest, max(k) as highest from r"""
 )
 def verify_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adapters.register(spark, sf_dir)
-    rows = spark.sql("select o_orderkey, o_orderkey div 10 * 10 + o_custkey % 20 as k, o_orderkey * 3 + o_custkey % 5 as o, o_orderkey div 1000 as part from orders")
+    rows = adapters.sql(spark, sf_dir, "select o_orderkey, o_orderkey div 10 * 10 + o_custkey % 20 as k, o_orderkey * 3 + o_custkey % 5 as o, o_orderkey div 1000 as part from orders")
     return statistics.monotonic(rows, "o_orderkey", "k", "o", "part")
 
 
@@ -382,8 +406,7 @@ def asset_media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     select l_orderkey, cast(segment_no as bigint) as segment_no, count(*) as points, sum(cast(lat_min as bigint))::bigint as lat_minutes from n where segment_no > 0 group by l_orderkey, segment_no"""
 )
 def paths_from_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adapters.register(spark, sf_dir)
-    lines = spark.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))
+    lines = view(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))
     points = lines.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber").isin(2, 5), 4000).otherwise(1).alias("command"), (F.col("x.l_quantity") * 60).alias("lat_min"), (F.col("x.l_partkey") * 6.0).alias("lon_min"))
     made = layers.paths(points, "l_linenumber", "l_orderkey")
     minutes = F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + F.round(p["lat"] * 60).cast("long"))
@@ -392,11 +415,16 @@ def paths_from_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey, last_value(case when o_orderkey % 4 = 0 then o_orderpriority end ignore nulls) over (partition by o_custkey order by o_orderkey) as carried from orders")
 def category_carry_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adapters.register(spark, sf_dir)
-    return layers.carry_down(spark.table("orders"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")), "o_orderkey", "o_custkey").select("o_orderkey", "carried")
+    return layers.carry_down(view(spark, sf_dir, "orders"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")), "o_orderkey", "o_custkey").select("o_orderkey", "carried")
 
 
-@query()
+@query(
+    """with ranked as (select *, dense_rank() over (partition by layer order by segment_no) as rank_ from v_points), lines as (select layer, segment_no, string_agg(printf('%.6f,%.6f ', lon::double, -lat::double), '' order by point_no) as p, count(*) as n
+        from ranked where rank_ <= 512 and layer in ('world', 'county') group by layer, segment_no),
+    ground as (select coalesce(string_agg('<polyline fill="none" stroke="' || case layer when 'world' then '#789" stroke-width="0.25' else '#9ab" stroke-width="0.18' end || '" points="' || p || '"/>', '' order by case layer when 'world' then 0 else 1 end, segment_no), '') as g from lines where n >= 2),
+    places as (select call, latitude::double as lat, longitude::double as lon, row_number() over (partition by call order by vintage is null desc, vintage desc, pos desc) as rn from v_located where try_cast(latitude as double) is not null and try_cast(longitude as double) is not null)
+    select call, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="-180 -90 360 180">' || g || printf('<circle cx="%.6f" cy="%.6f" r="1.5" fill="#d22"/>', lon, -lat) || '</svg>' as svg from places, ground where rn = 1"""
+)
 def svg_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = layers.best_location(view(spark, sf_dir, "v_located"))
     drawn = layers.layer_svg(view(spark, sf_dir, "v_points").withColumnRenamed("segment_no", "segment_no"), 512)
@@ -422,8 +450,7 @@ _T = r"[\t\n\f\r ]"
         then upper(regexp_replace(split_part(raw, ':', 1), '^{_T}+|{_T}+$', '', 'g')) end as statistics_call from w"""
 )
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "v_calls")
-    raw = spark.sql("select c_custkey, case c_custkey % 6 when 0 then concat(' ', lower(call), chr(9)) when 1 then concat(call, ':', cast(1890 + c_custkey % 250 as string)) when 2 then concat(call, '-X') when 3 then '!!!' else concat(call, '/P') end as raw from v_calls")
+    raw = adapters.sql(spark, sf_dir, "select c_custkey, case c_custkey % 6 when 0 then concat(' ', lower(call), chr(9)) when 1 then concat(call, ':', cast(1890 + c_custkey % 250 as string)) when 2 then concat(call, '-X') when 3 then '!!!' else concat(call, '/P') end as raw from v_calls")
     c = F.col("raw")
     return raw.select("c_custkey", N.callsign(c).alias("valid_call"), N.is_record_key(N.key_call(c)).alias("record_key"), N.key_vintage(c).alias("vintage"), N.is_call_header(c).alias("header"), N.statistics_call(c).alias("statistics_call"))
 

@@ -58,8 +58,7 @@ def roundtrip_hci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(l_quantity as bigint) as lat_minutes, cast(l_partkey % 1000 as bigint) as lon_minutes, count(*) as points from lineitem group by 1, 2")
 def roundtrip_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "v_calls")
-    rows = spark.table("lineitem").select(F.lit(4000).cast("short").alias("command"), F.col("l_quantity").cast("short").alias("lat_min"), (F.col("l_partkey") % 1000).cast("short").alias("lon_min"))
+    rows = view(spark, sf_dir, "lineitem").select(F.lit(4000).cast("short").alias("command"), F.col("l_quantity").cast("short").alias("lat_min"), (F.col("l_partkey") % 1000).cast("short").alias("lon_min"))
     paths = layers.paths(_through(rows, "state_vectors", 60_000).withColumn("lat_min", F.col("lat_min").cast("double")).withColumn("lon_min", F.col("lon_min").cast("double")), "point_no", "path")
     points = paths.select(F.explode("points").alias("p"))
     return points.groupBy(F.round(F.col("p.lat") * 60).cast("long").alias("lat_minutes"), F.round(F.col("p.lon") * 60).cast("long").alias("lon_minutes")).agg(F.count("*").alias("points"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In
 
 from ..keystream import coded
 from . import files
@@ -17,19 +17,38 @@ from .records import FolderWriter
 RANGE = 8 << 20
 _LINE = re.compile(rb"([^ \t\r\n]+) +([0-9]+) *")
 _HEADER = re.compile(r"[ -~]{1,100}")
+_POSTING = np.dtype([("offset", ">u4"), ("position", "u1")])
 
 
 # --- text index ------------------------------------------------------------------------------------
 class TextIndexReader(DataSourceReader):
-    """Lines end with CR LF only; a partition owns the lines that begin in its range. A tail without an end is left out."""
+    """Lines end with CR LF only; a partition owns the lines that begin in its range. A tail without an end is left out.
 
-    def __init__(self, path: str, length: int):
-        self.path, self.length = path, length
+    calls: read the lines of these calls alone, with and without years, and the one that follows each call's, found by
+    binary search in the sorted file."""
+
+    def __init__(self, path: str, length: int, calls: list[str] | None = None):
+        self.path, self.length, self.calls = path, length, calls
 
     def partitions(self):
-        return files.ranges(self.path, self.length, ".idx")
+        if self.calls is None:
+            return files.ranges(self.path, self.length, ".idx")
+        found: list[files.ByteRange] = []
+        for path, size in files.files(self.path, ".idx"):
+            store, at = files.filesystem(path)
+            with store.open_input_file(at) as f:
+                # no key of another call lies between a call's and that with the character after the colon
+                spans = sorted((lower_bound(f, size, c.encode()), lower_bound(f, size, c.encode() + b";") + 1) for c in set(self.calls))
+            for a, b in spans:
+                if found and found[-1].path == path and a <= found[-1].stop:
+                    found[-1].stop = max(found[-1].stop, min(b, size))
+                elif a < size:
+                    found.append(files.ByteRange(path, a, min(b, size), size))
+        return found or [files.ByteRange(self.path, 0, 0, 0)]
 
     def read(self, part: files.ByteRange) -> Iterator[pa.RecordBatch]:
+        if part.start >= part.stop:
+            return
         back = min(2, part.start)
         data = files.read(part.path, part.start - back, part.stop)
         first = 0 if not part.start else data.find(b"\r\n") + 2
@@ -54,6 +73,36 @@ class TextIndexReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("line_start", pa.int64()), ("line", pa.string()), ("parsed", pa.bool_()), ("key", pa.string()), ("dat_offset", pa.int64())]))
 
 
+def lower_bound(f: pa.NativeFile, size: int, key: bytes, near: int = 4096) -> int:
+    """Where the first line with this key or a greater one begins in a sorted file; its size if there is none. Lines that don't
+    parse are passed over."""
+
+    def lines(start: int) -> Iterator[tuple[int, bytes]]:
+        data, at = b"", start
+        while at < size:
+            if (cut := data.find(b"\r\n")) < 0:
+                f.seek(at + len(data))
+                more = f.read(near)
+                if not more:
+                    return
+                data += more
+                continue
+            yield at, data[:cut]
+            data, at = data[cut + 2 :], at + cut + 2
+
+    low, high = 0, size  # the line looked for begins at low or behind, and at high or before
+    while high - low > near:
+        middle = (low + high) // 2
+        begins = lines(middle)
+        next(begins, None)  # the rest of a line
+        good = next(((at, m[1]) for at, line in begins if (m := _LINE.fullmatch(line))), None)
+        if good is None or good[0] >= high or good[1] >= key:
+            high = middle
+        else:
+            low = good[0]
+    return next((at for at, line in lines(low) if (m := _LINE.fullmatch(line)) and m[1] >= key), size)
+
+
 class TextIndexWriter(FolderWriter):
     ending = ".idx"
 
@@ -71,7 +120,8 @@ class TextIndex(DataSource):
         return "line_start long, line string, parsed boolean, key string, dat_offset long"
 
     def reader(self, schema):
-        return TextIndexReader(self.options["path"], int(self.options.get("length", RANGE)))
+        calls = self.options.get("calls")
+        return TextIndexReader(self.options["path"], int(self.options.get("length", RANGE)), None if calls is None else calls.split())
 
     def writer(self, schema, overwrite):
         return TextIndexWriter(self.options["path"])
@@ -91,10 +141,19 @@ def header(raw: bytes, position: int) -> tuple[str, int | None, int, bool] | Non
 
 
 class InvertedIndexReader(DataSourceReader):
-    """Folder or pair of files: `<stem>.index` with big-endian offsets into `<stem>.entries`."""
+    """Big-endian offsets into a file of entries: two files (options path and entries), or a folder of pairs
+    `<stem>.index` and `<stem>.entries`. Keys that are asked for by = or IN are looked for in the entries' headers alone; the
+    postings of others aren't decoded."""
 
-    def __init__(self, path: str, length: int):
-        self.path, self.length = path, length
+    def __init__(self, path: str, length: int, entries: str | None = None):
+        self.path, self.length, self.entries, self.wanted = path, length, entries, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("header_key",):
+                keys = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted = keys if self.wanted is None else self.wanted & keys
+            yield f  # Spark checks rows again
 
     def partitions(self):
         made = files.ranges(self.path, self.length, ".index", unit=4)
@@ -104,25 +163,48 @@ class InvertedIndexReader(DataSourceReader):
         return made
 
     def read(self, part: files.ByteRange) -> Iterator[pa.RecordBatch]:
-        body = part.path.removesuffix(".index") + ".entries"
+        body = self.entries or part.path.removesuffix(".index") + ".entries"
         size = files.files(body)[0][1]
         offsets = np.frombuffer(files.read(part.path, part.start, min(part.stop + 4, part.size)), dtype=">u4").astype(np.int64)
         n = (part.stop - part.start) // 4
         ends = np.append(offsets[1:], size)[:n]
+        offsets = offsets[:n]
+        inside = (offsets <= ends) & (ends <= size)
+        store, at = files.filesystem(body)
+        with store.open_input_file(at) as f:
+            for i in range(0, n, 1024):
+                rows = self._rows(f, part, i, offsets[i : i + 1024], ends[i : i + 1024], inside[i : i + 1024])
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=self.arrow)
+
+    def _rows(self, f, part: files.ByteRange, first: int, offsets: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> list[dict]:
+        """Entries that lie close together are read at once and sliced."""
+        low, high = (int(offsets[inside].min()), int(ends[inside].max())) if inside.any() else (0, 0)
+        held = None
+        if high - low <= max(1 << 20, 2 * int((ends - offsets)[inside].sum())):
+            f.seek(low)
+            held = f.read(high - low)
+
+        def read(a: int, b: int) -> bytes:
+            if held is not None:
+                return held[a - low : b - low]
+            f.seek(a)
+            return f.read(b - a)
+
         rows = []
-        for k, (a, b) in enumerate(zip(offsets[:n].tolist(), ends.tolist())):
-            row: dict = {"path": part.path, "ordinal": part.start // 4 + k, "hci_offset": a, "raw_len": b - a if a <= b <= size else None, "terminated": False, "postings": []}
-            raw = files.read(body, a, b) if a <= b <= size else b""
-            if found := header(raw, a):
+        for k, (a, b, good) in enumerate(zip(offsets.tolist(), ends.tolist(), inside.tolist())):
+            raw = read(a, b) if good else b""
+            found = header(raw, a)
+            if self.wanted is not None and (not found or found[0] not in self.wanted):
+                continue
+            row: dict = {"path": part.path, "ordinal": part.start // 4 + first + k, "hci_offset": a, "raw_len": b - a if good else None, "terminated": False, "postings": []}
+            if found:
                 row |= dict(zip(("header_key", "year", "header_len", "terminated"), found))
                 chunks = raw[row["header_len"] : -1]
-                row["postings"] = [{"posting_no": i // 5, "dat_offset": struct.unpack(">I", chunks[i : i + 4])[0], "position": chunks[i + 4]} for i in range(0, len(chunks) - 4, 5)]
+                made = np.frombuffer(chunks, dtype=_POSTING, count=len(chunks) // 5)
+                row["postings"] = [{"posting_no": i, "dat_offset": o, "position": p} for i, (o, p) in enumerate(zip(made["offset"].tolist(), made["position"].tolist()))]
             rows.append(row)
-            if len(rows) == 4096:
-                yield pa.RecordBatch.from_pylist(rows, schema=self.arrow)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=self.arrow)
+        return rows
 
     arrow = pa.schema(
         [("path", pa.string()), ("ordinal", pa.int64()), ("hci_offset", pa.int64()), ("raw_len", pa.int64()), ("header_key", pa.string()), ("year", pa.int32()), ("header_len", pa.int32()), ("terminated", pa.bool_()),
@@ -167,7 +249,7 @@ class InvertedIndex(DataSource):
         return "path string, ordinal long, hci_offset long, raw_len long, header_key string, year int, header_len int, terminated boolean, postings array<struct<posting_no: long, dat_offset: long, position: int>>"
 
     def reader(self, schema):
-        return InvertedIndexReader(self.options["path"], int(self.options.get("length", 1 << 18)))
+        return InvertedIndexReader(self.options["path"], int(self.options.get("length", 1 << 18)), self.options.get("entries"))
 
     def writer(self, schema, overwrite):
         return InvertedIndexWriter(self.options["path"])

@@ -16,7 +16,7 @@ from ..functions import normalize as N
 from ..operators import layers
 from . import files
 from .indexes import InvertedIndex, LookupCounts, StateVectors, TextIndex
-from .records import TaggedRecords
+from .records import RecordTags, TaggedRecords
 
 #: Columns of the current records, by place; fixed values.
 CURRENT = ("callsign", "class", "name", "address", "city", "state", "zip", "county", "issue_date", "transaction_type")
@@ -89,7 +89,9 @@ class ZippedTable(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (TaggedRecords, TextIndex, InvertedIndex, LookupCounts, StateVectors, NumberedLines, ZippedTable):
+    """Make the sources known to the session, and let it hand filters to those that take some."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (TaggedRecords, RecordTags, TextIndex, InvertedIndex, LookupCounts, StateVectors, NumberedLines, ZippedTable):
         spark.dataSource.register(source)
 
 
