@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASKS, batch_of, delta, pack, release, undelta, unpack
-from .scratch import stored
+from .scratch import release_shuffles, stored
 
 #: Messages that a block or node sends, and about the number of blocks or nodes whose messages meet in a node.
 FAN = 256
@@ -152,6 +152,7 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["block", "bucket", "data", "part", "figures"])
 
     found = stored(asks.groupBy("bucket").applyInArrow(last, "block long, bucket long, data binary, part string, figures array<long>"), name, "part")
+    release_shuffles(asks.sparkSession)
     answers = found.where("part = 'answer'").select("block", "bucket", "data")
 
     def down(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -17,8 +17,7 @@ mass is left (only counts beyond K follow h), the seen ones share c(h) / (c(h) +
 
 n-grams are known by 64-bit hashes. Blocks ask for their own (exchange.py). First, by short hashes, which of their n-grams
 with a cutoff can reach it: most are one block's alone and go no further. Then for the counts of all others. Last
-for two sums of their histories, over what the model has after them: the discounted counts, and the mass at the order
-below. An n-gram is added to its history's sums once, by the block that owns it; histories that one block alone
+for sums of their histories, over what the model has after them: of the counts, and of those at the order below. An n-gram is added to its history's sums once, by the block that owns it; histories that one block alone
 has are summed there. Both tables are stored in parts of the hash range; the answers are read from them.
 
 Null and empty texts have the end alone. Rows with a null id are scored, not learned from. Rows may repeat. Without
@@ -45,6 +44,8 @@ from .scratch import stored
 ORDER, K, ADDED = 3, 5, 0.1
 #: From so many tokens on an n-gram must occur so often to be in the model.
 LONG, LEAST = 3, 2
+#: Numbers that are summed of a history.
+SUMS = 2 * (K + 1) + 1
 #: The hash that stands for the beginning of a text.
 BEGIN = np.uint64(0x5BD1E9955BD1E995)
 
@@ -150,8 +151,12 @@ class Block:
     def long(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams with a cutoff: sorted distinct short keys, their counts, and each one's place among them."""
         short = np.uint64(64 - bits)
-        every = np.concatenate([np.zeros(0, np.uint64), *((x >> (short + np.uint64(3)) << np.uint64(3) | (x & _LOW)) for x in self.keys[LONG - 1 :])])
-        keys, of, _ = _kinds(every)
+        parts = [x >> (short + np.uint64(3)) << np.uint64(3) | (x & _LOW) for x in self.keys[LONG - 1 :]]
+        if len(parts) == 1:  # sorted as the keys are
+            new = np.concatenate([[True], parts[0][1:] != parts[0][:-1]])[: len(parts[0])]
+            keys, of = parts[0][new], np.cumsum(new, dtype=np.int32) - 1
+        else:
+            keys, of, _ = _kinds(np.concatenate([np.zeros(0, np.uint64), *parts]))
         counts = np.concatenate([np.zeros(0, np.int64), *self.counts[LONG - 1 :]])
         return keys << short, np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64), of
 
@@ -191,14 +196,20 @@ class Block:
         """How often the histories of n-grams of k + 1 tokens occur; a text begins as often as it ends."""
         return np.append(self.count[k - 1], self.count[0][self.end])
 
-    def summed(self, model: Model) -> list[list[np.ndarray]]:
-        """Per order from two on: of each history the sums that this block's own n-grams add to it."""
+    def summed(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Per order from two on: histories, and what this block's own n-grams add to each, in whole numbers. SUMS of them: how
+        many n-grams occur once, twice, ... K times, the occurrences of the others, the same of the n-grams below, how many in
+        all."""
         out = []
         for k in range(1, self.order):
-            mine = self.own[k]
-            head, c, below = self.head[k][mine], self.count[k][mine], self.count[k - 1][self.lower[k][mine]]
-            mass = below + ADDED if k == 1 else model.kept(k - 1, below) * below
-            out.append([np.bincount(head, weights=x, minlength=len(self.keys[k - 1]) + 1) for x in (model.kept(k, c) * c, mass)])
+            mine = np.flatnonzero(self.own[k])
+            at, head = np.unique(self.head[k][mine], return_inverse=True)
+            made = []
+            for c in (self.count[k][mine], self.count[k - 1][self.lower[k][mine]]):
+                made += [np.bincount(head[c == r], minlength=len(at)) for r in range(1, K + 1)]
+                more = c > K
+                made.append(np.bincount(head[more], weights=c[more], minlength=len(at)).astype(np.int64))
+            out.append((at, [slim(x) for x in (*made, np.bincount(head, minlength=len(at)))]))
         return out
 
     def heads(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -216,27 +227,36 @@ class Block:
         order = np.argsort(keys, kind="stable")
         return keys[order], asked, order
 
-    def sums(self, model: Model, ranges: int) -> Iterator[tuple[int, bytes]]:
+    def sums(self, ranges: int) -> Iterator[tuple[int, bytes]]:
         keys, asked, order = self.heads()
-        mine = self.summed(model)
-        return keyed(keys, [np.concatenate([np.zeros(0), *(m[i][at] for m, at in zip(mine, asked))])[order] for i in range(2)], ranges)
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint8)] for _ in range(SUMS)]
+        for (at, mine), wanted in zip(self.summed(), asked):
+            place = np.minimum(np.searchsorted(wanted, at), max(len(wanted) - 1, 0))
+            there = wanted[place] == at if len(wanted) else np.zeros(len(at), bool)
+            for column, x in zip(columns, mine):
+                whole = np.zeros(len(wanted), dtype=x.dtype)
+                whole[place[there]] = x[there]
+                column.append(whole)
+        return keyed(keys, [np.concatenate(c)[order] for c in columns], ranges)
 
     def scores(self, model: Model, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and score of its documents."""
-        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0)] * 2
-        keys, asked, order = self.heads()
-        mine = self.summed(model)
-        cuts = np.cumsum([len(at) for at in asked])[:-1]
-        for i, x in enumerate(told):
-            column = np.empty(len(keys))
-            column[order] = x
-            for m, at, part in zip(mine, asked, np.split(column, cuts)):
-                m[i][at] = part
+        told = [np.concatenate(x) for x in zip(*map(unpack, answers))] if answers else [np.zeros(0, np.int64)] * SUMS
+        _, asked, order = self.heads()
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        ends = np.cumsum([len(at) for at in asked])
+        masses = []
+        for k, ((at, mine), wanted, end) in enumerate(zip(self.summed(), asked, ends), 1):
+            held, low = np.zeros(len(self.keys[k - 1]) + 1), np.zeros(len(self.keys[k - 1]) + 1)
+            held[at], low[at] = model.masses(k, mine)
+            held[wanted], low[wanted] = model.masses(k, [x[back[end - len(wanted) : end]] for x in told])
+            masses.append((held, low))
         p = one = model.word(self.count[0])
         kept = total = None
         for k in range(1, self.order):
             before = kept, total
-            total, (held, low) = self.totals(k), mine[k - 1]
+            total, (held, low) = self.totals(k), masses[k - 1]
             if k == 1:
                 mass = low / (model.size + ADDED * (model.kinds + 1))
             else:  # a history's own history is the n-gram without its first token; the beginning's is the beginning
@@ -275,8 +295,8 @@ def _counted(order: int):
 
 
 def _summed(question: Keyed) -> tuple[bytes, bytes, list[int]]:
-    seen = question.numbers[0] > 0
-    return pack(*question.numbers), pack(delta(question.keys[seen]), *(x[seen] for x in question.numbers)), []
+    seen = question.numbers[-1] > 0
+    return pack(*map(slim, question.numbers)), pack(delta(question.keys[seen]), *(slim(x[seen]) for x in question.numbers)), []
 
 
 def discounts(few: list[int]) -> np.ndarray:
@@ -313,6 +333,14 @@ class Model:
         d = np.concatenate([[1.0], self.discount[k - 1], [1.0]])
         return d[np.minimum(count, len(d) - 1)]
 
+    def masses(self, k: int, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of histories of n-grams of k + 1 tokens: the discounted counts of what follows, and of the n-grams below."""
+        held, low = sums[K].astype(np.float64), sums[2 * K + 1].astype(np.float64)
+        for r in range(1, K + 1):
+            held += float(self.kept(k, np.array(r))) * r * sums[r - 1]
+            low += (1.0 if k == 1 else float(self.kept(k - 1, np.array(r)))) * r * sums[K + r]
+        return held, low + ADDED * sums[-1] if k == 1 else low
+
     def history(self, total: np.ndarray, held: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of histories the share of the discounted counts that is kept, and the backoff weight. held: the discounted counts of
         what the model has after them, mass: what the order below gives to that."""
@@ -366,7 +394,7 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
     few = [figures[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)] for k in range(order - 1)]
     plain = Model(figures[0], figures[1], [discounts([f[0] + a, *f[1:]]) for f, a in zip(few, alone)])
     both = may.unionByName(turned(counts, 1))
-    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(plain, ranges)), ASKS), n, buckets, Keyed, _summed, "histories")
+    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(ranges)), ASKS), n, buckets, Keyed, _summed, "histories")
     every = both.unionByName(turned(sums, 2))
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -380,17 +408,19 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
 
 def ngram_tables(model: Model) -> tuple[DataFrame, DataFrame]:
     """The stored tables as rows, with the number of tokens and the key as gram_keys() makes it: n-grams and their count;
-    histories that more blocks than one have, the discounted counts of what the model has after them, and its mass below."""
+    histories that more blocks than one have, and of what the model has after them how many kinds occur once, twice, ..., the
+    occurrences of the rest, the same of the n-grams below, and all kinds."""
 
-    def rows(names: list[str], kind: type):
+    def rows(names: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data in batch.column(0).to_pylist():
                     keys, *numbers = unpack(data)
                     keys = undelta(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array((keys & _LOW).astype(np.int32)), pa.array(keys.view(np.int64)), *(pa.array(x.astype(kind)) for x in numbers)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array((keys & _LOW).astype(np.int32)), pa.array(keys.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in numbers)], ["tokens", "key", *names])
 
         return run
 
-    grams = model.grams.select("data").mapInArrow(rows(["tokens", "key", "count"], np.int64), "tokens int, key long, count long")
-    return grams, model.sums.select("data").mapInArrow(rows(["tokens", "key", "held", "mass"], float), "tokens int, key long, held double, mass double")
+    names = [*(f"kinds_{r}" for r in range(1, K + 1)), "more", *(f"below_{r}" for r in range(1, K + 1)), "more_below", "kinds"]
+    kinds = lambda names: "tokens int, key long, " + ", ".join(f"{n} long" for n in names)
+    return model.grams.select("data").mapInArrow(rows(["count"]), kinds(["count"])), model.sums.select("data").mapInArrow(rows(names), kinds(names))
