@@ -8,7 +8,7 @@ label, edits, words and span in the original text.
 
 Nulls and empty texts have no words and no spans. Ids may be null or repeat: every row gets its own result.
 Of hits of one label that overlap, the one with the fewest edits stays, then the first. A row's work and
-memory follow its own length; there is no shuffle.
+memory follow its own length and the hits in it; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -41,6 +42,9 @@ NOTICES: tuple[tuple[str, str, int, bool], ...] = (
 
 SCHEMA = "n_words long, hits array<struct<label: string, phrase: string, base: boolean, edits: int, first_word: long, last_word: long, start: long, stop: long, matched: string>>"
 
+#: Characters of a cell in which spans that may overlap are looked for.
+CELL = 64
+
 _SEPARATORS = bytes(32 if b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -78,15 +82,19 @@ class Scanner:
         if not found:
             return len(words), []
         spans = [m.span() for m in _WORD.finditer(text)]
-        hits, taken = [], {}
+        blanks = np.flatnonzero(np.array([c == " " for c in joined]) if not joined.isascii() else np.frombuffer(joined.encode(), dtype=np.uint8) == 32)
+        places = sorted({x for _, start, stop in found for x in (start, stop)})
+        word_at = dict(zip(places, (np.searchsorted(blanks, places) - 1).tolist()))
+        hits, taken = [], {}  # taken: spans by label and the cells of the text that they touch
         for (k, start, stop), edits in sorted(found.items(), key=lambda x: (x[1], x[0][1], x[0][0])):
             phrase, label, _, base = self.notices[k]
             # exact places all stay, overlaps too; a fuzzy one that overlaps a better one of its label goes
-            if edits and any(start < b and a < stop for a, b in taken.get(label, ())):
+            cells = [(label, c) for c in range(start // CELL, (stop - 1) // CELL + 1)]
+            if edits and any(start < b and a < stop for c in cells for a, b in taken.get(c, ())):
                 continue
-            taken.setdefault(label, []).append((start, stop))
-            first = joined.count(" ", 0, start) - 1
-            last = joined.count(" ", 0, stop) - 1
+            for c in cells:
+                taken.setdefault(c, []).append((start, stop))
+            first, last = word_at[start], word_at[stop]
             a, b = spans[first][0], spans[last][1]
             hits.append({"label": label, "phrase": phrase, "base": base and not edits, "edits": edits, "first_word": first, "last_word": last, "start": a, "stop": b, "matched": text[a:b]})
         return len(words), sorted(hits, key=lambda h: (h["start"], h["stop"], h["label"], h["phrase"]))
