@@ -59,3 +59,21 @@ def test_rows(odd, empty, odd_docs, packed):
     as_ids = lambda x: [int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] if packed else x
     assert sorted((r.doc_id or -1, as_ids(r.ids), r.text) for r in got) == sorted((d[0] or -1, LIBRARY.encode_ordinary(d[1] or ""), d[1] or "") for d in odd_docs)
     assert encode_texts(empty, PATH, P.PATTERN).count() == 0
+
+
+def test_states_are_bounded_inside_a_piece(monkeypatch):
+    import random
+
+    import public_tokenizers as P
+
+    from wavedeck.llm import byte_bpe
+    from wavedeck.llm.byte_bpe import Transducer, merged, read_ranks
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = read_ranks(f.read())
+    rng = random.Random(6)
+    piece = "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(3000)).encode()
+    expected = b"".join(int(i).to_bytes(4, "little") for i in merged(ranks, piece))
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", 100)
+    made = Transducer(ranks)
+    assert made.encode(piece) == expected and len(made.states) <= 102

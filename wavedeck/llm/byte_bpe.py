@@ -166,13 +166,16 @@ class Transducer:
         if path and all([t for _, t in new]):
             before = -2  # nothing begins there any more
         new.append((0, path))
-        key = (before, tuple(new))
+        self.moves[move] = to = self._state((before, tuple(new))) << 1 | (sure > 0)
+        return to
+
+    def _state(self, key: tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]) -> int:
+        """The number of a state; its last live position is where the text read so far ends."""
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.ends.append(b"".join([self.packed[t] for t in path]))
-        self.moves[move] = to = to << 1 | (sure > 0)
+            self.ends.append(b"".join([self.packed[t] for t in key[1][-1][1]]))
         return to
 
     def encode(self, piece: bytes) -> bytes:
@@ -186,6 +189,12 @@ class Transducer:
             move = state << 8 | byte
             to = moves.get(move)
             if to is None:
+                if len(self.states) > MAX_STATES:  # in a very long piece: go on from this state alone
+                    key = self.states[state]
+                    self._reset()
+                    moves, says = self.moves, self.says
+                    state = self._state(key)
+                    move = state << 8 | byte
                 to = self._step(move)
             if to & 1:
                 out.append(says[move])
@@ -213,21 +222,6 @@ class Pieces(dict):
         return found
 
 
-class Pieces(dict):
-    """The ids of each distinct piece, made when first asked for."""
-
-    def __init__(self, transducer: Transducer):
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        found = self.transducer.encode(piece.encode())
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
-
-
 class Utf8Decoder:
     """feed(bytes) gives the characters that are complete by now; state: the bytes of an unfinished one."""
 
