@@ -58,3 +58,20 @@ def test_the_sample_is_bounded(spark):
 def test_features_are_finite():
     for t in ("", " ", "\n\n", "a", "é" * 1000, "!" * 50, "x " * 5000, "\x00\x01", "日本語"):
         assert np.isfinite(features(t)).all()
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    from pyspark.sql import functions as F
+
+    from wavedeck.llm import quality_rank
+
+    docs = spark.range(4000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("some words here "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    fit = quality_rank.fit
+    quality_rank.fit = lambda x, y, cut: seen.append(len(y)) or fit(x, y, cut)
+    try:
+        quality_rank.learn(docs, labels.unionAll(labels), F.lit(True), most=100)
+    finally:
+        quality_rank.fit = fit
+    assert 40 <= seen[0] <= 220
