@@ -90,3 +90,13 @@ def test_rows(odd, empty, odd_docs, monkeypatch, group):
     ids = [x + (1).to_bytes(4, "little") for x in library([d[1] or "" for d in odd_docs])]
     check(got, list(zip([d[0] for d in odd_docs], ids)), 100)
     assert best_fit_packing(empty, PATH).count() == 0
+
+
+def test_repeated_rows_are_dealt_to_several_groups(spark):
+    from pyspark.sql import functions as F
+
+    from wavedeck.llm.packing import pack
+
+    rows = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    got = pack(rows, 1000, group_tokens=40_000).select((F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("g"), "sequence_id", "offset").collect()
+    assert len(got) == 4000 and len({r.g for r in got}) == 10 and len({(r.sequence_id, r.offset) for r in got}) == 4000

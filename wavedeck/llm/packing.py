@@ -237,7 +237,8 @@ def pack(pieces: DataFrame, length: int, id_col: str = "doc_id", group_tokens: i
         bins, offsets = best_two_fit(part["length"].to_numpy(), length)
         return part.drop(columns="g").assign(sequence_id=(key[0] << 32) + bins, offset=offsets)
 
-    keyed = pieces.withColumn("g", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
+    # by the file's part and the row's place in it as well: rows that are repeated thousands of times don't share a group
+    keyed = pieces.withColumn("g", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return keyed.groupBy("g").applyInPandas(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
