@@ -78,6 +78,18 @@ def test_tiles_of_a_hot_key(spark, monkeypatch):
     assert groups(every, [(e.a, e.b) for e in edges]) == groups(every, [(a, b) for k, a in enumerate(every) for b in every[k + 1 :] if near(a, b)])
 
 
+@pytest.mark.parametrize("together", [2, 3])
+def test_keys_of_several_blocks(spark, together):
+    rng = np.random.default_rng(6)
+    v = clustered(rng, 12, 12, 9)
+    every = [int(x) for x in v.view(np.int64)]
+    edges = simhash_trie.linked_fingerprints(spark.createDataFrame([(x,) for x in every], "fp long"), 4, together=together).collect()
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 4
+    assert all(near(e.a, e.b) for e in edges)
+    assert groups(every, [(e.a, e.b) for e in edges]) == groups(every, [(a, b) for k, a in enumerate(every) for b in every[k + 1 :] if near(a, b)])
+    assert [simhash_trie.agreeing(n, 4) for n in (0, 10**6, 10**8, 10**10)] == [1, 1, 2, 3]
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, int(x)) for x in range(101, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 400, (120, 2))] + [(7, 7)]

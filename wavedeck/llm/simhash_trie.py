@@ -4,8 +4,8 @@ Fingerprint: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, shingles of n words
 included (fewer words: all of them; none: fingerprint zero). A bit is 1 if over half of the shingles' XXH64
 (UTF-8, seed 42) have it.
 
-Self-join: fingerprints within `budget` bits agree on at least one of budget + 1 blocks of bits, so each
-distinct fingerprint goes to budget + 1 tables keyed by a block's value. A key's fingerprints form a binary
+Self-join: fingerprints within `budget` bits agree on at least g of budget + g blocks of bits, so each
+distinct fingerprint goes to tables keyed by g blocks' values; g grows with the number of fingerprints. A key's fingerprints form a binary
 trie; pairs of its nodes are traversed together from (root, root), their differing bits accumulate, and a
 pair is pruned once they exceed the budget or both sides are known to be one group already. Keys with very
 many fingerprints are cut into tiles by a hash and every two tiles meet in a task of their own, so a hot key
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -184,10 +185,29 @@ def _spans_one(groups: _Groups, low: np.ndarray, high: np.ndarray, ask: np.ndarr
     return ask & (changes[np.minimum(high, len(root)) - 1] == changes[np.minimum(low, len(root) - 1)])
 
 
-def linked_fingerprints(fps: DataFrame, budget: int = 4, tile: int = TILE) -> DataFrame:
-    """fps(fp long, distinct, not null) -> edges (a, b) that connect all fingerprints within budget bits."""
-    cuts = [64 * i // (budget + 1) for i in range(budget + 2)]
-    blocks = [(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for a, b in zip(cuts, cuts[1:])]
+def agreeing(n: int, budget: int, tile: int = TILE) -> int:
+    """How many blocks of bits a key takes for n fingerprints: so many that a key of evenly spread ones has a tile of them."""
+    g = 1
+    while g < 8 and n >> (64 * g // (budget + g)) > tile:
+        g += 1
+    return g
+
+
+def linked_fingerprints(fps: DataFrame, budget: int = 4, tile: int = TILE, together: int | None = None) -> DataFrame:
+    """fps(fp long, distinct, not null) -> edges (a, b) that connect all fingerprints within budget bits.
+
+    With budget + g blocks of bits, two such fingerprints agree on g blocks at least: each goes to a table for every g of them,
+    keyed by their bits. g (together) follows the number of fingerprints, so keys don't fill up as that grows: five tables up to
+    about 16 million, 15 to four billion, 35 beyond, for a budget of four."""
+    g = together or agreeing(fps.count(), budget, tile)
+    cuts = [64 * i // (budget + g) for i in range(budget + g + 1)]
+    bits = [(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)), b - a) for a, b in zip(cuts, cuts[1:])]
+    blocks = []
+    for some in combinations(bits, g):
+        key = F.lit(0).cast("long")
+        for x, wide in some:
+            key = F.shiftleft(key, wide).bitwiseOR(x)
+        blocks.append(key)
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), x.alias("block")) for t, x in enumerate(blocks)))).alias("k")).select("fp", "k.t", "k.block")
     sizes = keyed.groupBy("t", "block").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     tiled = keyed.join(sizes, ["t", "block"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
