@@ -44,7 +44,9 @@ def test_rows_are_brute_force(spark, sf_dir, documents, monkeypatch, block, buck
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
-def test_index_is_the_sorted_suffixes():
+@pytest.mark.parametrize("piece", [1 << 16, 7])
+def test_index_is_the_sorted_suffixes(tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     rng = random.Random(1)
     for _ in range(100):
         strings = sorted({bytes(rng.choice(b"abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(6, 20))) for _ in range(rng.randint(1, 30))})
@@ -53,18 +55,21 @@ def test_index_is_the_sorted_suffixes():
         rows = np.zeros((len(strings), sizes.max()), np.uint8)
         for k, s in enumerate(strings):
             rows[k, len(rows[k]) - len(s) :] = np.frombuffer(s, np.uint8)
-        index = ColumnIndex(rows, sizes)
-        suffixes = [strings[o][a:] for o, a in zip(index.own >> 8, index.own & 255)]
+        index = ColumnIndex(rows, sizes, str(tmp_path / "index"))
+        assert len(list((tmp_path / "index").iterdir())) == 1
+        bwt, lcp, own = (np.concatenate(x) for x in zip(*index.chunks()))
+        suffixes = [strings[o][a:] for o, a in zip(own >> 8, own & 255)]
         assert suffixes == sorted(suffixes)
-        assert [int(x) for x in index.bwt] == [strings[o][a - 1] + 1 if a else 0 for o, a in zip(index.own >> 8, index.own & 255)]
-        for a, b, n in zip(suffixes, suffixes[1:], index.lcp[1:]):
+        assert [int(x) for x in bwt] == [strings[o][a - 1] + 1 if a else 0 for o, a in zip(own >> 8, own & 255)]
+        for a, b, n in zip(suffixes, suffixes[1:], lcp[1:]):
             assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or n == len(a) == len(b)
         low = np.array([rng.randint(0, 50) for _ in strings])
         lows = {}
         for s, x in zip(strings, low.tolist()):
             for i in range(len(s) - 5):
                 lows[s[i : i + 6]] = min(lows.get(s[i : i + 6], 99), x)
-        assert passage_lows(strings, low, 6, None).tolist() == [lows[s[i : i + 6]] for s in strings for i in range(len(s) - 5)]
+        index.streams.drop()
+        assert passage_lows(strings, low, 6, None, str(tmp_path / "lows")).tolist() == [lows[s[i : i + 6]] for s in strings for i in range(len(s) - 5)]
 
 
 def test_rows(spark, odd, empty, odd_docs):

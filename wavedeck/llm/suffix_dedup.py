@@ -9,12 +9,9 @@ bucket: its passages go one by one to the bucket of their own hash.
 
 In a bucket the stretches are a collection of short documents. Its Burrows-Wheeler transform and common
 prefixes are built column-wise (Bauer, Cox, Rosone, 2013; Cox and others, 2016): every round inserts one
-symbol (two bytes, on a grid that the anchor lays, where `least` is even) of each document, from the right, at the place that the symbols before it give, by one sequential
-pass that reads the old streams and writes the new ones. Where the common prefix is `least` or more, passages are equal, and the
-smallest id of each run of equal ones goes back to the blocks.
-
-The streams of a bucket are bounded by the bucket's size, which is the same at every input size, so they are
-kept as arrays in memory and not in files of one machine.
+symbol (five bytes, on a grid that the anchor lays, where five divides `least`) of each document, from the right, at the place that the symbols before it give, by
+sequential passes that read the old streams and write the new ones, in files of the shared folder. Where the common prefix
+is `least` or more, passages are equal, and the smallest id of each run of equal ones goes back to the blocks.
 
 Null texts are empty. Rows with a null id lose nothing and take nothing away. Of repeated rows with one id none takes
 from another. An empty table gives no rows.
@@ -22,23 +19,27 @@ from another. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASKS, ask, batch_of, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
 from .exchange import Keyed, exchange, keyed, levels, parts_of, slim
-from .scratch import stored
+from .scratch import shared_dir, stored
 
 #: Bytes of a passage that is removed, and of its anchor.
 LEAST, ANCHOR = 50, 20
 #: From so many occurrences of a context on, its passages go to buckets of their own hash.
 HOT = 1000
-#: Stretches of an index: a bucket's stretches are cut by their anchors' hash into about such parts.
-PART = 4096
+#: Suffixes of a chunk of an index's streams, and bytes of a symbol at most.
+PIECE, WIDEST = 1 << 16, 5
 #: Places that are hashed at once.
 CHUNK = 1 << 17
 
@@ -126,9 +127,9 @@ class Block:
             before = np.clip(border, 0, size)
             top = len(context) - 1
             left, right = context[np.clip(anchor - self.wide, 0, top)], ~context[np.minimum(anchor, top)]
-            found.append((start + at, size, before, border & 1, h[anchor], left, right))
+            found.append((start + at, size, before, border % symbol_width(least), h[anchor], left, right))
         self.run_start, self.run_len, self.run_before, self.grid, self.run_hash, self.left, self.right = (np.concatenate(x) for x in zip(*found))
-        # grid: whether the run begins an odd number of bytes from its anchor's left context
+        # grid: how many bytes behind a symbol's beginning the run begins, where its anchor lays the symbols
         self.has_left, self.has_right = self.run_before > 0, self.run_before < self.run_len
 
     def docs(self, places: np.ndarray) -> np.ndarray:
@@ -203,7 +204,7 @@ class Stretches:
         end = np.where(right == 1, block.run_len, block.run_before)
         warm = np.flatnonzero(end > begin)
         start, size, key = (block.run_start + begin)[warm], (end - begin)[warm] + block.least - 1, block.run_hash[warm]
-        phase = (block.grid ^ begin)[warm] & 1
+        phase = (block.grid - begin)[warm] % symbol_width(block.least)
         first = np.concatenate([block.run_start[left == 2], (block.run_start + block.run_before)[right == 2]])
         n = np.concatenate([block.run_before[left == 2], (block.run_len - block.run_before)[right == 2]])
         if len(first):  # hot ones, one by one, by their own hash
@@ -283,71 +284,146 @@ class Passages:
         return [pack(lows[np.repeat(offset[of], n[of]) + _steps(n[of])]) for of in self.of]
 
 
+class Streams:
+    """Chunks of a bwt, its common prefixes and owners in one file, written and read from beginning to end. The file of the round
+    before goes once the next one is written."""
+
+    def __init__(self, folder: str):
+        self.store, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.store.create_dir(self.folder)
+        self.number = 0
+
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/{number}"
+
+    def write(self, chunks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """chunks may come from the file that there is."""
+        with self.store.open_output_stream(self._path(self.number + 1), buffer_size=0) as f:
+            for chunk in chunks:
+                f.write(struct.pack("<q", len(chunk[0])) + b"".join([x.tobytes() for x in chunk]))
+        if self.number:
+            self.store.delete_file(self._path(self.number))
+        self.number += 1
+
+    def read(self, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        with self.store.open_input_stream(self._path(self.number), buffer_size=0) as f:
+            while head := f.read(8):
+                (n,) = struct.unpack("<q", head)
+                data = f.read(n * (kind.itemsize + 5))
+                yield np.frombuffer(data, kind, n), np.frombuffer(data, np.uint8, n, n * kind.itemsize), np.frombuffer(data[n * (kind.itemsize + 1) :], np.int32, n)
+
+    def drop(self) -> None:
+        self.store.delete_dir(self.folder)
+
+
 class ColumnIndex:
     """Burrows-Wheeler transform and common prefixes of a collection of byte strings, one column a round.
 
     Streams, in the order of the suffixes so far: bwt (the symbol before the suffix, plus one; 0 at a string's
-    start), lcp (common prefix with the suffix before it), of and at (its string and place). Ends come first and differ."""
+    start), lcp (common prefix with the suffix before it), own (its string, and in the low byte its place). Ends come
+    first and differ. A round passes over the streams' file once to find where the strings' next suffixes go, by the number of
+    each symbol that came before and the smallest common prefix since its last place, and once more to write them there. What
+    it keeps in memory is a chunk, some numbers a symbol, and some numbers a string."""
 
-    def __init__(self, strings: np.ndarray, sizes: np.ndarray):
-        """strings: one padded row of symbols each, aligned to the right; unsigned numbers below the type's largest
-        (UTF-8 has no byte 255)."""
+    def __init__(self, strings: np.ndarray, sizes: np.ndarray, folder: str):
+        """strings: one padded row of symbols each, aligned to the right; whole numbers from zero on."""
         m, wide = strings.shape
-        symbols = strings + strings.dtype.type(1)
-        kind = symbols.dtype
-        here = np.arange(m)
-        self.bwt = np.where(sizes > 0, symbols[:, -1], 0).astype(kind)
-        self.lcp = np.zeros(m, dtype=np.uint8)
-        self.own = (np.arange(m) << 8 | sizes).astype(np.int32)
-        place, self.m = here.copy(), m  # place: of each unfinished string's longest suffix so far
+        symbols = strings.astype(np.uint32) + np.uint32(1)
+        self.kind, self.streams, self.m = symbols.dtype, Streams(folder), m
+        before = np.where(sizes > 0, symbols[:, -1], 0).astype(self.kind)
+        own = (np.arange(m) << 8 | sizes).astype(np.int32)
+        self.have = np.bincount(before, minlength=int(symbols.max(initial=0)) + 1)  # of each symbol in the bwt
+        self.streams.write((before[a : a + PIECE], np.zeros(len(before[a : a + PIECE]), np.uint8), own[a : a + PIECE]) for a in range(0, m, PIECE))
+        here, place = np.arange(m), np.arange(m)  # unfinished strings by the place of their longest suffix so far
         for column in range(1, wide + 1):
-            here = here[sizes[here] >= column]
+            on = sizes[here] >= column
+            here, place = here[on], place[on]
             if not len(here):
                 break
-            before = np.where(sizes > column, symbols[:, wide - column - 1], 0).astype(kind) if column < wide else np.zeros(m, kind)
-            place = self._insert(here, place, before, sizes, column)
-
-    def _insert(self, here: np.ndarray, place: np.ndarray, before: np.ndarray, sizes: np.ndarray, column: int) -> np.ndarray:
-        bwt, n = self.bwt, len(self.bwt)
-        order = np.argsort(bwt, kind="stable")
-        # the ranks of the newest symbols: they are marked, and found again in sorted order
-        newest = np.zeros(n, dtype=bool)
-        newest[place[here]] = True
-        string = np.empty(n, dtype=np.int32)
-        string[place[here]] = here
-        own = np.flatnonzero(newest[order])
-        here = string[order[own]].astype(np.int64)
-        before = before[here]
-        started = int(np.count_nonzero(bwt == 0))
-        to = self.m + own - started  # where the symbols before a suffix put the suffix that starts with its own
-        now = order[own]
-        symbol = bwt[now]
-        # neighbours that start with the same symbol: its occurrences before and after
-        previous, following = order[np.maximum(own - 1, 0)], order[np.minimum(own + 1, n - 1)]
-        same_low = (own > 0) & (bwt[previous] == symbol)
-        same_high = (own < n - 1) & (bwt[following] == symbol)
-        with_low, with_high = np.zeros(len(to), np.uint8), np.zeros(len(to), np.uint8)
-        least = _range_least(self.lcp, np.concatenate([previous[same_low], now[same_high]]) + 1, np.concatenate([now[same_low], following[same_high]]) + 1)
-        cut = int(same_low.sum())
-        with_low[same_low], with_high[same_high] = least[:cut] + 1, least[cut:] + 1
-        size = n + len(to)
-        old = np.ones(size, dtype=bool)
-        old[to] = False
-
-        def merged(stream: np.ndarray, new: np.ndarray) -> np.ndarray:
-            out = np.empty(size, dtype=stream.dtype)
-            out[old] = stream
-            out[to] = new
-            return out
-
-        self.bwt, self.lcp = merged(bwt, before), merged(self.lcp, with_low)
-        self.own = merged(self.own, (here << 8 | sizes[here] - column).astype(np.int32))
-        after = to + 1  # an old suffix behind a new one now has that one before it
-        fix = after < size
-        fix[fix] = old[after[fix]]
-        self.lcp[after[fix]] = with_high[fix]
-        place[here] = to
-        return place
+            symbol = symbols[here, wide - column]
+            before = np.where(sizes[here] > column, symbols[here, wide - column - 1], 0).astype(self.kind) if column < wide else np.zeros(len(here), self.kind)
+            here, place = self._insert(here, place, symbol, before, (here << 8 | sizes[here] - column).astype(np.int32))
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return self.streams.read(self.kind)
+
+    def _places(self, place: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of strings by place: how often their symbol stands before, and the common prefix of the suffixes that begin with it
+        there and at its place before, and at its place behind; 0 where there is none."""
+        rank, low, high = np.zeros(len(place), np.int64), np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint8)
+        seen = np.zeros(len(self.have), dtype=np.int64)
+        least = np.full(len(self.have), 255, dtype=np.uint8)  # since each symbol's last place
+        waits = np.full(len(self.have), -1, dtype=np.int32)  # the string whose new suffix stood there, if one did
+        start = 0
+        for bwt, lcp, _ in self.chunks():
+            n = len(bwt)
+            mine = np.arange(*np.searchsorted(place, [start, start + n]))
+            both = bwt.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+            both.sort()  # by symbol, then place; sorts faster than an order
+            order, inside = (both & np.uint64(0xFFFFFFFF)).astype(np.int32), (both >> np.uint64(32)).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+            kinds, ends = inside[first], np.append(first[1:], n)
+            upto = np.minimum.accumulate(lcp)
+            # symbols' first places here end what waited for them
+            told = waits[kinds] >= 0
+            high[waits[kinds[told]]] = np.minimum(least[kinds[told]], upto[order[first[told]]]) + 1
+            now, mark = place[mine] - start, symbol[mine]
+            own = np.searchsorted(both, mark.astype(np.uint64) << np.uint64(32) | now.astype(np.uint64))
+            group = np.searchsorted(kinds, mark)
+            rank[mine] = seen[mark] + own - first[group]
+            early = own > first[group]
+            late = own < ends[group] - 1
+            ranges = _range_least(lcp, np.concatenate([order[own[early] - 1], now[late]]) + 1, np.concatenate([now[early], order[own[late] + 1]]) + 1)
+            cut = int(early.sum())
+            low[mine[early]], high[mine[late]] = ranges[:cut] + 1, ranges[cut:] + 1
+            late = ~early & (seen[mark] > 0)  # the place before lies in an earlier chunk
+            low[mine[late]] = np.minimum(least[mark[late]], upto[now[late]]) + 1
+            # what the next chunk needs
+            last = order[ends - 1]
+            rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1][1:], 255).astype(np.uint8)
+            np.minimum(least, upto[-1], out=least)
+            least[kinds] = rest[last]
+            newest = np.full(n, -1, dtype=np.int32)
+            newest[now] = mine
+            waits[kinds] = newest[last]
+            seen[kinds] += ends - first
+            start += n
+        return rank, low, high
+
+    def _insert(self, here: np.ndarray, place: np.ndarray, symbol: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank, low, high = self._places(place, symbol)
+        smaller = np.cumsum(self.have) - self.have - self.have[0]  # symbols below each, without the strings' starts
+        to = self.m + smaller[symbol] + rank
+        order = np.argsort(to)
+        here, to, before, low, high, own = here[order], to[order], before[order], low[order], high[order], own[order]
+        old = to - np.arange(len(to))  # the old suffix that each goes before
+        self.streams.write(self._merged(old, before, low, high, own))
+        self.have += np.bincount(before, minlength=len(self.have))
+        return here, to
+
+    def _merged(self, old: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The streams with the new suffixes; an old one behind a new one has its common prefix with that one now."""
+        start, held = 0, []
+        for bwt, lcp, owns in self.chunks():
+            n = len(bwt)
+            a, b = np.searchsorted(old, [start, start + n])
+            at = old[a:b] - start
+            lcp = lcp.copy()
+            lcp[at] = high[a:b]  # of several before one old suffix the last counts
+            to = at + np.arange(b - a)
+            kept = np.ones(n + b - a, dtype=bool)
+            kept[to] = False
+            made = []
+            for x, y in zip((bwt, lcp, owns), (before[a:b], low[a:b], own[a:b])):
+                out = np.empty(n + b - a, dtype=x.dtype)
+                out[kept], out[to] = x, y
+                made.append(out)
+            start += n
+            for c in range(0, len(made[0]), PIECE) if len(made[0]) > 2 * PIECE else (None,):
+                yield tuple(x[c : c + PIECE] if c is not None else x for x in made)
+        rest = np.searchsorted(old, start)
+        if rest < len(old):
+            yield before[rest:], low[rest:], own[rest:]
 
 
 def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -366,11 +442,16 @@ def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def passage_lows(strings: list[bytes], low: np.ndarray, least: int, phase: np.ndarray | None = None) -> np.ndarray:
+def symbol_width(least: int) -> int:
+    """Bytes of a symbol: the largest number up to WIDEST that divides a passage's."""
+    return max(w for w in range(1, WIDEST + 1) if least % w == 0)
+
+
+def passage_lows(strings: list[bytes], low: np.ndarray, least: int, phase: np.ndarray | None, folder: str) -> np.ndarray:
     """For every passage of distinct strings, on end: the smallest `low` of the strings that have it.
 
-    Given phases and an even `least`, symbols are two bytes: passages that start at places of the string's phase,
-    odd or even, are indexed on their grid, the others on the other one. Equal passages must lie alike on the grids.
+    Given phases, symbols are symbol_width(least) bytes, numbered in their order: passages are indexed by the grid that they start on,
+    one grid after the other. Equal passages must lie alike on the grids. Without phases a symbol is a byte.
     """
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
@@ -378,38 +459,57 @@ def passage_lows(strings: list[bytes], low: np.ndarray, least: int, phase: np.nd
     passages = sizes - least + 1
     offset = np.cumsum(passages) - passages
     out = np.empty(int(passages.sum()), dtype=np.int64)
-    width = 1 if phase is None or least % 2 else 2
+    width = 1 if phase is None else symbol_width(least)
     for grid in range(width):
-        skip = (phase ^ grid).astype(np.int64) if width == 2 else np.zeros(len(sizes), np.int64)
+        skip = (phase - grid) % width if width > 1 else np.zeros(len(sizes), np.int64)
         n = np.maximum(passages - skip + width - 1, 0) // width  # passages on this grid
         at = np.flatnonzero(n)
         if not len(at):
             continue
         symbols = n[at] + least // width - 1
         wide = int(symbols.max())
-        rows = np.zeros((len(at), wide * width), dtype=np.uint8)
-        used = symbols * width
-        rows[np.arange(wide * width)[None, :] >= (wide * width - used)[:, None]] = flat[np.repeat((begin + skip)[at], used) + _steps(used)]
-        index = ColumnIndex(rows if width == 1 else rows.view(np.uint16), symbols)
-        first = np.flatnonzero(index.lcp < least // width)
-        of, place = index.own >> 8, index.own & 255
-        run = np.repeat(np.minimum.reduceat(low[at][of], first), np.diff(np.append(first, len(of))))
-        mine = symbols[of] - place >= least // width
-        out[(offset + skip)[at][of[mine]] + place[mine] * width] = run[mine]
+        first = np.repeat((begin + skip)[at], symbols) + _steps(symbols) * width
+        value = flat[first].astype(np.uint64)
+        for i in range(1, width):
+            value = value << np.uint64(8) | flat[first + i]
+        rows = np.zeros((len(at), wide), dtype=np.uint32)
+        rows[np.arange(wide)[None, :] >= (wide - symbols)[:, None]] = np.unique(value, return_inverse=True)[1]
+        index = ColumnIndex(rows, symbols, f"{folder}/{grid}")
+        runs: list[np.ndarray] = [np.zeros(0, np.int64)]  # the smallest of each run of equal passages, in order
+        for _, lcp, own in index.chunks():
+            lows = low[at][own >> 8]
+            first = np.flatnonzero(lcp < least // width)
+            if len(runs) > 1 and (not len(first) or first[0]):  # the last run goes on
+                runs[-1][-1] = min(int(runs[-1][-1]), int(lows[: first[0] if len(first) else len(lows)].min()))
+            if len(first):
+                runs.append(np.minimum.reduceat(lows, first))
+        lowest, run = np.concatenate(runs), -1
+        for _, lcp, own in index.chunks():
+            of, place = own >> 8, own & 255
+            number = run + np.cumsum(lcp < least // width)
+            run = int(number[-1])
+            mine = symbols[of] - place >= least // width
+            out[(offset + skip)[at][of[mine]] + place[mine] * width] = lowest[number[mine]]
+        index.streams.drop()
     return out
 
 
-def _lows(question: Passages) -> tuple[bytes, None, list[int]]:
-    passages, offset = question.places()
-    found = np.empty(int(passages.sum()), dtype=np.int64)
-    parts = -(-len(passages) // PART)
-    part = (_mix(question.key) % np.uint64(parts)).astype(np.int64)  # equal passages have equal keys, so they stay together
-    for p in range(parts):
-        at = np.flatnonzero(part == p)
+def _lows(folder: str):
+    def run(question: Passages) -> tuple[bytes, None, list[int]]:
+        task = TaskContext.get()
+        own = f"{folder}/{task.partitionId() if task else 0}-{uuid.uuid4().hex}"  # another attempt has files of its own
+        passages, offset = question.places()
+        found = np.repeat(question.low, passages)
+        # equal passages have equal keys: a stretch that is alone with its key shares none, but with its own copies
+        key = question.key
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        at = np.flatnonzero(same[1:] | same[:-1])
         if len(at):
             to = np.repeat(offset[at], passages[at]) + _steps(passages[at])
-            found[to] = passage_lows([question.texts[i] for i in at], question.low[at], question.least, question.phase[at].astype(np.int64))
-    return pack(found), None, []
+            found[to] = passage_lows([question.texts[i] for i in at.tolist()], question.low[at], question.least, question.phase[at].astype(np.int64), own)
+        return pack(found), None, []
+
+    return run
 
 
 def removed(sizes: np.ndarray, ids: np.ndarray, answers: pa.Table, least: int) -> np.ndarray:
@@ -454,7 +554,7 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
         return pa.Table.from_batches([batch_of([*((block, b, q) for b, q in stretches.questions(levels(buckets)[0])), (block, -1, stretches.note())])])
 
     asked = stored(with_answers(blocks, shared, second, ASKS), "stretches")
-    found, _ = exchange(asked.where("bucket >= 0"), n, buckets, lambda d: Passages(d, least), _lows, "passages")
+    found, _ = exchange(asked.where("bucket >= 0"), n, buckets, lambda d: Passages(d, least), _lows(f"{shared_dir(docs.sparkSession)}/wavedeck/streams-{uuid.uuid4().hex}"), "passages")
     lows = found.unionByName(asked.where("bucket < 0"))
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
