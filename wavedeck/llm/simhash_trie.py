@@ -28,14 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import delta, pack, undelta, unpack
+from .blocks import delta, pack, release, undelta, unpack
 from .components import connected_components
 from .scratch import release_shuffles, stored
 
 #: Fingerprints of one key that meet in one task.
 TILE = 2048
 #: Texts, about, whose repeated shingles are counted to find rare ones, and the most of these shingles.
-SAMPLE, MOST_COMMON = 20_000, 200_000
+SAMPLE, MOST_COMMON = 40_000, 500_000
+#: Texts whose shingles are held at once.
+TEXTS = 512
 #: Documents of a shingle that all meet at once.
 FEW = 32
 #: Ids up to which a set of them is sent to where the texts lie; beyond, texts and ids meet by a shuffle.
@@ -280,13 +282,14 @@ def _common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     on them, not what it finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [_shingles(t.as_py(), n) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["token"])
+        release()
 
     part = max(1, texts.count() // SAMPLE)
     tokens = texts.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("text").mapInArrow(run, "token long")
-    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
     common, counts = (found.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(common)
     return common[order], counts[order]
@@ -303,7 +306,7 @@ def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value[0]
-        for batch in batches:
+        for batch in _slices(batches):
             ids, rows = batch.column(0).to_numpy(), []
             for i, text in zip(ids, batch.column(1)):
                 own = _shingles(text.as_py(), n)
@@ -312,6 +315,7 @@ def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, D
                 rows.append((first, np.full(len(first), i), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32), sure))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos", "sure"])
+        release()
 
     every = texts.select("id", "text").mapInArrow(run, "token long, id long, size int, pos int, sure boolean")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -374,6 +378,12 @@ def _paired(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _steps(n: np.ndarray) -> np.ndarray:
     """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -408,7 +418,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Dat
     """The pairs (a, b) whose texts' shingles are at `similarity`; texts: (id, text), of which an id's rows together are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(_shingles(t.as_py(), n)) for t in batch.column(1)], pa.binary())], ["id", "shingles"])
 
     ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
@@ -416,7 +426,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Dat
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 (x,), (y,) = unpack(x.as_py()), unpack(y.as_py())
@@ -463,9 +473,10 @@ def _marked(texts: DataFrame, n: int) -> DataFrame:
     """texts(id, text) -> id, sha (of the text), fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             fps = np.array([fingerprint(t.as_py(), n) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["id", "sha", "fp"])
+        release()
 
     return texts.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).mapInArrow(run, "id long, sha binary, fp long")
 
