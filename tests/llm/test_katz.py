@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavedeck.llm import blocks, exchange
+from wavedeck.llm import blocks, exchange, katz
 from wavedeck.llm.katz import BEGIN, K, discounts, gram_keys, ngram_tables, score_documents, token_hash
 from wavedeck.llm.queries import op2_katz_backoff
 
@@ -72,7 +72,7 @@ def held(i):
 
 @pytest.mark.parametrize("block,bucket,fan", [(16 << 20, 4 << 20, 256), (20_000, 5_000, 256), (20_000, 5_000, 4)])
 def test_scores_are_brute_force(spark, sf_dir, documents, monkeypatch, block, bucket, fan):
-    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (block, blocks.make_blocks.__defaults__[1]))
+    monkeypatch.setattr(katz, "TEXT_BYTES", block)
     monkeypatch.setattr(blocks.bucket_count, "__defaults__", (bucket,))
     monkeypatch.setattr(exchange, "FAN", fan)
     rows = documents.collect()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir
+from .scratch import kept, shared_dir
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -77,7 +77,9 @@ def make_blocks(rows: DataFrame, text: int, name: str, block_bytes: int = BLOCK_
     known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files read; far too large where unknown
     buckets = min(MOST_BUCKETS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), known // (16 * BLOCK_BYTES) if known < 1 << 60 else 0))
     made = rows.mapInArrow(run, "block long, size long, rows binary")
-    made.write.bucketBy(buckets, "block").option("compression", "none").option("path", f"{shared_dir(spark)}/wavedeck/{table}").format("parquet").saveAsTable(table)
+    path = f"{shared_dir(spark)}/wavedeck/{table}"
+    kept(path, table)
+    made.write.bucketBy(buckets, "block").option("compression", "none").option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

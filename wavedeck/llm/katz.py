@@ -44,6 +44,8 @@ from .scratch import stored
 ORDER, K, ADDED = 3, 5, 0.1
 #: From so many tokens on an n-gram must occur so often to be in the model.
 LONG, LEAST = 3, 2
+#: Bytes of text in a block: its n-grams of all orders are in memory at once.
+TEXT_BYTES = 11 << 20
 #: Numbers that are summed of a history.
 SUMS = 2 * (K + 1) + 1
 #: The hash that stands for the beginning of a text.
@@ -357,7 +359,7 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
         raise ValueError("an order is from 2 to 7")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_0"), F.col(text_col).alias("_1"), (F.col(id_col).isNotNull() & F.coalesce(teaches, F.lit(False))).alias("_2"))
-    blocks = make_blocks(rows, 1, "ngrams", shape=_tokenised)
+    blocks = make_blocks(rows, 1, "ngrams", TEXT_BYTES, _tokenised)
     n, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
     buckets = bucket_count(blocks)
     ranges, several = levels(buckets)[0], len(levels(buckets)) > 1

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: What this process has written: paths, and tables of the catalog.
+_PATHS: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +32,27 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     executor costs no more than the tasks that read the files."""
     path = f"{shared_dir(df.sparkSession)}/wavedeck/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _PATHS.append(path)
     df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def kept(path: str, table: str | None = None) -> None:
+    """Note what drop_scratch() is to remove."""
+    _PATHS.append(path)
+    if table:
+        _TABLES.append(table)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediates of all operators so far. Their results read them, so write the results first."""
+    while _TABLES:
+        spark.sql(f"drop table if exists {_TABLES.pop()}")
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps whose results are written. It does when the driver collects what
     refers to them, which may be long after an operator with many steps has filled the disks."""
