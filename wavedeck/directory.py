@@ -46,6 +46,7 @@ class Directory:
     def __init__(self, spark: SparkSession, path: str):
         tables.register(spark)
         self.spark = spark
+        path = files.qualified(spark, path)
         store, at = files.filesystem(path)
         if store.get_file_info(at).type.name == "NotFound":
             raise DataPathNotFound(path)

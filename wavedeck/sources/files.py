@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import InputPartition, WriterCommitMessage
 
 
@@ -14,6 +15,12 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme in the session's default store, as Spark's own readers take it."""
+    store = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if "://" in path or path.startswith("file:") or store.startswith("file:") else f"{store.rstrip('/')}/{path.lstrip('/')}"
+
+
 def files(path: str, ending: str = "") -> list[tuple[str, int]]:
     """(path, size) of a file, or of the files in a folder, by name."""
     store, at = filesystem(path)
