@@ -1,3 +1,5 @@
+import contextlib
+import io
 import struct
 import zipfile
 
@@ -212,7 +214,9 @@ def test_paths_and_cli(spark, path, tmp_path, capsys, monkeypatch):
     assert cli.main(["assets", "Q9ZZZ"], spark) == 1 and cli.main(["trace-lookup", "K0AB"], spark) == 0 and "posting_start" in capsys.readouterr().out
     assert cli.main(["hci-dump", "0"], spark) == 0 and "K0AB" in capsys.readouterr().out and cli.main(["hci-dump", "99"], spark) == 1
     assert cli.main(["sidecar-stats"], spark) == 0 and "world  1  2" in capsys.readouterr().out
-    assert cli.main(["--raw", "lookup", "K0AB"], spark) == 0 and "K0AB:2015" in capsys.readouterr().out
+    with contextlib.redirect_stdout(io.TextIOWrapper(io.BytesIO())) as said:
+        assert cli.main(["--raw", "lookup", "K0AB"], spark) == 0
+        assert b"\xb5K0AB:2015" in said.buffer.getvalue()
     assert cli.main(["--tags", "--interests", "--unknown-samples", "1", "stats"], spark) == 0
     told = capsys.readouterr().out
     assert "9999  1  1  0  K0AB" in told and "d5  2  1  1" in told
