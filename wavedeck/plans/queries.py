@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import country, layers, lookup, merge, profile, rangejoin, statistics, tally
+from ..operators import country, layers, lookup, merge, profile, statistics, tally
 from . import adapters
 from .adapters import MARKETED, YEARS, oracle, view
 
