@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from wavedeck.llm import blocks, exchange, suffix_dedup
+from wavedeck.llm import blocks, exchange, scratch, suffix_dedup
 from wavedeck.llm.queries import op5_suffix_dedup
 from wavedeck.llm.suffix_dedup import ColumnIndex, dedup_passages, passage_lows
 
@@ -100,3 +100,14 @@ def test_characters_that_a_cut_splits(spark):
     assert expected[2].decode(errors="replace") != expected[2].decode(errors="ignore")
     assert {r.doc_id: bytes(r.kept) for r in dedup_passages(df).collect()} == expected
     assert {r.doc_id: r.kept for r in dedup_passages(df, as_text=True).collect()} == {i: k.decode(errors="ignore") for i, k in expected.items()}
+
+
+@pytest.mark.parametrize("fan", [256, 4])
+def test_questions_are_not_kept_on_disk(spark, documents, monkeypatch, fan):
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(blocks.make_blocks, "__defaults__", (30_000, blocks.make_blocks.__defaults__[1]))
+    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (7_000,))
+    before = len(scratch._PATHS)
+    assert dedup_passages(documents).count() == documents.count()
+    written = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._PATHS[before:]]
+    assert [w for w in written if not w.startswith("wavedeck_texts")] == ["anchors", "passages"]

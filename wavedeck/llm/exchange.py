@@ -4,7 +4,8 @@ A block has one packed question about its distinct keys. If it sent each bucket
 blocks times buckets. Here it sends at most FAN messages, by the top ranges of the keys' hash. A node takes the same
 range from about FAN blocks, merges what they ask (a key that many of them have goes on once, with its numbers
 summed) and again sends at most FAN messages, by finer ranges, and so on until a range is one bucket's. Answers go back
-along the same nodes, which know who asked what. So messages and bytes are in proportion to the input, with one
+along the same nodes, whose notes say who asked what: the notes travel with the messages to where the answers are stored, so
+that no question is kept on disk for its way back. So messages and bytes are in proportion to the input, with one
 more level each time it grows by FAN; a bucket hears of a key at most FAN times however many blocks have it.
 With FAN buckets or fewer there is one level: blocks and buckets.
 """
@@ -32,8 +33,12 @@ class Question(Protocol):
     def parts(self, ranges: int) -> Iterator[tuple[int, bytes]]:
         """Itself as messages, by the range of the keys, in order."""
 
-    def back(self, answers: list[bytes]) -> list[bytes]:
-        """From the answers to those messages in order: each child's answer."""
+    def notes(self) -> list[list[np.ndarray]]:
+        """Per child what its answer takes, as many arrays of each."""
+
+    @staticmethod
+    def answered(note: list[np.ndarray], told: list[np.ndarray]) -> bytes:
+        """A child's answer, from its note and what the answers to those messages say, on end."""
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -91,15 +96,17 @@ class Keyed:
     def parts(self, ranges: int) -> Iterator[tuple[int, bytes]]:
         return keyed(self.keys, self.numbers, ranges)
 
-    def back(self, answers: list[bytes]) -> list[bytes]:
-        told = [np.concatenate(x) for x in zip(*map(unpack, answers))]
-        out = []
-        for k, of in enumerate(self.of):
-            mine = [x[of] for x in told]
-            if self.owned:
-                mine[-1] = mine[-1] & self.mine[k]
-            out.append(pack(*map(slim, mine)))
-        return out
+    def notes(self) -> list[list[np.ndarray]]:
+        steps = [slim(delta(of)) for of in self.of]  # a child's keys are sorted
+        return [[s, m] for s, m in zip(steps, self.mine)] if self.owned else [[s] for s in steps]
+
+    @staticmethod
+    def answered(note: list[np.ndarray], told: list[np.ndarray]) -> bytes:
+        of = undelta(note[0].astype(np.int64))
+        mine = [x[of] for x in told]
+        if len(note) > 1:
+            mine[-1] = mine[-1] & note[1]
+        return pack(*map(slim, mine))
 
 
 def levels(buckets: int) -> list[int]:
@@ -113,55 +120,77 @@ def levels(buckets: int) -> list[int]:
     return [fan ** (k + 1) for k in range(n)]
 
 
-def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[bytes]], Question], answer: Callable[[Question], tuple[bytes, bytes | None, list[int]]], name: str) -> tuple[DataFrame, DataFrame]:
+def _joined(answers: list[bytes]) -> list[np.ndarray]:
+    """What several answers say, on end."""
+    return [np.concatenate(x) for x in zip(*map(unpack, answers))]
+
+
+def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[bytes]], Question], answer: Callable[[Question], tuple[bytes, bytes | None, list[int]]], name: str, answered: Callable[[list[np.ndarray], list[np.ndarray]], bytes] = Keyed.answered) -> tuple[DataFrame, DataFrame]:
     """asks(block, bucket, data): each block's messages by levels(buckets)[0] ranges. answer(all questions to a bucket)
-    gives the packed answer to the merged question, the bucket's table (or None) and figures that add up.
+    gives the packed answer to the merged question, the bucket's table (or None) and figures that add up. A message to
+    bucket -1 is the block's note to itself. answered: that of the questions' class.
 
-    Returns the answers, (block, bucket, data) as asked, and the tables, (bucket, data, figures), which are stored by
-    part of the hash range."""
+    Returns the answers, (block, bucket, data) as asked, with the blocks' notes, and the tables, (bucket, data, figures), which
+    are stored by part of the hash range."""
     sizes = levels(buckets)
-    nodes, asked = blocks, []
+    nodes = blocks
+    # notes are passed on by whose they are: -1 the blocks' own, from -2 on those of the nodes of each level
+    key = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.col("block"))
 
     def of(table: pa.Table) -> Question:
         return merge(table.column("data").to_pylist())
 
-    def up(ranges: int):
+    def up(level: int, ranges: int):
         def run(table: pa.Table) -> pa.Table:
+            if table.column("key")[0].as_py() < 0:
+                return table.select(["block", "bucket", "data"])
+            table = table.sort_by("block")
             me = table.column("node")[0].as_py() << 32 | table.column("bucket")[0].as_py()
-            out = [(me, r, d) for r, d in of(table.sort_by("block")).parts(ranges)]
+            question = of(table)
+            out = [(me, r, d) for r, d in question.parts(ranges)]
+            out.append((me, -2 - level, pack(table.column("block").to_numpy(), *(x for note in question.notes() for x in note))))
             release()
             return pa.Table.from_batches([batch_of(out)])
 
         return run
 
-    for ranges, finer in zip(sizes, sizes[1:]):
+    for level, (ranges, finer) in enumerate(zip(sizes, sizes[1:])):
         nodes = -(-nodes // (finer // ranges))
-        asked.append(stored(asks.withColumn("node", F.pmod(F.xxhash64("block"), F.lit(nodes))), f"{name}-asks"))
-        asks = asked[-1].groupBy("node", "bucket").applyInArrow(up(finer), ASKS)
+        dealt = asks.withColumn("node", F.pmod(F.xxhash64("block"), F.lit(nodes))).withColumn("key", key)
+        asks = dealt.groupBy("node", "key").applyInArrow(up(level, finer), ASKS)
 
     def last(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        bucket = table.column("bucket")[0].as_py()
-        question = of(table)
-        told, data, figures = answer(question)
-        rows = [(b, bucket, d, "answer", None) for b, d in zip(table.column("block").to_pylist(), question.back([told]))]
-        if data is not None or figures:
-            rows.append((None, bucket, data, f"table-{bucket * 64 // sizes[-1]:02d}", figures))
-        release()
+        if table.column("key")[0].as_py() < 0:
+            rows = [(*x, "answer", None) for x in zip(*(table.column(c).to_pylist() for c in ("block", "bucket", "data")))]
+        else:
+            table = table.sort_by("block")
+            bucket = table.column("bucket")[0].as_py()
+            question = of(table)
+            told, data, figures = answer(question)
+            said = unpack(told)
+            rows = [(b, bucket, answered(note, said), "answer", None) for b, note in zip(table.column("block").to_pylist(), question.notes())]
+            if data is not None or figures:
+                rows.append((None, bucket, data, f"table-{bucket * 64 // sizes[-1]:02d}", figures))
+            release()
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["block", "bucket", "data", "part", "figures"])
 
-    found = stored(asks.groupBy("bucket").applyInArrow(last, "block long, bucket long, data binary, part string, figures array<long>"), name, "part")
+    found = stored(asks.withColumn("key", key).groupBy("key").applyInArrow(last, "block long, bucket long, data binary, part string, figures array<long>"), name, "part")
     release_shuffles(asks.sparkSession)
-    answers = found.where("part = 'answer'").select("block", "bucket", "data")
-
-    def down(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.sort_by("block"), right.sort_by("bucket")
-        out = [(b, left.column("bucket")[0].as_py(), d) for b, d in zip(left.column("block").to_pylist(), of(left).back(right.column("data").to_pylist()))]
+    every = found.where("part = 'answer'").select("block", "bucket", "data")
+
+    def down(table: pa.Table) -> pa.Table:
+        note, *told = table.sort_by("bucket").column("data").to_pylist()
+        me, said = table.column("block")[0].as_py(), _joined(told)
+        children, *notes = unpack(note)
+        each = len(notes) // len(children)
+        out = [(b, me & 0xFFFFFFFF, answered(notes[i * each : (i + 1) * each], said)) for i, b in enumerate(children.tolist())]
         release()
         return pa.Table.from_batches([batch_of(out)])
 
-    for above in reversed(asked):
-        above = above.withColumn("key", F.shiftleft("node", 32).bitwiseOR(F.col("bucket")))
-        answers = above.groupBy("key").cogroup(answers.groupBy("block")).applyInArrow(down, ASKS)
+    answers = every if len(sizes) == 1 else every.where("bucket >= 0")
+    for level in reversed(range(len(sizes) - 1)):
+        answers = answers.unionByName(every.where(F.col("bucket") == -2 - level)).groupBy("block").applyInArrow(down, ASKS)
+    if len(sizes) > 1:
+        answers = answers.unionByName(every.where("bucket = -1"))
     return answers, found.where("part <> 'answer'").select("bucket", "data", "figures")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ASKS, ask, batch_of, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
 from .exchange import Keyed, exchange, keyed, levels, parts_of, slim
-from .scratch import shared_dir, stored
+from .scratch import shared_dir
 
 #: Bytes of a passage that is removed, and of its anchor.
 LEAST, ANCHOR = 50, 20
@@ -278,10 +278,14 @@ class Passages:
         n = self.size.astype(np.int64) - self.least + 1
         return n, np.cumsum(n) - n
 
-    def back(self, answers: list[bytes]) -> list[bytes]:
-        lows = np.concatenate([unpack(a)[0] for a in answers])
+    def notes(self) -> list[list[np.ndarray]]:
         n, offset = self.places()
-        return [pack(lows[np.repeat(offset[of], n[of]) + _steps(n[of])]) for of in self.of]
+        return [[slim(offset[of]), slim(n[of])] for of in self.of]
+
+    @staticmethod
+    def answered(note: list[np.ndarray], told: list[np.ndarray]) -> bytes:
+        offset, n = (x.astype(np.int64) for x in note)
+        return pack(told[0][np.repeat(offset, n) + _steps(n)])
 
 
 class Streams:
@@ -553,9 +557,8 @@ def dedup_passages(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id
         stretches = Stretches(made(table), answers, buckets)
         return pa.Table.from_batches([batch_of([*((block, b, q) for b, q in stretches.questions(levels(buckets)[0])), (block, -1, stretches.note())])])
 
-    asked = stored(with_answers(blocks, shared, second, ASKS), "stretches")
-    found, _ = exchange(asked.where("bucket >= 0"), n, buckets, lambda d: Passages(d, least), _lows(f"{shared_dir(docs.sparkSession)}/wavedeck/streams-{uuid.uuid4().hex}"), "passages")
-    lows = found.unionByName(asked.where("bucket < 0"))
+    asked = with_answers(blocks, shared, second, ASKS)
+    lows, _ = exchange(asked, n, buckets, lambda d: Passages(d, least), _lows(f"{shared_dir(docs.sparkSession)}/wavedeck/streams-{uuid.uuid4().hex}"), "passages", Passages.answered)
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         ids = table.column(0).combine_chunks()
