@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wavedeck.llm import simhash_trie
+from wavedeck.llm import scratch, simhash_trie
 from wavedeck.llm.components import connected_components
 from wavedeck.llm.queries import op10_simhash_trie
 from wavedeck.llm.simhash_trie import near_duplicates, trie_join, without_near_duplicates
@@ -213,3 +213,19 @@ def test_rounds_decide_documents_of_common_shingles(spark, monkeypatch):
     texts = df.select(F.col("doc_id").alias("id"), "text")
     gone = simhash_trie._thinned(*simhash_trie._postings(texts, 5, 0.8), texts, 5, 0.8)
     assert {i for i, _ in rows} - {r.id for r in gone.collect()} == greedy(rows)
+
+
+def test_shingles_that_meet_nothing_are_no_rows(spark):
+    """Documents of words of their own and one passage that all have: most of their shingles are theirs alone."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, " ".join(f"own{k}-{i}" for i in range(100)) + " " + passage) for k in range(60)]
+    before = len(scratch._PATHS)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    pairs, tokens = simhash_trie._postings(texts, 5, 0.8)
+    assert pairs.count() == tokens.count() == 0
+    near = spark.createDataFrame([*rows, (100, rows[7][1] + " more"), (101, ""), (102, " ")], "id long, text string")
+    pairs, tokens = simhash_trie._postings(near, 5, 0.8)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(7, 100), (101, 102)} and tokens.count() == 0
+    assert len(scratch._PATHS) == before + 2  # the postings alone
+    assert {r.doc_id for r in without_near_duplicates(near.withColumnRenamed("id", "doc_id")).collect()} == {r[0] for r in rows} | {101}
+    assert len(scratch._PATHS) == before + 3

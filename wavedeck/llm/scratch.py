@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,8 @@ _FALLBACK: dict[str, str] = {}
 #: What this process has written: paths, and tables of the catalog.
 _PATHS: list[str] = []
 _TABLES: list[str] = []
+#: What the passing() around removes at its end, the innermost last: paths and tables.
+_OWN: ContextVar[tuple[tuple[list[str], list[str]], ...]] = ContextVar("own", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition: str, lasting: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there, so a lost
-    executor costs no more than the tasks that read the files."""
+    executor costs no more than the tasks that read the files. lasting: passing() leaves it to
+    the passing() around, if there is one."""
     path = f"{shared_dir(df.sparkSession)}/wavedeck/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     _PATHS.append(path)
+    if own := _OWN.get()[: -1 if lasting else None]:
+        own[-1][0].append(path)
     df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
@@ -40,8 +48,37 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
 def kept(path: str, table: str | None = None) -> None:
     """Note what drop_scratch() is to remove."""
     _PATHS.append(path)
+    own = _OWN.get()
+    if own:
+        own[-1][0].append(path)
     if table:
         _TABLES.append(table)
+        if own:
+            own[-1][1].append(table)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """At its end, intermediates written meanwhile go, but for lasting ones, and so do finished shuffles. Nothing that is
+    used later may read them."""
+    own: tuple[list[str], list[str]] = [], []
+    token = _OWN.set((*_OWN.get(), own))
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        for table in own[1]:
+            spark.sql(f"drop table if exists {table}")
+            _TABLES.remove(table)
+        for path in own[0]:
+            _delete(spark, path)
+            _PATHS.remove(path)
+        release_shuffles(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -49,8 +86,7 @@ def drop_scratch(spark: SparkSession) -> None:
     while _TABLES:
         spark.sql(f"drop table if exists {_TABLES.pop()}")
     while _PATHS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _PATHS.pop())
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import delta, pack, release, undelta, unpack
+from .blocks import ask, bucket_count, delta, make_blocks, pack, release, undelta, unpack, with_answers
 from .components import connected_components
-from .scratch import release_shuffles, stored
+from .exchange import Keyed, exchange, keyed, levels
+from .scratch import passing, release_shuffles, stored
 
 #: Fingerprints of one key that meet in one task.
 TILE = 2048
-#: Texts, about, whose repeated shingles are counted to find rare ones, and the most of these shingles.
-SAMPLE, MOST_COMMON = 40_000, 500_000
+#: Bytes of text whose shingles are counted at once.
+SHINGLE_BYTES = 8 << 20
 #: Texts whose shingles are held at once.
 TEXTS = 512
 #: Documents of a shingle that all meet at once.
@@ -261,66 +262,67 @@ def grouped(marked: DataFrame, budget: int, id_col: str = "id") -> DataFrame:
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of distinct shingles in one order for all documents (rare ones of the sample first, then by
-    hash), so many that two sets at `similarity` share one of them."""
-    if not len(shingles):
-        return np.zeros(1, dtype=np.int64)  # texts without words are alike
-    weight = np.zeros(len(shingles), dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        weight = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, weight))][: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
-
-
 def _shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array(_hashes(text or "", n), dtype=np.uint64).view(np.int64))
 
 
-def _common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of texts(id, text) repeats, sorted, and their counts: only how fast the join is depends
-    on them, not what it finds."""
+def _keys(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    """As many of the hashes' high bits as tell a bucket's shingles apart. Shingles of one key count as one; what they are
+    compared by are the whole hashes."""
+    bits = np.uint64(64 - min(64, 34 + buckets.bit_length()))
+    return shingles.view(np.uint64) >> bits << bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets = [_shingles(t.as_py(), n) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["token"])
-        release()
 
-    part = max(1, texts.count() // SAMPLE)
-    tokens = texts.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("text").mapInArrow(run, "token long")
-    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
-    common, counts = (found.column(c).to_numpy() for c in ("token", "n"))
-    order = np.argsort(common)
-    return common[order], counts[order]
+def _weights(question: Keyed) -> tuple[bytes, None, list[int]]:
+    """How many texts have each shingle: itself up to 128, beyond that its logarithm."""
+    (n,) = question.numbers
+    return pack(np.where(n <= 128, n, np.minimum(128 + 4 * np.log2(np.maximum(n, 128) / 128), 255)).astype(np.uint8)), None, []
 
 
 def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """texts(id, text) -> by prefix shingles: pairs (a, b), a < b, of the documents of a shingle that FEW or fewer have, and the
     rows (token, id, size, pos) of the others.
 
-    Rows meet by shingle, except that those of a shingle which the sample repeats aren't paired there at all, so that one of very
-    many documents isn't one task."""
-    common, counts = _common_shingles(texts, n)
-    sent = texts.sparkSession.sparkContext.broadcast((common, counts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value[0]
-        for batch in _slices(batches):
-            ids, rows = batch.column(0).to_numpy(), []
-            for i, text in zip(ids, batch.column(1)):
-                own = _shingles(text.as_py(), n)
-                first = _prefix(own, *sent.value, similarity)
-                sure = common[np.minimum(np.searchsorted(common, first), len(common) - 1)] == first if len(common) else np.zeros(len(first), bool)
-                rows.append((first, np.full(len(first), i), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32), sure))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos", "sure"])
-        release()
-
-    every = texts.select("id", "text").mapInArrow(run, "token long, id long, size int, pos int, sure boolean")
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = every.repartition(parts, F.when(F.col("sure"), F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token")
-    found = stored(dealt.mapInArrow(_paired(similarity), "a long, b long, token long, size int, pos int"), "postings")
+    A prefix are the first of a document's distinct shingles in one order for all documents, so many that two sets at
+    `similarity` share one of them: by the number of texts that have them, then by hash. All shingles of all texts are counted,
+    through the exchange; those that one text alone has meet nothing and aren't rows. Rows meet by shingle, except that those of a
+    shingle that more than FEW texts have aren't paired there at all, so that one of very many documents isn't one task."""
+    spark = texts.sparkSession
+    with passing(spark):
+        blocks = make_blocks(texts.select("id", "text"), 1, "shingles", SHINGLE_BYTES)
+        buckets, m = bucket_count(blocks), blocks.count()
+        ranges, few = levels(buckets)[0], FEW
+
+        def sets(table: pa.Table) -> list[np.ndarray]:
+            return [_shingles(t.as_py(), n) for t in table.column(1)]
+
+        def counts(_: int, table: pa.Table) -> Iterator[tuple[int, bytes]]:
+            keys, number = np.unique(_keys(np.concatenate([np.zeros(0, np.int64), *sets(table)]), buckets), return_counts=True)
+            return keyed(keys, [number], ranges)
+
+        weights, _ = exchange(ask(blocks, counts), m, buckets, Keyed, _weights, "shingle-counts")
+
+        def prefixes(_: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+            every = sets(table)
+            keys = _keys(np.concatenate([np.zeros(0, np.int64), *every]), buckets)
+            told = np.concatenate([np.zeros(0, np.uint8), *(unpack(d)[0] for d in answers.sort_by("bucket").column("data").to_pylist())])
+            weight = told[np.unique(keys, return_inverse=True)[1]]
+            none = np.zeros(0, np.int64)
+            rows, at = [(none, none, none.astype(np.int32), none.astype(np.int32), none.astype(bool))], 0
+            for i, own in zip(table.column(0).to_pylist(), every):
+                w, at = weight[at : at + len(own)], at + len(own)
+                first = np.lexsort((own, w))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                pos = np.flatnonzero(w[first] > 1).astype(np.int32)
+                token, sure = own[first[pos]], w[first[pos]] > few
+                if not len(own):  # texts without words are alike
+                    token, pos, sure = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, bool)
+                rows.append((token, np.full(len(token), i), np.full(len(token), len(own), np.int32), pos, sure))
+            return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos", "sure"])
+
+        every = with_answers(blocks, weights, prefixes, "token long, id long, size int, pos int, sure boolean")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        dealt = every.repartition(parts, F.when(F.col("sure"), F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token")
+        found = stored(dealt.mapInArrow(_paired(similarity), "a long, b long, token long, size int, pos int"), "postings", lasting=True)
     return found.where("token is null").select("a", "b").distinct(), found.where("token is not null").select("token", F.col("a").alias("id"), "size", "pos")
 
 
@@ -450,6 +452,13 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8
     without an id stay; rows that share an id stay or go together, and go if one of them does. Texts without words are alike. An empty table gives
     no rows.
     """
+    with passing(docs.sparkSession):
+        ids = stored(_near_copies(docs, n, similarity, budget, id_col, text_col), "gone", lasting=True)
+    return _with_ids(docs, ids.withColumnRenamed("id", "_gone"), "left_anti", docs[id_col] == F.col("_gone"))
+
+
+def _near_copies(docs: DataFrame, n: int, similarity: float, budget: int, id_col: str, text_col: str) -> DataFrame:
+    """The ids that go."""
     every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     marked = stored(_marked(every, n), "marked")
     named = marked.select("id", "sha").distinct()
@@ -464,9 +473,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8
     release_shuffles(docs.sparkSession)
     left = _with_ids(every, out, "left_anti")
     later = _thinned(*_postings(left, n, similarity), left, n, similarity)
-    ids = stored(out.unionByName(later).distinct(), "gone")
-    release_shuffles(docs.sparkSession)
-    return _with_ids(docs, ids.withColumnRenamed("id", "_gone"), "left_anti", docs[id_col] == F.col("_gone"))
+    return out.unionByName(later).distinct()
 
 
 def _marked(texts: DataFrame, n: int) -> DataFrame:
