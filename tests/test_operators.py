@@ -226,3 +226,12 @@ def test_counts_between_sentinels(spark):
     asked = spark.createDataFrame([("k0ab",), ("zzzz",)], "call string")
     assert {r.call: r["count"] for r in profile.counts(asked, reach).collect()} == {"k0ab": 7, "zzzz": None}
     assert profile.searchable_slots(slots.where("slot_no > 2")).count() == 3
+
+
+def test_expanded_keys_are_not_broadcast(spark):
+    calls = spark.createDataFrame([("K0AB",), ("W1AW",)], "call string")
+    postings = spark.createDataFrame([("K0AB", 1, 1, 10), ("0AB:1993", 2, 1, 10), ("1AW", 3, 1, 20)], "header_key string, ordinal long, posting_no long, dat_offset long")
+    found = lookup.probe(lookup.expand_keys(calls, [1993]), postings)
+    assert sorted(map(tuple, found.collect())) == [("K0AB", 10, "K0AB", 1), ("W1AW", 20, "1AW", 1)]
+    # a small side is what the planner broadcasts unless told otherwise: the calls' estimate says nothing of their keys
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
