@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavedeck.llm import blocks, exchange, scratch, suffix_dedup
@@ -111,3 +113,17 @@ def test_questions_are_not_kept_on_disk(spark, documents, monkeypatch, fan):
     assert dedup_passages(documents).count() == documents.count()
     written = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._PATHS[before:]]
     assert [w for w in written if not w.startswith("wavedeck_texts")] == ["anchors", "passages"]
+
+
+def test_memory_of_a_block():
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=blocks.BLOCK_BYTES // 8))
+    table = pa.table({"id": pa.array(range(8)), "text": pa.array([text[::-1], *[text] * 7])})
+    tracemalloc.start()
+    try:
+        block = suffix_dedup.Block(table, 0, 1, 50, 20)
+        assert tracemalloc.get_traced_memory()[0] < 5 * blocks.BLOCK_BYTES
+        assert sum(len(q) for _, q in suffix_dedup._questions(block, 204)) > 0
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()

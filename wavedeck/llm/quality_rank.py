@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import release
+
 #: Expected number of labelled rows that the weights are learned from, at most.
 MAX_LABELLED = 20_000
 #: Pairs that each labelled row of the rarer label takes part in, at most.
@@ -126,6 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, cut: float = 0.7,
         for batch in batches:
             x = [features(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+        release()
 
     # at most about `most` small rows: bounded at every input size, also where ids repeat
     rows = rows.groupBy("id", "y").agg(F.count("*").alias("times")).select("id", "y")
@@ -148,5 +151,6 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
         for batch in batches:
             x = np.array([features(t.as_py() or "") for t in batch.column(0)]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.scores(x) if len(x) else np.zeros(0))], [*names, "score"])
+        release()
 
     return docs.select(F.col(text_col).alias("_text"), *names).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "score double"]))

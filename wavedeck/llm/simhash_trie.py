@@ -376,6 +376,7 @@ def _paired(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             held = [x[len(token) - count[last] :] if not over[last] else x[:0] for x in rows]
         if held and len(held[0]):
             yield pairs(held, np.zeros(1, np.int64), np.array([len(held[0])]))
+        release()
 
     return run
 
@@ -422,6 +423,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(_shingles(t.as_py(), n)) for t in batch.column(1)], pa.binary())], ["id", "shingles"])
+        release()
 
     ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
     sets = stored(_with_ids(texts, ids, "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary").distinct(), "shingles")
@@ -437,6 +439,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> Dat
                 keep.append(either == 0 or both / either >= similarity)
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+        release()
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 

@@ -98,8 +98,8 @@ class Block:
         del texts
         self.data = np.frombuffer(self.raw, dtype=np.uint8)
         self.least, self.wide = least, (least - k) // 2
-        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        found: list[tuple[np.ndarray, ...]] = [(*none[:1] * 4, *none[1:] * 3)]
+        none = np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.uint64)
+        found: list[tuple[np.ndarray, ...]] = [(*none[:1], *none[1:2] * 3, *none[2:] * 3)]
         # chunk by chunk, so that the arrays stay in the cache; a run that a chunk's end cuts is two runs
         for at in range(0, len(self.data) - least + 1, CHUNK):
             part = self.data[at : at + CHUNK + least - 1]
@@ -127,8 +127,13 @@ class Block:
             before = np.clip(border, 0, size)
             top = len(context) - 1
             left, right = context[np.clip(anchor - self.wide, 0, top)], ~context[np.minimum(anchor, top)]
-            found.append((start + at, size, before, border % symbol_width(least), h[anchor], left, right))
-        self.run_start, self.run_len, self.run_before, self.grid, self.run_hash, self.left, self.right = (np.concatenate(x) for x in zip(*found))
+            small = (x.astype(np.int16) for x in (size, before, border % symbol_width(least)))  # a run is shorter than a stretch
+            found.append((start + at, *small, h[anchor], left, right))
+        columns = [list(x) for x in zip(*found)]
+        del found
+        for name, i in zip(("run_start", "run_len", "run_before", "grid", "run_hash", "left", "right"), range(len(columns))):
+            setattr(self, name, np.concatenate(columns[i]))
+            columns[i] = []  # a column's parts go once it is whole
         # grid: how many bytes behind a symbol's beginning the run begins, where its anchor lays the symbols
         self.has_left, self.has_right = self.run_before > 0, self.run_before < self.run_len
 
@@ -156,8 +161,10 @@ def _questions(block: Block, buckets: int) -> Iterator[tuple[int, bytes]]:
     places = _place(np.concatenate([block.left[block.has_left], block.right[block.has_right]]), buckets)
     doc = block.ids[block.docs(block.run_start)]
     ids = np.concatenate([doc[block.has_left], doc[block.has_right]])
+    del doc
     order = np.argsort(places, kind="stable")
     places, ids = places[order], ids[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])[: len(places)])
     n = np.diff(np.append(first, len(places)))
     several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
