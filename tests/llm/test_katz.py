@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavedeck.llm import blocks, exchange, katz
+from wavedeck.llm.exchange import ordered
 from wavedeck.llm.katz import BEGIN, K, discounts, gram_keys, ngram_tables, score_documents, token_hash
 from wavedeck.llm.queries import op2_katz_backoff
 
@@ -143,3 +144,29 @@ def test_text_ids(spark):
     df = spark.createDataFrame([("x", "a b"), ("y", "a b c")], "doc_id string, text string")
     got = {r.doc_id: r.n_tokens for r in score_documents(df, F.lit(True))[0].collect()}
     assert got == {"x": 3, "y": 4}
+
+
+def test_histories_that_a_block_sums_itself(spark, monkeypatch):
+    """A history that two blocks have once each isn't asked for, nor stored; one that a third has in a text that doesn't teach is."""
+    monkeypatch.setattr(katz, "TEXT_BYTES", 1)  # a block a row
+    texts = ["a b c", "x a b d", "e f g", "h e f g", "e f", "k l", "k l m", "n k l m"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    taught = [i != 4 for i in range(len(texts))]
+    scored, model = score_documents(df, F.col("doc_id") != 4)
+    expected = brute([(t, on) for t, on in zip(texts, taught)])[0]
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({i: e[3] for i, e in enumerate(expected)}, rel=1e-9)
+
+    def key(*words):
+        return int(gram_keys(np.array([token_hash(w.encode()) for w in words], np.uint64), len(words))[-1][-1].view(np.int64))
+
+    stored = {r.key for r in ngram_tables(model)[1].collect()}
+    assert key("a", "b") not in stored and {key("e", "f"), key("k", "l"), key("a")} <= stored
+
+
+@pytest.mark.parametrize("high", [1 << 8, 1 << 40, (1 << 64) - 1])
+def test_ordered_is_stable(high):
+    keys = np.random.default_rng(1).integers(0, high, 20_000, dtype=np.uint64, endpoint=True)
+    # of two hashes that differ in their last bit alone the greater stands first
+    for x in (keys, np.repeat(keys, 3), np.concatenate([keys | np.uint64(1), keys & ~np.uint64(1)]), keys[:1], keys[:0]):
+        order, inside = ordered(x)
+        assert (order == np.argsort(x, kind="stable")).all() and (inside == np.sort(x)).all()

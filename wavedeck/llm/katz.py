@@ -17,8 +17,9 @@ mass is left (only counts beyond K follow h), the seen ones share c(h) / (c(h) +
 
 n-grams are known by 64-bit hashes. Blocks ask for their own (exchange.py). First, by short hashes, which of their n-grams
 with a cutoff can reach it: most are one block's alone and go no further. Then for the counts of all others. Last
-for sums of their histories, over what the model has after them: of the counts, and of those at the order below. An n-gram is added to its history's sums once, by the block that owns it; histories that one block alone
-has are summed there. Both tables are stored in parts of the hash range; the answers are read from them.
+for sums of their histories, over what the model has after them: of the counts, and of those at the order below. An n-gram is added to its history's sums once, by the block that owns it. A block
+that has so much of a history that the rest can't reach the cutoff has all that the model has after it, and sums that itself; it
+asks only where it has something to add that another may need. Both tables are stored in parts of the hash range; the answers are read from them.
 
 Null and empty texts have the end alone. Rows with a null id are scored, not learned from. Rows may repeat. Without
 training documents every token is the unseen kind and P is 1. An empty table gives no rows.
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASKS, ask, batch_of, bucket_count, delta, make_blocks, pack, undelta, unpack, with_answers
-from .exchange import Keyed, exchange, keyed, levels, slim
+from .exchange import Keyed, exchange, keyed, levels, ordered, slim
 from .scratch import stored
 
 #: Tokens of the longest n-gram, largest count that is discounted, and what is added to words' counts.
@@ -106,8 +107,7 @@ def _tokenised(rows: pa.Table) -> pa.Table:
 
 def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct keys, of each key its place among them, and of each distinct one a place."""
-    order = np.argsort(keys)
-    inside = keys[order]
+    order, inside = ordered(keys)
     new = np.concatenate([[True], inside[1:] != inside[:-1]])[: len(keys)]
     of = np.empty(len(keys), dtype=np.int32)
     of[order] = np.cumsum(new, dtype=np.int32) - 1
@@ -117,9 +117,9 @@ def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Block:
     """A block's distinct n-grams of all orders. Lists by order: keys, sorted; of, each token's n-gram; counts, in training
     texts here; lower, of each n-gram the one without its first token; head, the one without its last, its history; the
-    number behind the last one is a text's beginning."""
+    number behind the last one is a text's beginning. least: n-grams of fewer tokens are left out, and so are lower and head."""
 
-    def __init__(self, rows: pa.Table, order: int):
+    def __init__(self, rows: pa.Table, order: int, least: int = 1):
         lists = rows.column("tokens").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.chunk(0)
@@ -136,11 +136,16 @@ class Block:
         grams = gram_keys(padded, order)
         self.order, self.keys, self.of, self.counts, self.lower, self.head = order, [], [], [], [], []
         for k in range(order):
+            if k + 1 < least:
+                grams[k] = np.zeros(0, np.uint64)
+                for x in (self.keys, self.of, self.counts, self.lower, self.head):
+                    x.append(None)
+                continue
             keys, of, at = _kinds(grams[k][real])
             self.keys.append(keys)
             self.of.append(of)
             self.counts.append(np.bincount(of[teaches], minlength=len(keys)))
-            if k:
+            if k and least == 1:
                 before = self.of[k - 1]
                 self.lower.append(before[at])
                 self.head.append(np.where(first[at], len(self.keys[k - 1]), before[np.maximum(at - 1, 0)]))
@@ -148,7 +153,8 @@ class Block:
                 self.lower.append(None)
                 self.head.append(None)
             grams[k] = None
-        self.end = int(np.searchsorted(self.keys[0], gram_keys(np.array([token_hash(b"")], np.uint64), 1)[0][0]))
+        if least == 1:
+            self.end = int(np.searchsorted(self.keys[0], gram_keys(np.array([token_hash(b"")], np.uint64), 1)[0][0]))
 
     def long(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams with a cutoff: sorted distinct short keys, their counts, and each one's place among them."""
@@ -174,8 +180,7 @@ class Block:
         may = np.split(told[of] if len(keys) else np.zeros(0, bool), cuts) if self.order >= LONG else []
         self.asked = [np.arange(len(x)) for x in self.keys[: LONG - 1]] + [np.flatnonzero(x) for x in may]
         every = np.concatenate([x[at] for x, at in zip(self.keys, self.asked)])
-        self.merge = np.argsort(every, kind="stable")
-        self.sorted = every[self.merge]
+        self.merge, self.sorted = ordered(every)
 
     def questions(self, ranges: int) -> Iterator[tuple[int, bytes]]:
         counts = np.concatenate([x[at] for x, at in zip(self.counts, self.asked)])[self.merge]
@@ -198,13 +203,22 @@ class Block:
         """How often the histories of n-grams of k + 1 tokens occur; a text begins as often as it ends."""
         return np.append(self.count[k - 1], self.count[0][self.end])
 
-    def summed(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-        """Per order from two on: histories, and what this block's own n-grams add to each, in whole numbers. SUMS of them: how
-        many n-grams occur once, twice, ... K times, the occurrences of the others, the same of the n-grams below, how many in
-        all."""
+    def here(self, k: int) -> np.ndarray:
+        """Of which histories of n-grams of k + 1 tokens this block has all that the model has after them: what the other
+        blocks have of it is less than the cutoff."""
+        return self.totals(k) - np.append(self.counts[k - 1], self.counts[0][self.end]) < self.cutoff(k)
+
+    @staticmethod
+    def cutoff(k: int) -> int:
+        return LEAST if k + 1 >= LONG else 1
+
+    def summed(self, whole: bool) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Per order from two on: histories, and what this block's own n-grams add to each, in whole numbers; or if `whole`, those
+        that this block has all of, and all that the model has after them. SUMS of numbers: how many n-grams occur once, twice,
+        ... K times, the occurrences of the others, the same of the n-grams below, how many in all."""
         out = []
         for k in range(1, self.order):
-            mine = np.flatnonzero(self.own[k])
+            mine = np.flatnonzero((self.count[k] > 0) & self.here(k)[self.head[k]] if whole else self.own[k])
             at, head = np.unique(self.head[k][mine], return_inverse=True)
             made = []
             for c in (self.count[k][mine], self.count[k - 1][self.lower[k][mine]]):
@@ -216,23 +230,25 @@ class Block:
 
     def heads(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """The sorted keys of the histories to ask for, which these are by order, and the order that sorts them. A history
-        that no other block has, or that is rarer than the cutoff of what follows it, isn't asked for."""
+        that is rarer than the cutoff of what follows it isn't asked for, nor one that this block can sum itself, but where it
+        has something to add and other blocks have the history: they may have it in texts that don't teach."""
         asked, every = [], []
         for k in range(1, self.order):
-            at = np.flatnonzero(self.totals(k) >= (LEAST if k + 1 >= LONG else 1))
-            last = len(self.keys[k - 1])
-            at = at[(at == last) | ~np.append(self.alone[k - 1], False)[at]]
+            adds = np.zeros(len(self.keys[k - 1]) + 1, dtype=bool)
+            adds[self.head[k][self.own[k]]] = True
+            adds &= ~np.append(self.alone[k - 1], False)
+            at = np.flatnonzero((self.totals(k) >= self.cutoff(k)) & (adds | ~self.here(k)))
             asked.append(at)
             every.append(np.append(self.keys[k - 1], begin_key(k + 1))[at])
         keys = np.concatenate([np.zeros(0, np.uint64), *every])
         # the same keys mean histories of one order only: their low bits are the number of their tokens
-        order = np.argsort(keys, kind="stable")
-        return keys[order], asked, order
+        order, keys = ordered(keys)
+        return keys, asked, order
 
     def sums(self, ranges: int) -> Iterator[tuple[int, bytes]]:
         keys, asked, order = self.heads()
         columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint8)] for _ in range(SUMS)]
-        for (at, mine), wanted in zip(self.summed(), asked):
+        for (at, mine), wanted in zip(self.summed(False), asked):
             place = np.minimum(np.searchsorted(wanted, at), max(len(wanted) - 1, 0))
             there = wanted[place] == at if len(wanted) else np.zeros(len(at), bool)
             for column, x in zip(columns, mine):
@@ -249,10 +265,10 @@ class Block:
         back[order] = np.arange(len(order))
         ends = np.cumsum([len(at) for at in asked])
         masses = []
-        for k, ((at, mine), wanted, end) in enumerate(zip(self.summed(), asked, ends), 1):
+        for k, ((at, mine), wanted, end) in enumerate(zip(self.summed(True), asked, ends), 1):
             held, low = np.zeros(len(self.keys[k - 1]) + 1), np.zeros(len(self.keys[k - 1]) + 1)
-            held[at], low[at] = model.masses(k, mine)
             held[wanted], low[wanted] = model.masses(k, [x[back[end - len(wanted) : end]] for x in told])
+            held[at], low[at] = model.masses(k, mine)
             masses.append((held, low))
         p = one = model.word(self.count[0])
         kept = total = None
@@ -385,7 +401,7 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
         """Answers with the number of their question; those that come down a tree are written, as they are read twice."""
         return (stored(answers, "answers") if several else answers).withColumn("turn", F.lit(turn))
 
-    first = ask(blocks, lambda _, table: Block(table, order).ask_long(bits, ranges))
+    first = ask(blocks, lambda _, table: Block(table, order, LONG).ask_long(bits, ranges))
     may, once = exchange(first, n, buckets, Keyed, _reachable(order, bits), "ngrams-seen")
     # a block that asks nothing has an answer too
     may = turned(may, 0).unionByName(blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), F.lit(-1).alias("turn")))
@@ -410,7 +426,7 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
 
 def ngram_tables(model: Model) -> tuple[DataFrame, DataFrame]:
     """The stored tables as rows, with the number of tokens and the key as gram_keys() makes it: n-grams and their count;
-    histories that more blocks than one have, and of what the model has after them how many kinds occur once, twice, ..., the
+    histories that a block couldn't sum alone, and of what the model has after them how many kinds occur once, twice, ..., the
     occurrences of the rest, the same of the n-grams below, and all kinds."""
 
     def rows(names: list[str]):
