@@ -235,3 +235,12 @@ def test_expanded_keys_are_not_broadcast(spark):
     assert sorted(map(tuple, found.collect())) == [("K0AB", 10, "K0AB", 1), ("W1AW", 20, "1AW", 1)]
     # a small side is what the planner broadcasts unless told otherwise: the calls' estimate says nothing of their keys
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawings_are_made_by_all_tasks(spark, tmp_path):
+    places = spark.range(40).selectExpr("concat('A', id % 20) as call", "id * 1.0d as lat", "id * 2.0d as lon").groupBy("call").agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"))
+    points = spark.createDataFrame([("world", 1, 1, 0.0, 1.0), ("world", 1, 2, 2.0, 3.0)], "layer string, segment_no int, point_no int, lon double, lat double")
+    drawn = layers.station_svg(places, layers.layer_svg(points))
+    drawn.write.parquet(str(tmp_path / "drawn"))
+    assert len(list((tmp_path / "drawn").glob("*.parquet"))) > 1
+    assert {(r.call, r.svg.count("<polyline"), r.svg.count("<circle")) for r in drawn.collect()} == {(f"A{i}", 1, 1) for i in range(20)}
