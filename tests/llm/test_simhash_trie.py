@@ -229,3 +229,38 @@ def test_shingles_that_meet_nothing_are_no_rows(spark):
     assert len(scratch._PATHS) == before + 2  # the postings alone
     assert {r.doc_id for r in without_near_duplicates(near.withColumnRenamed("id", "doc_id")).collect()} == {r[0] for r in rows} | {101}
     assert len(scratch._PATHS) == before + 3
+
+
+def test_a_group_of_which_few_are_alike_makes_few_rows(spark, monkeypatch):
+    """Documents that are edits of one text, nearly all below 0.8 with each other: those that can't be alike meet as no rows."""
+    monkeypatch.setattr(simhash_trie, "FEW", 4)
+    rng = np.random.default_rng(14)
+    base = [f"w{i}" for i in rng.integers(0, 900, 90)]
+    rows = []
+    for k in range(120):
+        text = list(base)
+        for at in rng.choice(90, 1 if k % 40 == 0 else 3, replace=False):
+            text[at] = f"own{k}"
+        rows.append((k, " ".join(text)))
+    kept = expected_without(rows)
+    assert len(kept) > 100
+    made, met = [], simhash_trie._met
+
+    def counted(tokens, first, similarity):
+        pairs = met(tokens, first, similarity)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash_trie, "_met", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in without_near_duplicates(df).collect()} == kept
+    assert sum(made) < 2 * len(rows), made
+
+
+def test_sketches_differ_in_no_more_than_the_sets(spark):
+    rng = np.random.default_rng(15)
+    for size in (0, 1, 30, 400, 5000):
+        every = rng.integers(-(2**63), 2**63 - 1, size + 200)
+        a, b = np.unique(every[:size]), np.unique(every[rng.integers(0, 200) :])
+        apart = np.bitwise_count((simhash_trie._sketch(a) ^ simhash_trie._sketch(b)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and (simhash_trie._sketch(a) == simhash_trie._sketch(a[::-1])).all()

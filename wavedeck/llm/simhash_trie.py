@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ SHINGLE_BYTES = 8 << 20
 TEXTS = 512
 #: Documents of a shingle that all meet at once.
 FEW = 32
+#: Bits of a sketch of a set of shingles.
+SKETCH = 512
+_BITS = [f"bits_{k}" for k in range(SKETCH // 64)]
 #: Ids up to which a set of them is sent to where the texts lie; beyond, texts and ids meet by a shuffle.
 MOST_IDS = 4_000_000
 
@@ -59,7 +64,10 @@ def _hashes(text: str, n: int) -> list[int]:
 
 
 def fingerprint(text: str | None, n: int = 4) -> int:
-    hashes = np.array(_hashes(text or "", n), dtype="<u8")
+    return _fingerprint(np.array(_hashes(text or "", n), dtype="<u8"))
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # very long texts in bounded memory
         total += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -266,6 +274,18 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array(_hashes(text or "", n), dtype=np.uint64).view(np.int64))
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Which of SKETCH bits an odd number of distinct hashes fall on, 64 to a number. Two sets' sketches differ in as many bits as the
+    sets in hashes, or in fewer."""
+    odd = np.bincount(shingles & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _apart(similarity: float) -> float:
+    """Two sets at `similarity` differ in no more than this share of the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def _keys(shingles: np.ndarray, buckets: int) -> np.ndarray:
     """As many of the hashes' high bits as tell a bucket's shingles apart. Shingles of one key count as one; what they are
     compared by are the whole hashes."""
@@ -281,7 +301,7 @@ def _weights(question: Keyed) -> tuple[bytes, None, list[int]]:
 
 def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """texts(id, text) -> by prefix shingles: pairs (a, b), a < b, of the documents of a shingle that FEW or fewer have, and the
-    rows (token, id, size, pos) of the others.
+    rows (token, id, size, pos and the sketch) of the others.
 
     A prefix are the first of a document's distinct shingles in one order for all documents, so many that two sets at
     `similarity` share one of them: by the number of texts that have them, then by hash. All shingles of all texts are counted,
@@ -308,7 +328,7 @@ def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, D
             told = np.concatenate([np.zeros(0, np.uint8), *(unpack(d)[0] for d in answers.sort_by("bucket").column("data").to_pylist())])
             weight = told[np.unique(keys, return_inverse=True)[1]]
             none = np.zeros(0, np.int64)
-            rows, at = [(none, none, none.astype(np.int32), none.astype(np.int32), none.astype(bool))], 0
+            rows, at = [(none, none, none.astype(np.int32), none.astype(np.int32), none.astype(bool), *[none] * len(_BITS))], 0
             for i, own in zip(table.column(0).to_pylist(), every):
                 w, at = weight[at : at + len(own)], at + len(own)
                 first = np.lexsort((own, w))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
@@ -316,36 +336,40 @@ def _postings(texts: DataFrame, n: int, similarity: float) -> tuple[DataFrame, D
                 token, sure = own[first[pos]], w[first[pos]] > few
                 if not len(own):  # texts without words are alike
                     token, pos, sure = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, bool)
-                rows.append((token, np.full(len(token), i), np.full(len(token), len(own), np.int32), pos, sure))
-            return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos", "sure"])
+                rows.append((token, np.full(len(token), i), np.full(len(token), len(own), np.int32), pos, sure, *(np.full(len(token), x) for x in _sketch(own))))
+            return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "id", "size", "pos", "sure", *_BITS])
 
-        every = with_answers(blocks, weights, prefixes, "token long, id long, size int, pos int, sure boolean")
+        bits = "".join(f", {x} long" for x in _BITS)
+        every = with_answers(blocks, weights, prefixes, f"token long, id long, size int, pos int, sure boolean{bits}")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         dealt = every.repartition(parts, F.when(F.col("sure"), F.xxhash64("token", "id")).otherwise(F.col("token"))).sortWithinPartitions("token")
-        found = stored(dealt.mapInArrow(_paired(similarity), "a long, b long, token long, size int, pos int"), "postings", lasting=True)
-    return found.where("token is null").select("a", "b").distinct(), found.where("token is not null").select("token", F.col("a").alias("id"), "size", "pos")
+        found = stored(dealt.mapInArrow(_paired(similarity), f"a long, b long, token long, size int, pos int{bits}"), "postings", lasting=True)
+    return found.where("token is null").select("a", "b").distinct(), found.where("token is not null").select("token", F.col("a").alias("id"), "size", "pos", *_BITS)
 
 
 def _paired(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by token -> (a, b) of the pairs of tokens with two to FEW rows; of tokens with more, and of those that are
-    sure, the rows, as a, token, size and pos. At most FEW rows wait for the next batch."""
+    sure, the rows, as a, token, size, pos and the sketch. At most FEW rows wait for the next batch."""
 
     def pairs(rows: list[np.ndarray], start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        """Of groups of rows: all pairs that can be at `similarity`, by sizes and places."""
-        _, ids, size, pos, _ = rows
+        """Of groups of rows: all pairs that can be at `similarity`, by sizes, places and sketches."""
+        _, ids, size, pos, _, *bits = rows
         earlier = _steps(count)  # a row meets those before it in its group
         j = np.repeat(np.repeat(start, count) + earlier, earlier)
         i = np.repeat(np.repeat(start, count), earlier) + _steps(earlier)
         bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
         near = (ids[i] != ids[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6) & ((1 + similarity) * bound >= similarity * (size[i].astype(np.int64) + size[j]) - 1e-6)
+        i, j = i[near], j[near]
+        differ = sum((_popcount((x[i] ^ x[j]).view(np.uint64)) for x in bits), np.zeros(len(i), np.int64))
+        near = differ <= _apart(similarity) * (size[i].astype(np.int64) + size[j]) + 1e-6
         made = np.unique(np.sort(np.stack([ids[i[near]], ids[j[near]]]), axis=0), axis=1)
-        none = pa.nulls(made.shape[1], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.nulls(made.shape[1], pa.int64()), none, none], names)
+        none, wide = pa.nulls(made.shape[1], pa.int32()), pa.nulls(made.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), wide, none, none, *[wide] * len(bits)], names)
 
     def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[0]), pa.array(rows[2]), pa.array(rows[3])], names)
+        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(rows[0]), pa.int64()), *(pa.array(rows[k]) for k in (0, 2, 3)), *map(pa.array, rows[5:])], names)
 
-    names = ["a", "b", "token", "size", "pos"]
+    names = ["a", "b", "token", "size", "pos", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -353,7 +377,7 @@ def _paired(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
             yield whole([x[rows[4]] for x in rows])
             rows = [np.concatenate([a, b[~rows[4]]]) for a, b in zip(held, rows)] if held else [x[~rows[4]] for x in rows]
             token = rows[0]
@@ -393,22 +417,25 @@ def _steps(n: np.ndarray) -> np.ndarray:
 
 
 def _first_of(tokens: DataFrame, heads: int) -> DataFrame:
-    """token, id, size, pos, m: of each token the `heads` rows with the smallest ids, all of one with FEW rows or less.
+    """token, id, size, pos, the sketch, m: of each token the `heads` rows with the smallest ids, all of one with FEW rows or less.
     The rows of a token with very many are first ranked in parts."""
     many = tokens.groupBy("token").agg(F.count("*").alias("m"))
     counted = tokens.join(many, "token").withColumn("most", F.when(F.col("m") <= FEW, F.col("m")).otherwise(heads)).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / TILE)))
     for w in (W.partitionBy("token", "part").orderBy("id"), W.partitionBy("token").orderBy("id")):
         counted = counted.withColumn("rank", F.row_number().over(w)).where("rank <= most")
-    return counted.select("token", "id", "size", "pos", "m")
+    return counted.select("token", "id", "size", "pos", *_BITS, "m")
 
 
 def _met(tokens: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of a token's first documents with its others, without those that can't be at
-    `similarity` by their sizes and the token's places. A join, so that a token of very many documents is split."""
+    `similarity` by their sizes, the token's places and their sketches. A join, so that a token of very many documents is split. The
+    sketches leave about as many rows as there are near copies: documents that share a passage or are edited more differ in them."""
     x, y = first.alias("x"), tokens.alias("y")
     sizes, places = ("x.size", "y.size"), ("x.pos", "y.pos")
     bound = F.least(*places) + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     near = (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-6) & ((1 + similarity) * bound >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6)
+    differ = reduce(add, (F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in _BITS))
+    near &= differ <= _apart(similarity) * (F.col("x.size") + F.col("y.size")) + 1e-6
     return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -470,7 +497,8 @@ def _near_copies(docs: DataFrame, n: int, similarity: float, budget: int, id_col
     asked = marked.select("id", "fp").distinct().join(again.hint("merge"), "id", "left_anti")
     groups = stored(grouped(asked, budget).select("component_id", "id").distinct(), "groups")
     several = groups.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-    of_groups = groups.join(several.hint("merge"), "component_id").select(F.col("component_id").alias("token"), "id", F.lit(1).alias("size"), F.lit(0).alias("pos"))
+    sizes = marked.select("id", "size", *_BITS).distinct()
+    of_groups = groups.join(several.hint("merge"), "component_id").join(sizes.hint("merge"), "id").select(F.col("component_id").alias("token"), "id", "size", F.lit(0).alias("pos"), *_BITS)
     near = stored(_thinned(None, of_groups, every, n, similarity), "gone")
     out = stored(again.unionByName(near).distinct(), "gone")
     release_shuffles(docs.sparkSession)
@@ -480,15 +508,24 @@ def _near_copies(docs: DataFrame, n: int, similarity: float, budget: int, id_col
 
 
 def _marked(texts: DataFrame, n: int) -> DataFrame:
-    """texts(id, text) -> id, sha (of the text), fp."""
+    """texts(id, text) -> id, sha (of the text), fp, size (distinct shingles) and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            fps = np.array([fingerprint(t.as_py(), n) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["id", "sha", "fp"])
+            fps, sizes, sketches = [], [], []
+            for t in batch.column(1):
+                hashes = np.array(_hashes(t.as_py(), n), dtype="<u8")
+                own = np.unique(hashes.view(np.int64))
+                fps.append(_fingerprint(hashes))
+                sizes.append(len(own))
+                sketches.append(_sketch(own))
+            bits = np.array(sketches).reshape(-1, len(_BITS)).T
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "sha", "fp", "size", *_BITS])
         release()
 
-    return texts.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).mapInArrow(run, "id long, sha binary, fp long")
+    schema = "id long, sha binary, fp long, size int" + "".join(f", {x} long" for x in _BITS)
+    return texts.select("id", "text", F.unhex(F.sha2("text", 256)).alias("sha")).mapInArrow(run, schema)
 
 
 def _with_ids(rows: DataFrame, ids: DataFrame, how: str, on: Column | str = "id") -> DataFrame:
@@ -497,7 +534,7 @@ def _with_ids(rows: DataFrame, ids: DataFrame, how: str, on: Column | str = "id"
 
 
 def _thinned(pairs: DataFrame | None, tokens: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The ids that go, of documents that are pairs (a, b) or share tokens(token, id, size, pos).
+    """The ids that go, of documents that are pairs (a, b) or share tokens(token, id, size, pos and the sketch).
 
     A round decides documents by their pairs; of a token of very many documents those with the smallest ids
     meet the others, 16 times as many in each round, and rounds go on until all are decided. A document goes only
