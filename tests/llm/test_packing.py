@@ -100,3 +100,12 @@ def test_repeated_rows_are_dealt_to_several_groups(spark):
     rows = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
     got = pack(rows, 1000, group_tokens=40_000).select((F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("g"), "sequence_id", "offset").collect()
     assert len(got) == 4000 and len({r.g for r in got}) == 10 and len({(r.sequence_id, r.offset) for r in got}) == 4000
+
+
+def test_variants_of_a_word_are_learned_once(monkeypatch):
+    """Case and marks after accented words too: the library is asked for the marks alone, the merges for the word."""
+    chunks, asked, learn = Chunks(LIBRARY), [], Chunks._learn
+    monkeypatch.setattr(Chunks, "_learn", lambda self, words: learn(self, asked.extend(words) or words))
+    texts = ["été Été ÉTÉ été. Été, ÉTÉ$$$ été&&&", "zußkeit. ZUßKEIT zußkeit%%%", "the the### The~", "it's it's. <|endoftext|> a<|endoftext|>, ª. ΣΑΣ, ﬁ. İ. K. Å~"]
+    assert chunks.ids(texts) == library(texts)
+    assert [asked.count(w) for w in ("été", "zußkeit", "the", "Été,", "ÉTÉ$$$", "zußkeit%%%", "the###")] == [1, 1, 1, 0, 0, 0, 0]
