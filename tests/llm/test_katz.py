@@ -3,7 +3,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wavedeck.llm import blocks, exchange, katz
@@ -170,3 +172,20 @@ def test_ordered_is_stable(high):
     for x in (keys, np.repeat(keys, 3), np.concatenate([keys | np.uint64(1), keys & ~np.uint64(1)]), keys[:1], keys[:0]):
         order, inside = ordered(x)
         assert (order == np.argsort(x, kind="stable")).all() and (inside == np.sort(x)).all()
+
+
+def test_blocks_keep_every_token_in_little_room():
+    """Frequent words, words seen once, empty texts and nulls: the tokens come back; rare words cost less than whole hashes and numbers."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \t ", "a  B\na", *(" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 300) % 50_000) for _ in range(400))]
+    rows = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string()), "learned": pa.array([True] * len(texts))})
+    made = katz._tokenised(rows)
+    offsets, tokens = katz._tokens(made)
+    split = [[*(t or "").lower().split(), ""] for t in texts]
+    assert np.diff(offsets).tolist() == [len(s) for s in split]
+    assert tokens.tolist() == [katz.token_hash(w.encode()) for s in split for w in s]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, made.schema) as out:
+        out.write_table(made)
+    kinds = len(set(tokens.tolist()))
+    assert len(zstandard.compress(sink.getvalue().to_pybytes(), 3)) < 1.2 * len(tokens) + 7 * kinds

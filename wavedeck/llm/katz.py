@@ -52,6 +52,7 @@ SUMS = 2 * (K + 1) + 1
 #: The hash that stands for the beginning of a text.
 BEGIN = np.uint64(0x5BD1E9955BD1E995)
 
+_BYTES = [f"byte_{k}" for k in range(4)]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(7)
 
@@ -85,7 +86,9 @@ def begin_key(k: int) -> np.uint64:
 
 
 def _tokenised(rows: pa.Table) -> pa.Table:
-    """Rows (id, text, learned) as (id, learned, tokens: lists of hashes with a dictionary)."""
+    """Rows (id, text, learned) as (id, learned, words: all words' hashes packed, in the first row, byte_0 .. byte_3: of each token
+    its word's number there). Frequent words have small numbers, words that are as frequent go by hash, and bytes of equal weight lie
+    together, so that blocks pack well."""
     rows = rows.combine_chunks()
     texts = pc.fill_null(rows.column(1).combine_chunks().cast(pa.large_string()), "")
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -100,9 +103,25 @@ def _tokenised(rows: pa.Table) -> pa.Table:
     inner = np.ones(len(out), dtype=bool)
     inner[ends - 1] = False
     out[inner] = index[full]
-    tokens = pa.DictionaryArray.from_arrays(pa.array(out), pa.array(hashes.view(np.int64)))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens)
-    return pa.Table.from_arrays([rows.column(0), rows.column(2), lists], ["id", "learned", "tokens"])
+    often = np.lexsort((hashes, -np.bincount(out, minlength=len(hashes))))
+    place = np.empty(len(often), dtype="<i4")
+    place[often] = np.arange(len(often))
+    stops = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+    planes = [pa.Array.from_buffers(pa.binary(), len(ends), [None, stops, pa.py_buffer(x.tobytes())]) for x in place[out].view(np.uint8).reshape(-1, 4).T]
+    words = pa.array([pack(delta(hashes[often])), *[None] * (len(ends) - 1)], pa.binary())
+    return pa.Table.from_arrays([rows.column(0), rows.column(2), words, *planes], ["id", "learned", "words", *_BYTES])
+
+
+def _tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that _tokenised() made: the places where texts begin and the last one ends, and all token hashes on end."""
+    rows = rows.combine_chunks()
+    hashes = undelta(unpack(rows.column("words")[0].as_py())[0])
+    made = [rows.column(c).chunk(0).buffers() for c in _BYTES]
+    offsets = np.frombuffer(made[0][1], dtype=np.int32, count=rows.num_rows + 1)
+    index = np.empty((int(offsets[-1]), 4), dtype=np.uint8)
+    for k, (_, _, plane) in enumerate(made):
+        index[:, k] = np.frombuffer(plane, dtype=np.uint8, count=len(index))
+    return offsets, hashes[index.view("<i4").ravel()]
 
 
 def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,19 +139,15 @@ class Block:
     number behind the last one is a text's beginning. least: n-grams of fewer tokens are left out, and so are lower and head."""
 
     def __init__(self, rows: pa.Table, order: int, least: int = 1):
-        lists = rows.column("tokens").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        offsets, values = lists.offsets.to_numpy(), lists.values
-        index, hashes = values.indices.to_numpy(), values.dictionary.to_numpy().view(np.uint64)
+        offsets, tokens = _tokens(rows)
         self.sizes = np.diff(offsets).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         teaches = np.array(rows.column("learned"), dtype=bool)[self.doc]
-        first = np.zeros(len(index), dtype=bool)
+        first = np.zeros(len(tokens), dtype=bool)
         first[(np.cumsum(self.sizes) - self.sizes)] = True  # a text has a token at least
-        real = np.arange(len(index)) + (self.doc + 1) * (order - 1)
-        padded = np.full(len(index) + len(self.sizes) * (order - 1), BEGIN)
-        padded[real] = hashes[index]
+        real = np.arange(len(tokens)) + (self.doc + 1) * (order - 1)
+        padded = np.full(len(tokens) + len(self.sizes) * (order - 1), BEGIN)
+        padded[real] = tokens
         grams = gram_keys(padded, order)
         self.order, self.keys, self.of, self.counts, self.lower, self.head = order, [], [], [], [], []
         for k in range(order):
