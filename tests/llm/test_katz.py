@@ -189,3 +189,33 @@ def test_blocks_keep_every_token_in_little_room():
         out.write_table(made)
     kinds = len(set(tokens.tolist()))
     assert len(zstandard.compress(sink.getvalue().to_pybytes(), 3)) < 1.2 * len(tokens) + 7 * kinds
+
+
+@pytest.mark.parametrize("fan", [256, 3])
+def test_sums_that_many_blocks_ask_for_are_stored_once(spark, monkeypatch, fan):
+    """Blocks that share their histories get an answer each; what is kept on disk of them doesn't grow with the blocks' answers."""
+    monkeypatch.setattr(katz, "TEXT_BYTES", 1)  # a block a row
+    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (20_000,))
+    monkeypatch.setattr(exchange, "FAN", fan)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, 2000) % 300) for _ in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got, kept = [], []
+
+    def exchanged(*args, **named):
+        got.append(exchange.exchange(*args, **named)[0])
+        return got[-1], kept[-1].where("part <> 'answer'").select("bucket", "data", "figures")
+
+    def stored(*args, **named):
+        kept.append(store(*args, **named))
+        return kept[-1]
+
+    store = exchange.stored
+    monkeypatch.setattr(exchange, "stored", stored)
+    monkeypatch.setattr(katz, "exchange", exchanged)
+    scored, _ = score_documents(df, F.lit(True))
+    expected = brute([(t, True) for t in texts])[0]
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({i: e[3] for i, e in enumerate(expected)}, rel=1e-9)
+    size = F.coalesce(F.sum(F.length("data")), F.lit(0))
+    answers, on_disk = got[-1].agg(size).head()[0], kept[-1].where("part = 'answer' and (bucket >= 0 or bucket is null)").agg(size).head()[0]
+    assert got[-1].select("block").distinct().count() == len(texts) and 0 < on_disk < 0.6 * answers

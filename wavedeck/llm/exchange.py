@@ -5,7 +5,8 @@ blocks times buckets. Here it sends at most FAN messages, by the top ranges of t
 range from about FAN blocks, merges what they ask (a key that many of them have goes on once, with its numbers
 summed) and again sends at most FAN messages, by finer ranges, and so on until a range is one bucket's. Answers go back
 along the same nodes, whose notes say who asked what: the notes travel with the messages to where the answers are stored, so
-that no question is kept on disk for its way back. So messages and bytes are in proportion to the input, with one
+that no question is kept on disk for its way back. Where answers are long and many blocks ask the same, a bucket's answer is
+stored once with the notes, and the blocks' answers are made as they are read. So messages and bytes are in proportion to the input, with one
 more level each time it grows by FAN; a bucket hears of a key at most FAN times however many blocks have it.
 With FAN buckets or fewer there is one level: blocks and buckets.
 """
@@ -141,10 +142,11 @@ def _joined(answers: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpack, answers))]
 
 
-def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[bytes]], Question], answer: Callable[[Question], tuple[bytes, bytes | None, list[int]]], name: str, answered: Callable[[list[np.ndarray], list[np.ndarray]], bytes] = Keyed.answered) -> tuple[DataFrame, DataFrame]:
+def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[bytes]], Question], answer: Callable[[Question], tuple[bytes, bytes | None, list[int]]], name: str, answered: Callable[[list[np.ndarray], list[np.ndarray]], bytes] = Keyed.answered, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """asks(block, bucket, data): each block's messages by levels(buckets)[0] ranges. answer(all questions to a bucket)
     gives the packed answer to the merged question, the bucket's table (or None) and figures that add up. A message to
-    bucket -1 is the block's note to itself. answered: that of the questions' class.
+    bucket -1 is the block's note to itself. answered: that of the questions' class. once: a bucket's answer is stored
+    once, with its askers' notes, and not by asker.
 
     Returns the answers, (block, bucket, data) as asked, with the blocks' notes, and the tables, (bucket, data, figures), which
     are stored by part of the hash range."""
@@ -184,7 +186,11 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
             question = of(table)
             told, data, figures = answer(question)
             said = unpack(told)
-            rows = [(b, bucket, answered(note, said), "answer", None) for b, note in zip(table.column("block").to_pylist(), question.notes())]
+            askers, notes = table.column("block"), question.notes()
+            if once:
+                rows = [(None, bucket, pack(askers.to_numpy(), np.array([len(said)]), *said, *(x for note in notes for x in note)), "answer", None)]
+            else:
+                rows = [(b, bucket, answered(note, said), "answer", None) for b, note in zip(askers.to_pylist(), notes)]
             if data is not None or figures:
                 rows.append((None, bucket, data, f"table-{bucket * 64 // sizes[-1]:02d}", figures))
             release()
@@ -195,6 +201,19 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
     release_shuffles(asks.sparkSession)
     every = found.where("part = 'answer'").select("block", "bucket", "data")
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, bucket, data in zip(*(batch.column(c) for c in ("block", "bucket", "data"))):
+                block, bucket, data = block.as_py(), bucket.as_py(), data.as_py()
+                if block is not None:
+                    yield batch_of([(block, bucket, data)])
+                    continue
+                askers, (long,), *rest = unpack(data)
+                said, notes = rest[:long], rest[long:]
+                each = len(notes) // len(askers)
+                yield batch_of([(b, bucket, answered(notes[i * each : (i + 1) * each], said)) for i, b in enumerate(askers.tolist())])
+                release()
+
     def down(table: pa.Table) -> pa.Table:
         note, *told = table.sort_by("bucket").column("data").to_pylist()
         me, said = table.column("block")[0].as_py(), _joined(told)
@@ -205,6 +224,8 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
         return pa.Table.from_batches([batch_of(out)])
 
     answers = every if len(sizes) == 1 else every.where("bucket >= 0")
+    if once:
+        answers = answers.mapInArrow(spread, ASKS)
     for level in reversed(range(len(sizes) - 1)):
         answers = answers.unionByName(every.where(F.col("bucket") == -2 - level)).groupBy("block").applyInArrow(down, ASKS)
     if len(sizes) > 1:

@@ -427,8 +427,8 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
     few = [figures[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)] for k in range(order - 1)]
     plain = Model(figures[0], figures[1], [discounts([f[0] + a, *f[1:]]) for f, a in zip(few, alone)])
     both = may.unionByName(turned(counts, 1))
-    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(ranges)), ASKS), n, buckets, Keyed, _summed, "histories")
-    every = both.unionByName(turned(sums, 2))
+    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(ranges)), ASKS), n, buckets, Keyed, _summed, "histories", once=True)
+    every = both.unionByName(sums.withColumn("turn", F.lit(2)))  # read once
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         own = block_of(table, answers)
