@@ -219,3 +219,26 @@ def test_sums_that_many_blocks_ask_for_are_stored_once(spark, monkeypatch, fan):
     size = F.coalesce(F.sum(F.length("data")), F.lit(0))
     answers, on_disk = got[-1].agg(size).head()[0], kept[-1].where("part = 'answer' and (bucket >= 0 or bucket is null)").agg(size).head()[0]
     assert got[-1].select("block").distinct().count() == len(texts) and 0 < on_disk < 0.6 * answers
+
+
+def test_questions_go_through_a_tree_in_turns(spark, documents, monkeypatch):
+    """With several levels a turn has its own part of the ranges, and no question is left out."""
+    monkeypatch.setattr(katz, "TEXT_BYTES", 20_000)
+    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (5_000,))
+    monkeypatch.setattr(exchange, "FAN", 8)
+    seen, in_turns = [], exchange.in_turns
+
+    def turns(df, name, *args):
+        asked = {r.bucket for r in df.select("bucket").collect()}
+        for part in in_turns(df, name, *args):
+            seen.append((name, {r.bucket for r in part.select("bucket").collect()}))
+            yield part
+        found = [buckets for n, buckets in seen if n == name]
+        assert len(found) == katz.TURNS and set().union(*found) == asked and sum(map(len, found)) == len(asked) > 3
+
+    monkeypatch.setattr(exchange, "in_turns", turns)
+    scored, _ = score_documents(documents, F.lit(True))
+    assert {n for n, _ in seen} == {"ngrams-asked", "histories-asked"}
+    rows = documents.collect()
+    expected = brute([(r.text, True) for r in rows])[0]
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx({r.doc_id: e[3] for r, e in zip(rows, expected)}, rel=1e-9)

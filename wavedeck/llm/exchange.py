@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASKS, batch_of, delta, pack, release, undelta, unpack
-from .scratch import release_shuffles, stored
+from .scratch import in_turns, release_shuffles, stored
 
 #: Messages that a block or node sends, and about the number of blocks or nodes whose messages meet in a node.
 FAN = 256
@@ -142,16 +142,16 @@ def _joined(answers: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpack, answers))]
 
 
-def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[bytes]], Question], answer: Callable[[Question], tuple[bytes, bytes | None, list[int]]], name: str, answered: Callable[[list[np.ndarray], list[np.ndarray]], bytes] = Keyed.answered, once: bool = False) -> tuple[DataFrame, DataFrame]:
+def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[bytes]], Question], answer: Callable[[Question], tuple[bytes, bytes | None, list[int]]], name: str, answered: Callable[[list[np.ndarray], list[np.ndarray]], bytes] = Keyed.answered, once: bool = False, turns: int = 1) -> tuple[DataFrame, DataFrame]:
     """asks(block, bucket, data): each block's messages by levels(buckets)[0] ranges. answer(all questions to a bucket)
     gives the packed answer to the merged question, the bucket's table (or None) and figures that add up. A message to
     bucket -1 is the block's note to itself. answered: that of the questions' class. once: a bucket's answer is stored
-    once, with its askers' notes, and not by asker.
+    once, with its askers' notes, and not by asker. turns: where there are several levels the questions are written, and go
+    through the tree in so many parts of the hash range, one after the other: each level shuffles one part at a time.
 
     Returns the answers, (block, bucket, data) as asked, with the blocks' notes, and the tables, (bucket, data, figures), which
     are stored by part of the hash range."""
     sizes = levels(buckets)
-    nodes = blocks
     # notes are passed on by whose they are: -1 the blocks' own, from -2 on those of the nodes of each level
     key = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.col("block"))
 
@@ -172,11 +172,6 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
 
         return run
 
-    for level, (ranges, finer) in enumerate(zip(sizes, sizes[1:])):
-        nodes = -(-nodes // (finer // ranges))
-        dealt = asks.withColumn("node", F.pmod(F.xxhash64("block"), F.lit(nodes))).withColumn("key", key)
-        asks = dealt.groupBy("node", "key").applyInArrow(up(level, finer), ASKS)
-
     def last(table: pa.Table) -> pa.Table:
         if table.column("key")[0].as_py() < 0:
             rows = [(*x, "answer", None) for x in zip(*(table.column(c).to_pylist() for c in ("block", "bucket", "data")))]
@@ -197,7 +192,19 @@ def exchange(asks: DataFrame, blocks: int, buckets: int, merge: Callable[[list[b
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["block", "bucket", "data", "part", "figures"])
 
-    found = stored(asks.withColumn("key", key).groupBy("key").applyInArrow(last, "block long, bucket long, data binary, part string, figures array<long>"), name, "part")
+    def through(asks: DataFrame) -> DataFrame:
+        nodes = blocks
+        for level, (ranges, finer) in enumerate(zip(sizes, sizes[1:])):
+            nodes = -(-nodes // (finer // ranges))
+            dealt = asks.withColumn("node", F.pmod(F.xxhash64("block"), F.lit(nodes))).withColumn("key", key)
+            asks = dealt.groupBy("node", "key").applyInArrow(up(level, finer), ASKS)
+        return asks.withColumn("key", key).groupBy("key").applyInArrow(last, "block long, bucket long, data binary, part string, figures array<long>")
+
+    if turns > 1 and len(sizes) > 1:
+        turn = F.when(F.col("bucket") >= 0, F.floor(F.col("bucket") * turns / sizes[0])).otherwise(0)
+        found = stored((through(part) for part in in_turns(asks, f"{name}-asked", turn, turns)), name, "part")
+    else:
+        found = stored(through(asks), name, "part")
     release_shuffles(asks.sparkSession)
     every = found.where("part = 'answer'").select("block", "bucket", "data")
 

@@ -47,6 +47,8 @@ ORDER, K, ADDED = 3, 5, 0.1
 LONG, LEAST = 3, 2
 #: Bytes of text in a block: its n-grams of all orders are in memory at once.
 TEXT_BYTES = 11 << 20
+#: Parts in which questions go through a tree of several levels.
+TURNS = 8
 #: Numbers that are summed of a history.
 SUMS = 2 * (K + 1) + 1
 #: The hash that stands for the beginning of a text.
@@ -420,14 +422,14 @@ def score_documents(docs: DataFrame, teaches: Column, id_col: str = "doc_id", te
     may, once = exchange(first, n, buckets, Keyed, _reachable(order, bits), "ngrams-seen")
     # a block that asks nothing has an answer too
     may = turned(may, 0).unionByName(blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), F.lit(-1).alias("turn")))
-    counts, grams = exchange(with_answers(blocks, may, asks(lambda b: b.questions(ranges)), ASKS), n, buckets, lambda d: Keyed(d, owned=True), _counted(order), "ngrams")
+    counts, grams = exchange(with_answers(blocks, may, asks(lambda b: b.questions(ranges)), ASKS), n, buckets, lambda d: Keyed(d, owned=True), _counted(order), "ngrams", turns=TURNS)
     total = lambda table, i: F.coalesce(F.sum(F.get("figures", F.lit(i))), F.lit(0))
     figures = [int(x) for x in grams.agg(*(total(grams, i) for i in range(2 + (order - 1) * (K + 1)))).head()]
     alone = [0] * (LONG - 2) + ([int(x) for x in once.agg(*(total(once, i) for i in range(order - LONG + 1))).head()] if order >= LONG else [])
     few = [figures[2 + k * (K + 1) : 2 + (k + 1) * (K + 1)] for k in range(order - 1)]
     plain = Model(figures[0], figures[1], [discounts([f[0] + a, *f[1:]]) for f, a in zip(few, alone)])
     both = may.unionByName(turned(counts, 1))
-    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(ranges)), ASKS), n, buckets, Keyed, _summed, "histories", once=True)
+    sums, histories = exchange(with_answers(blocks, both, asks(lambda b: b.sums(ranges)), ASKS), n, buckets, Keyed, _summed, "histories", once=True, turns=TURNS)
     every = both.unionByName(sums.withColumn("turn", F.lit(2)))  # read once
 
     def last(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:

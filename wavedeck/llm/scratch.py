@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 #: What this process has written: paths, and tables of the catalog.
@@ -32,17 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def stored(df: DataFrame, name: str, *partition: str, lasting: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there, so a lost
+def stored(df: DataFrame | Iterator[DataFrame], name: str, *partition: str, lasting: bool = False) -> DataFrame:
+    """Write df, or several one after the other, as Parquet in the shared folder and read it back: the lineage ends there, so a lost
     executor costs no more than the tasks that read the files. lasting: passing() leaves it to
     the passing() around, if there is one."""
+    frames = iter([df]) if isinstance(df, DataFrame) else df
+    df = next(frames)
     path = f"{shared_dir(df.sparkSession)}/wavedeck/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     _PATHS.append(path)
     if own := _OWN.get()[: -1 if lasting else None]:
         own[-1][0].append(path)
-    df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    spark = df.sparkSession
+    while df is not None:
+        df.write.mode("append").option("compression", "zstd").partitionBy(*partition).parquet(path)
+        df = next(frames, None)
+    return spark.read.schema(schema).parquet(path)
+
+
+def in_turns(df: DataFrame, name: str, turn: Column, n: int) -> Iterator[DataFrame]:
+    """Write df by `turn`, 0 to n - 1, and give the parts one after the other. A part, and what was shuffled for it, goes as the
+    next one is asked for: by then what was made of it must be written."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/wavedeck/{name}-{uuid.uuid4().hex}"
+    kept(path)
+    dealt = df.withColumn("turn", turn.cast("int"))
+    dealt.write.option("compression", "none").partitionBy("turn").parquet(path)
+    release_shuffles(spark)
+    every = spark.read.schema(dealt.schema).parquet(path)
+    for k in range(n):
+        yield every.where(F.col("turn") == k).drop("turn")
+        _delete(spark, f"{path}/turn={k}")
+        release_shuffles(spark)
 
 
 def kept(path: str, table: str | None = None) -> None:
