@@ -58,12 +58,12 @@ def expand_keys(calls: DataFrame, years: list[int]) -> DataFrame:
 
 
 def probe(keys: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of expanded keys, the first of each record offset per call, in order of key, entry and posting."""
+    """Postings of expanded keys, the first of each record offset per call, in order of key, entry, posting and offset."""
     # by a shuffle: the planner sees the size of the calls before they are expanded, and would broadcast all their keys
     found = keys.join(postings.withColumnRenamed("header_key", "key").hint("merge"), "key")
     order = F.struct("key_no", "ordinal", "posting_no")
     first = found.groupBy("call", "dat_offset").agg(F.min(F.struct(order.alias("o"), "key")).alias("m"))
-    return first.select("call", "dat_offset", "m.key", F.row_number().over(W.partitionBy("call").orderBy("m.o")).cast("long").alias("seq"))
+    return first.select("call", "dat_offset", "m.key", F.row_number().over(W.partitionBy("call").orderBy("m.o", "dat_offset")).cast("long").alias("seq"))
 
 
 def resolve_records(postings: DataFrame, records: DataFrame) -> DataFrame:
