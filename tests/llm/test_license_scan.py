@@ -56,6 +56,14 @@ def test_rows(odd, empty, odd_docs):
     assert scan_licenses(empty).count() == 0
 
 
+def test_bytes_that_are_no_text(spark):
+    texts = [b"mit license\xff cc by-nc", b"\xed\xa0\x80 MIT License", b"\xc3\x89 mit license"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    got = {r.doc_id: (r.n_words, [(h.first_word, h.label) for h in r.hits if h.base]) for r in scan_licenses(rows).collect()}
+    assert got == {i: brute(t.decode(errors="replace")) for i, t in enumerate(texts)}
+    assert got[0] == (5, [(2, "cc-by-nc")])
+
+
 def test_very_many_hits_in_one_text():
     """Work follows the text and its hits: twice the text, about twice the time."""
     import time
